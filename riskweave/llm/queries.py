@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import token_store
+from . import token_store, warc
 from .workspace import Workspace
 
 
@@ -19,5 +20,13 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_token_files(spark, ws.table("manifest", files))
 
 
-QUERIES = {"op1_token_store": op1_token_store}
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "warc")
+    files = ws.table("manifest", warc.write_warc(table(spark, sf_dir, "pages"), ws.folder("files")))
+    files = files.repartition(max(1, min(files.count(), 20_000)), "path")
+    records = warc.read_warc(files, with_payload=False).filter("kind in ('response', 'revisit')")
+    return records.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+
+
+QUERIES = {"op1_token_store": op1_token_store, "op2_warc": op2_warc}
 ORACLE_SQL: dict[str, str] = {}
