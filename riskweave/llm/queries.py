@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_store, warc
+from . import chat, curriculum, prefix_bpe, token_store, warc
 from .workspace import Workspace
 
 
@@ -28,5 +28,25 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op2_warc": op2_warc}
+def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = curriculum.assign(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+
+
+def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return prefix_bpe.encode_column(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids_col=None, digests=True).drop("text")
+
+
+QUERIES = {
+    "op1_token_store": op1_token_store,
+    "op2_warc": op2_warc,
+    "op3_perspectives": op3_perspectives,
+    "op6_curriculum": op6_curriculum,
+    "op9_prefix_bpe": op9_prefix_bpe,
+}
 ORACLE_SQL: dict[str, str] = {}
