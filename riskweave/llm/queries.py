@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, curriculum, prefix_bpe, token_store, warc
+from . import chat, curriculum, maxscore, prefix_bpe, token_store, warc
 from .workspace import Workspace
 
 
@@ -32,6 +32,14 @@ def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").filter(maxscore.finite_vector(F.col("embedding")))
+    terms, weights = maxscore.quantized_terms(F.col("embedding"), 256)
+    rows = rows.select(F.col("vec_id").alias("id"), terms.alias("terms"), weights.alias("weights"))
+    found = maxscore.top_k(rows, rows.filter("id % 50 = 0"), 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = curriculum.assign(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
@@ -46,6 +54,7 @@ QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_warc": op2_warc,
     "op3_perspectives": op3_perspectives,
+    "op5_maxscore": op5_maxscore,
     "op6_curriculum": op6_curriculum,
     "op9_prefix_bpe": op9_prefix_bpe,
 }
