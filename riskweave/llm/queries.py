@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, curriculum, maxscore, prefix_bpe, token_store, warc
+from . import chat, curriculum, maxscore, prefix_bpe, site_quality, token_store, toxicity, warc
 from .workspace import Workspace
 
 
@@ -45,17 +45,34 @@ def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), usable=~held_out)
+    scored = toxicity.score(docs, model, score_col="score")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return prefix_bpe.encode_column(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids_col=None, digests=True).drop("text")
 
 
+def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    model = site_quality.train(docs, table(spark, sf_dir, "labels"))
+    rows = site_quality.classify(docs, model, Workspace(spark, "quality"))
+    return rows.select("doc_id", F.col("_evidence").alias("evidence"), F.col("_host_rate").alias("host_rate"), F.col("_path_rate").alias("path_rate"), F.col("_score").alias("score"), F.col("_kept").alias("kept"))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_warc": op2_warc,
     "op3_perspectives": op3_perspectives,
     "op5_maxscore": op5_maxscore,
     "op6_curriculum": op6_curriculum,
+    "op8_toxicity": op8_toxicity,
     "op9_prefix_bpe": op9_prefix_bpe,
+    "op10_site_quality": op10_site_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
