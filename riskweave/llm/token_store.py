@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .files import attempt_name, locate, write_file
+from .worker import process_state
 
 MAGIC = b"RWTOKEN1"
 HEADER, HEADER_BYTES = "<8sBxxxIQQQQ16x", 64
@@ -143,13 +144,17 @@ class TokenFile:
 class WordEncoder:
     """Encodes texts with a tokenizers file, each distinct white-space-free piece once.
 
-    Holds for tokenizers whose pre-tokenizer drops white space, so that pieces
-    between ASCII white space are encoded independently. Pieces are kept in a
-    table that is emptied at ``max_pieces`` entries, which bounds memory and
-    changes no result. Strings of special tokens in a text are ordinary text.
+    Holds for lower-casing tokenizers whose pre-tokenizer drops white space and
+    parts letters from punctuation: pieces between ASCII white space are then
+    encoded independently, and so are a word and the sentence marks after it.
+    Pieces are kept in a table that is emptied at ``max_pieces`` entries, which
+    bounds memory and changes no result. Strings of special tokens in a text
+    are ordinary text.
     """
 
-    def __init__(self, tokenizer_path: str, max_pieces: int = 400_000):
+    MARKS = ".,;:!?"
+
+    def __init__(self, tokenizer_path: str, max_pieces: int = 800_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -160,17 +165,30 @@ class WordEncoder:
         self.max_pieces = max_pieces
         self.known: dict[bytes, bytes] = {}
 
+    def parts(self, piece: bytes) -> tuple[bytes, ...]:
+        """What ``piece`` is encoded as: itself, or a word and its sentence marks."""
+        text = piece.lower().decode() if piece.isascii() else piece.decode()
+        word = text.rstrip(self.MARKS)
+        if word and word != text and (word[-1] in "0123456789" or word[-1].isalpha() and word[-1].islower()):
+            return word.encode(), text[len(word) :].encode()
+        return (text.encode(),)
+
+    def learn(self, pieces: set[bytes]) -> None:
+        known = self.known
+        parts = {p: self.parts(p) for p in pieces if p not in known}
+        new = list({x for p in parts.values() for x in p if x not in known})
+        for part, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
+            known[part] = np.array(e.ids, dtype="<u4").tobytes()
+        for piece, p in parts.items():
+            known[piece] = b"".join(known[x] for x in p)
+
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         pieces = (text or "").encode().split()
-        known = self.known
-        if new := list(set(pieces).difference(known)):
-            if len(known) + len(new) > self.max_pieces:
-                known.clear()
-                new = list(set(pieces))
-            for piece, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-                known[piece] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, pieces))
+        if len(self.known) > self.max_pieces:
+            self.known.clear()
+        self.learn(set(pieces))
+        return b"".join(map(self.known.__getitem__, pieces))
 
 
 MANIFEST = "shard int, seq int, path string, n_docs long, n_tokens long"
@@ -184,7 +202,7 @@ def write_token_files(docs: DataFrame, out_uri: str, tokenizer_path: str, *, id_
     """
 
     def run(batches):
-        encoder = WordEncoder(tokenizer_path)
+        encoder = process_state(f"words {tokenizer_path}", lambda: WordEncoder(tokenizer_path))
         wide = encoder.tokenizer.get_vocab_size() > 1 << 16
         end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         shard, seq = TaskContext.get().partitionId(), 0
