@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, curriculum, maxscore, prefix_bpe, site_quality, token_store, toxicity, warc
+from . import binary_codes, chat, curriculum, maxscore, prefix_bpe, site_quality, token_store, toxicity, warc
 from .workspace import Workspace
 
 
@@ -45,6 +45,11 @@ def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
+def op7_binary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = binary_codes.near_duplicates(table(spark, sf_dir, "embeddings"), Workspace(spark, "codes"))
+    return rows.withColumnRenamed("id", "vec_id")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -71,6 +76,7 @@ QUERIES = {
     "op3_perspectives": op3_perspectives,
     "op5_maxscore": op5_maxscore,
     "op6_curriculum": op6_curriculum,
+    "op7_binary_codes": op7_binary_codes,
     "op8_toxicity": op8_toxicity,
     "op9_prefix_bpe": op9_prefix_bpe,
     "op10_site_quality": op10_site_quality,
