@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_codes, chat, curriculum, maxscore, prefix_bpe, site_quality, token_store, toxicity, warc
+from . import binary_codes, chat, curriculum, forest, maxscore, prefix_bpe, site_quality, token_store, toxicity, warc
 from .workspace import Workspace
 
 
@@ -32,6 +32,11 @@ def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = forest.near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "forest"))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").filter(maxscore.finite_vector(F.col("embedding")))
     terms, weights = maxscore.quantized_terms(F.col("embedding"), 256)
@@ -74,6 +79,7 @@ QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_warc": op2_warc,
     "op3_perspectives": op3_perspectives,
+    "op4_minhash_forest": op4_minhash_forest,
     "op5_maxscore": op5_maxscore,
     "op6_curriculum": op6_curriculum,
     "op7_binary_codes": op7_binary_codes,
