@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, *, id_col: str = "doc_id", t
     places = classes.select(F.posexplode("keys").alias("tree", "key"), "id")
     shared = places.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     regions = ws.table("regions", places.join(shared, "key").join(classes.select("id", "sig"), "id").select("key", "tree", "id", "sig"))
-    needed = regions.select("id").distinct()
+    needed = regions.select("id").distinct().hint("merge")  # one plan at every size: the texts are shuffled once
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi")
     texts = ws.table("texts", texts)
 
