@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+TYPES = {"string": T.StringType(), "binary": T.BinaryType(), "int": T.IntegerType(), "bigint": T.LongType(), "tinyint": T.ByteType(), "double": T.DoubleType(), "date": T.DateType(), "timestamp": T.TimestampType()}
+
+
 def schema(text: str) -> T.StructType:
-    """A schema from ``name type`` pairs separated by commas."""
-    return T.StructType.fromDDL(text)
+    """A schema from ``name type`` pairs separated by commas; needs no session."""
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in map(str.split, text.split(","))])
 
 
 #: The nine columns of a source file and their Silver names and types.
@@ -46,10 +49,10 @@ FEATURE_COLUMNS = (
 )
 
 #: The event envelope; every transaction field is text so that malformed values survive.
-EVENT = schema(
-    "schema_version string, event_id string, produced_at_utc string, source_file string, source_file_date string, "
-    "source_row_number bigint, transaction struct<" + ", ".join(f"{c}: string" for c in SOURCE_COLUMNS) + ">"
-)
+EVENT = T.StructType([
+    *schema("schema_version string, event_id string, produced_at_utc string, source_file string, source_file_date string, source_row_number bigint").fields,
+    T.StructField("transaction", SOURCE),
+])
 EVENT_VERSION = "1.0"
 KAFKA = schema("key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp")
 STREAM_METADATA = ("schema_version", "event_id", "produced_at_utc", "kafka_key", "kafka_topic", "kafka_partition", "kafka_offset", "kafka_timestamp")

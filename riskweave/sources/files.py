@@ -35,7 +35,7 @@ def discover_daily_files(folder: str | Path, suffix: str = ".pkl") -> list[Path]
 def read_source_csv(spark: SparkSession, path: str, *, null_value: str | None = "") -> DataFrame:
     """Source rows as text; ``null_value`` is the spelling of a missing value (None: an empty field stays text)."""
     reader = spark.read.schema(SOURCE).option("header", True)
-    return (reader.option("nullValue", null_value) if null_value is not None else reader.option("nullValue", "\0").option("emptyValue", "")).csv(path)
+    return reader.option("nullValue", null_value).csv(path) if null_value is not None else reader.csv(path).na.fill("")
 
 
 def read_source_pickles(spark: SparkSession, folder: str) -> DataFrame:
