@@ -20,27 +20,27 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
     shared folder.
     """
     edges = edges.filter("a <> b").select("a", "b")
-    edges = ws.table(f"{name}-edges-0", edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    edges = ws.narrow_table(f"{name}-edges-0", edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     maps, step = [], 0
     while not edges.isEmpty():
         def priority(column, salt=step):
             return F.struct(F.xxhash64(F.col(column), F.lit(salt)).alias("p"), F.col(column).alias("n"))
 
         chosen = edges.groupBy("a").agg(F.min(priority("b")).alias("best")).select("a", F.least(priority("a"), F.col("best"))["n"].alias("to"))
-        chosen = ws.table(f"{name}-map-{step}", chosen)
+        chosen = ws.narrow_table(f"{name}-map-{step}", chosen)
         maps.append(chosen)
         moved = edges.join(chosen, "a").select(F.col("to").alias("x"), F.col("b").alias("a")).join(chosen, "a").select("x", F.col("to").alias("y"))
         step += 1
-        edges = ws.table(f"{name}-edges-{step}", moved.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        edges = ws.narrow_table(f"{name}-edges-{step}", moved.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
         ws.drop(f"{name}-edges-{step - 1}")
     if not maps:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = maps[0].select(F.col("a").alias("id"), F.col("to").alias("root"))
     for m in maps[1:]:
         roots = roots.join(m, F.col("root") == F.col("a"), "left").select("id", F.coalesce("to", "root").alias("root"))
-    roots = ws.table(f"{name}-roots", roots)
+    roots = ws.narrow_table(f"{name}-roots", roots)
     least = roots.groupBy("root").agg(F.min("id").alias("component"))
-    return ws.table(name, roots.join(least, "root").select("id", "component"))
+    return ws.narrow_table(name, roots.join(least, "root").select("id", "component"))
 
 
 def meet_in_blocks(ws: Workspace, rows: DataFrame, key: str, member: str, name: str, *, limit: int, broadcast_keys: int = 10_000) -> DataFrame:
@@ -53,7 +53,7 @@ def meet_in_blocks(ws: Workspace, rows: DataFrame, key: str, member: str, name:
     ``limit`` rows. The table of large keys is broadcast if it has at most
     ``broadcast_keys`` rows.
     """
-    large = ws.table(name, rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(F.col(key).alias("_key"), F.ceil(F.col("_n") / limit).cast("int").alias("_g")))
+    large = ws.narrow_table(name, rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(F.col(key).alias("_key"), F.ceil(F.col("_n") / limit).cast("int").alias("_g")))
     n = large.count()
     zero = F.lit(0)
     if not n:

@@ -7,24 +7,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import binary_codes, chat, curriculum, forest, maxscore, prefix_bpe, site_quality, token_store, toxicity, warc
-from .workspace import Workspace
+from .workspace import Workspace, compact
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """Rows that name files, dealt to at most two tasks a core."""
+    return files.repartition(max(1, min(files.count(), 2 * files.sparkSession.sparkContext.defaultParallelism)), "path")
+
+
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "tokens")
     files = token_store.write_token_files(table(spark, sf_dir, "documents"), ws.folder("files"), public_tokenizers.path("word_bpe_49k.json"))
-    return token_store.read_token_files(spark, ws.table("manifest", files))
+    return token_store.read_token_files(spark, ws.narrow_table("manifest", files))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "warc")
-    files = ws.table("manifest", warc.write_warc(table(spark, sf_dir, "pages"), ws.folder("files")))
-    files = files.repartition(max(1, min(files.count(), 20_000)), "path")
-    records = warc.read_warc(files, with_payload=False).filter("kind in ('response', 'revisit')")
+    files = ws.narrow_table("manifest", warc.write_warc(table(spark, sf_dir, "pages"), ws.folder("files")))
+    records = warc.read_warc(spread(files), with_payload=False).filter("kind in ('response', 'revisit')")
     return records.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
 
@@ -34,7 +38,7 @@ def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = forest.near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "forest"))
-    return rows.withColumnRenamed("id", "doc_id")
+    return compact(rows.withColumnRenamed("id", "doc_id"))
 
 
 def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,17 +46,18 @@ def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms, weights = maxscore.quantized_terms(F.col("embedding"), 256)
     rows = rows.select(F.col("vec_id").alias("id"), terms.alias("terms"), weights.alias("weights"))
     found = maxscore.top_k(rows, rows.filter("id % 50 = 0"), 5)
-    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+    return compact(found.select("query_id", "rank", F.col("id").alias("vec_id"), "score"))
 
 
 def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = curriculum.assign(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    rows = compact(rows)
     return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
 def op7_binary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = binary_codes.near_duplicates(table(spark, sf_dir, "embeddings"), Workspace(spark, "codes"))
-    return rows.withColumnRenamed("id", "vec_id")
+    return compact(rows.withColumnRenamed("id", "vec_id"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

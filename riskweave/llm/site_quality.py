@@ -137,7 +137,7 @@ def classify(docs: DataFrame, model: Model, ws, *, text_col: str = "text", host_
     """Adds _evidence, _host_rate, _path_rate, _score and _kept to every document."""
     narrow = docs.select(F.col(text_col).alias("_text"), F.col(host_col).alias("_host"), F.col(path_col).alias("_path"))
     p = 1 / (1 + F.exp(-F.col("_logit")))
-    paths = ws.table("paths", evidence(narrow, model, text_col="_text").groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("_n"), F.sum(p).alias("_s")))
+    paths = ws.narrow_table("paths", evidence(narrow, model, text_col="_text").groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("_n"), F.sum(p).alias("_s")))
     hosts = paths.groupBy("_host").agg(F.sum("_n").alias("_hn"), F.sum("_s").alias("_hs"))
     totals = hosts.agg(F.sum("_hn").alias("n"), F.sum("_hs").alias("s"), F.sum(F.lit(1)).alias("g")).first()
     rate = min(max((totals["s"] or 0.0) / (totals["n"] or 1), 1e-6), 1 - 1e-6)
@@ -145,7 +145,7 @@ def classify(docs: DataFrame, model: Model, ws, *, text_col: str = "text", host_
     hosts = hosts.withColumn("_host_rate", (F.col("_hs") + k_host * rate) / (F.col("_hn") + k_host))
     pairs = paths.join(hosts.withColumnRenamed("_host", "_h"), F.col("_host").eqNullSafe(F.col("_h")))
     k_path = _strength(pairs, "_n", F.col("_s") / F.col("_n"), F.col("_host_rate"))
-    sites = ws.table("sites", pairs.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "_host_rate", ((F.col("_s") + k_path * F.col("_host_rate")) / (F.col("_n") + k_path)).alias("_path_rate")))
+    sites = ws.narrow_table("sites", pairs.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "_host_rate", ((F.col("_s") + k_path * F.col("_host_rate")) / (F.col("_n") + k_path)).alias("_path_rate")))
     if sites.count() <= broadcast_sites:
         sites = F.broadcast(sites)
     own = evidence(docs, model, text_col=text_col)

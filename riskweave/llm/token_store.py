@@ -239,7 +239,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, *, batch_docs: in
     """
     order = Window.orderBy("shard", "seq").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("path", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("base"))
-    n = max(1, min(manifest.count(), 20_000))
+    n = max(1, min(manifest.count(), 2 * spark.sparkContext.defaultParallelism))
 
     def run(batches):
         for batch in batches:

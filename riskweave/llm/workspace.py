@@ -25,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found if "://" in found or found.startswith("file:") else f"file://{found}"
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """At most two partitions a core, without a shuffle: for rows of a few numbers, whose files would be tiny."""
+    return df.coalesce(max(8, 2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 class Workspace:
     """A folder of one operator's run; removed when the driver's JVM ends."""
 
@@ -41,6 +46,10 @@ class Workspace:
         df.write.mode("overwrite").parquet(f"{self.uri}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.uri}/{name}")
 
+    def narrow_table(self, name: str, df: DataFrame) -> DataFrame:
+        """``table`` for rows of a few numbers, in fewer files."""
+        return self.table(name, compact(df))
+
     def folder(self, name: str) -> str:
         """A folder for files that tasks write themselves."""
         self._fs.mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.uri}/{name}"))
