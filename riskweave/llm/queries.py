@@ -92,4 +92,80 @@ QUERIES = {
     "op9_prefix_bpe": op9_prefix_bpe,
     "op10_site_quality": op10_site_quality,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+#: DuckDB: components of edges (a, b, both directions) over nodes (id), by the smallest id reachable.
+REACH_SQL = """
+reach(id, root) AS (SELECT id, id FROM nodes UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.id WHERE r.root < e.b),
+least AS (SELECT id, min(root) AS component_id FROM reach GROUP BY 1)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT *, sha1(payload) AS h, min(page_id) OVER (PARTITION BY payload) AS first FROM p),
+g AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(h, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS q FROM d)
+SELECT page_id, octet_length(payload) AS payload_bytes,
+  list_aggregate(list_transform(q, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 15) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 10) & 31) + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM g""",
+    "op3_perspectives": """
+WITH t AS (
+  SELECT conv_id, coalesce(CAST(floor(turn / 256) AS BIGINT), -1) AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), people AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+r AS (
+  SELECT t.*, p.speaker, t.role = p.speaker AS own, text || '<|im_end|>' AS body,
+    CASE WHEN t.role = p.speaker THEN '<|im_start|>assistant' WHEN t.role = 'system' THEN '<|im_start|>system' ELSE '<|im_start|>user name=' || t.role END || chr(10) AS head
+  FROM t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), c AS (
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM r
+)
+SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text,
+  coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(body) AS BIGINT), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (own), '') AS mask
+FROM c GROUP BY conv_id, speaker, part""",
+    "op4_minhash_forest": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) END) AS shingle FROM w
+), n AS (SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY 1),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+edges AS (SELECT a, b FROM pairs JOIN n i ON i.doc_id = a JOIN n j ON j.doc_id = b WHERE 100 * shared >= 75 * (i.n_shingles + j.n_shingles - shared)),
+nodes AS (SELECT doc_id AS id FROM documents),"""
+    + REACH_SQL
+    + """
+SELECT d.doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN least l ON l.id = d.doc_id""",
+    "op5_maxscore": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.e, d.e) AS BIGINT) AS score FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op6_curriculum": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(31) || md5(coalesce(text, ''))) AS digest FROM documents
+), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, 3 * source_size AS cap FROM s),
+l AS (
+  SELECT *, cap / weight AS ratio, (sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)
+), t AS (
+  SELECT source, source_size, CASE WHEN ratio > x.level THEN x.level * weight ELSE CAST(cap AS DOUBLE) END AS target
+  FROM l LEFT JOIN (SELECT level FROM l WHERE ratio > level ORDER BY ratio, source NULLS LAST LIMIT 1) x ON true
+), p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE size * len(list_filter([0, 1, 2], lambda e: 2 * (start + e * source_size) + size < 2 * target)) END AS BIGINT) AS taken FROM p""",
+    "op7_binary_codes": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), edges AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.9),
+nodes AS (SELECT vec_id AS id FROM embeddings),"""
+    + REACH_SQL
+    + """
+SELECT d.vec_id, (SELECT count(*) FROM edges e WHERE e.a = d.vec_id) AS n_links, component_id, d.vec_id = component_id AS kept FROM embeddings d JOIN least l ON l.id = d.vec_id""",
+}

@@ -11,6 +11,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -641,11 +642,15 @@ def test_every_operator_is_registered():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, SF).toPandas(), con.execute(queries.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    rows = lambda df: Counter(tuple(map(repr, map(lambda x: x.item() if hasattr(x, "item") else x, r))) for r in df[sorted(df.columns)].itertuples(index=False))
+
+    def rows(df):
+        df = df[sorted(df.columns)].astype(object)
+        return Counter(tuple(None if pd.isna(x) else repr(float(x)) if isinstance(x, int | float) else str(x) for x in r) for r in df.itertuples(index=False))
+
     assert rows(got) == rows(want)
 
 
