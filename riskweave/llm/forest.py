@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import Sets, components, meet_in_blocks, runs
-from .worker import process_state
+from .worker import Recent, process_state
 from .workspace import Workspace
 
 DEPTH = 3
@@ -48,13 +48,12 @@ WORDS = 5
 class Shingler:
     """Sets of 64-bit shingle hashes of whole texts."""
 
-    def __init__(self, max_words: int = 800_000):
+    def __init__(self, max_words: int = 300_000):
         import xxhash
 
         self.hash = xxhash.xxh3_64_intdigest
         self.hash128 = xxhash.xxh3_128_intdigest
-        self.max_words = max_words
-        self.known: dict[bytes, int] = {}
+        self.known = Recent(max_words)
 
     def words(self, text: str | None) -> list[bytes]:
         """Lower-cased (A-Z) words between ASCII white space."""
@@ -64,10 +63,9 @@ class Shingler:
         """Distinct shingle hashes, ascending."""
         if not words:
             return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > self.max_words:
-            known.clear()
-        for w in set(words).difference(known):
+        new = self.known.missing(set(words))
+        known = self.known.now
+        for w in new:
             known[w] = self.hash(w)
         h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
         width = min(WORDS, len(h))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .worker import process_state
+from .worker import Recent, process_state
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -122,7 +122,7 @@ class PairTable:
 class PrefixEncoder:
     """Encodes pieces and whole texts; pieces seen before are looked up."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, splits: np.ndarray | None = None, max_pieces: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, splits: np.ndarray | None = None, max_pieces: int = 300_000):
         import regex
 
         self.pairs = PairTable(ranks, splits)
@@ -135,8 +135,7 @@ class PrefixEncoder:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.bytes = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
         self.length_of = self.lengths.tolist()
-        self.max_pieces = max_pieces
-        self.known: dict[str, bytes] = {}
+        self.known = Recent(max_pieces)
 
     def encode_piece(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
@@ -144,14 +143,9 @@ class PrefixEncoder:
 
     def encode(self, text: str | None) -> np.ndarray:
         known, pieces = self.known, self.find(text or "")
-        for piece in set(pieces).difference(known):
-            if len(known) >= self.max_pieces and len(piece) <= 64:
-                known.clear()
-            known[piece] = np.array(self.encode_piece(piece.encode()), dtype="<u4").tobytes()
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, pieces)), dtype="<u4")
-        except KeyError:  # the table was emptied on the way
-            return np.array([t for p in pieces for t in self.encode_piece(p.encode())], dtype="<u4")
+        for piece in known.missing(set(pieces)):
+            known.now[piece] = np.array(self.encode_piece(piece.encode()), dtype="<u4").tobytes()
+        return np.frombuffer(b"".join(map(known.now.__getitem__, pieces)), dtype="<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids, gathered from one table."""

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .files import attempt_name, locate, write_file
-from .worker import process_state
+from .worker import Recent, process_state
 
 MAGIC = b"RWTOKEN1"
 HEADER, HEADER_BYTES = "<8sBxxxIQQQQ16x", 64
@@ -147,8 +148,7 @@ class WordEncoder:
     Holds for lower-casing tokenizers whose pre-tokenizer drops white space and
     parts letters from punctuation: pieces between ASCII white space are then
     encoded independently, and so are a word and the sentence marks after it.
-    Pieces are kept in a table that is emptied at ``max_pieces`` entries, which
-    bounds memory and changes no result. Strings of special tokens in a text
+    Pieces met lately are kept, about twice ``max_pieces`` at most. Strings of special tokens in a text
     are ordinary text.
     """
 
@@ -162,8 +162,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
-        self.max_pieces = max_pieces
-        self.known: dict[bytes, bytes] = {}
+        self.known = Recent(max_pieces)
 
     def parts(self, piece: bytes) -> tuple[bytes, ...]:
         """What ``piece`` is encoded as: itself, or a word and its sentence marks."""
@@ -174,21 +173,21 @@ class WordEncoder:
         return (text.encode(),)
 
     def learn(self, pieces: set[bytes]) -> None:
-        known = self.known
-        parts = {p: self.parts(p) for p in pieces if p not in known}
-        new = list({x for p in parts.values() for x in p if x not in known})
-        for part, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-            known[part] = np.array(e.ids, dtype="<u4").tobytes()
+        parts = {p: self.parts(p) for p in self.known.missing(pieces)}
+        now, before = self.known.now, self.known.before
+        words = {x: now.get(x) or before.get(x) for p in parts.values() for x in p}
+        new = [x for x, found in words.items() if found is None]
+        for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+            words[word] = array("I", e.ids).tobytes()
+        now.update(words)
         for piece, p in parts.items():
-            known[piece] = b"".join(known[x] for x in p)
+            now[piece] = words[p[0]] if len(p) == 1 else words[p[0]] + words[p[1]]
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         pieces = (text or "").encode().split()
-        if len(self.known) > self.max_pieces:
-            self.known.clear()
         self.learn(set(pieces))
-        return b"".join(map(self.known.__getitem__, pieces))
+        return b"".join(map(self.known.now.__getitem__, pieces))
 
 
 MANIFEST = "shard int, seq int, path string, n_docs long, n_tokens long"

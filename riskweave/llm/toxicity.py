@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .logistic import fit_logistic
-from .worker import process_state
+from .worker import Recent, process_state
 
 WORD = re.compile(r"[^\W_]+(?:[@$][^\W_]+)*")
 #: Opening and closing quotation marks, and words that announce a quotation.
@@ -126,18 +126,15 @@ class Matcher:
 
     automaton: LexiconAutomaton
     window: int = 6
-    max_words: int = 500_000
-    known: dict[str, tuple[float, int] | None] = field(default_factory=dict)
+    known: Recent = field(default_factory=lambda: Recent(200_000))
 
     def features(self, text: str | None) -> list[float]:
         """Abusive and quoted sums, of exact and of misspelled terms, their share of the words, and the largest."""
         lowered = (text or "").lower()
         words = WORD.findall(lowered)
-        known = self.known
-        if len(known) > self.max_words:
-            known.clear()
-        match = self.automaton.match
-        for w in set(words).difference(known):
+        match, new = self.automaton.match, self.known.missing(set(words))
+        known = self.known.now
+        for w in new:
             known[w] = match(w)
         hits = [w for w in set(words) if known[w] is not None]
         sums = [0.0, 0.0, 0.0, 0.0]

@@ -1,4 +1,4 @@
-"""State kept for the life of a Python worker, shared by the tasks that it runs."""
+"""State kept between the tasks of a Python worker."""
 
 from __future__ import annotations
 
@@ -7,8 +7,39 @@ import types
 
 
 def process_state(key: str, build):
-    """What ``build()`` returned when first asked for ``key`` in this process."""
+    """What ``build()`` returned when ``key`` was first asked for.
+
+    A process keeps the state it was asked for last and no other, so its memory
+    does not grow with the number of operators that it has worked for.
+    """
     store = sys.modules.setdefault("_riskweave_worker_state", types.ModuleType("_riskweave_worker_state")).__dict__
-    if key not in store:
-        store[key] = build()
-    return store[key]
+    if key not in store.setdefault("states", {}):
+        store["states"].clear()
+        store["states"][key] = build()
+    return store["states"][key]
+
+
+class Recent:
+    """A table of results that forgets keys not asked for lately.
+
+    It holds at most two generations of about ``limit`` keys (more only if one
+    text has more), so memory is bounded; forgetting changes no result.
+    ``now`` is a plain dict, which sets can be compared with quickly.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.before = limit, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys to compute and put into ``now``; afterwards ``now`` has all ``keys``."""
+        new = keys.difference(self.now)
+        if len(self.now) + len(new) > self.limit:
+            self.before, self.now = self.now, {}
+            new = keys
+        out, now, before = [], self.now, self.before
+        for key in new:
+            if key in before:
+                now[key] = before[key]
+            else:
+                out.append(key)
+        return out

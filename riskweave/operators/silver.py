@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +65,11 @@ def judge(bronze: DataFrame, known_ids: DataFrame | None = None) -> DataFrame:
 def validate_bronze(bronze: DataFrame, known_ids: DataFrame | None = None) -> SilverResult:
     """Split Bronze into Silver and quarantine."""
     require_metadata(bronze)
-    judged = judge(bronze, known_ids)
+    return split_judged(judge(bronze, known_ids))
+
+
+def split_judged(judged: DataFrame) -> SilverResult:
+    """Accepted and rejected rows of judged Bronze."""
     accepted = judged.filter(F.size("rejection_reasons") == 0)
     silver = accepted.select(*(F.col(f"typed.{n}").cast(kind).alias(n) for n, kind in SOURCE_TO_SILVER.values()), *METADATA)
     return SilverResult(silver.select(*SILVER.names), judged.filter(F.size("rejection_reasons") > 0).select(*BRONZE.names, "rejection_reasons"))
@@ -92,8 +97,17 @@ def ingest_silver(bronze: DataFrame, silver_path: str, quarantine_path: str) ->
     if not new:
         return []
     fresh = bronze.join(F.broadcast(spark.createDataFrame([(d,) for d in new], "source_file_date date")), "source_file_date", "left_semi").select(*BRONZE.names)
-    result = validate_bronze(fresh, read_ids(spark, silver_path) if has_silver else None)
+    require_metadata(fresh)
+    judged = judge(fresh, read_ids(spark, silver_path) if has_silver else None).persist(StorageLevel.DISK_ONLY)
+    try:
+        _write_days(split_judged(judged), new, silver_path, quarantine_path, quarantine_days)
+    finally:
+        judged.unpersist()
+    return new
+
+
+def _write_days(result: SilverResult, new: list, silver_path: str, quarantine_path: str, quarantine_days: str) -> None:
+    spark = result.silver.sparkSession
     result.quarantine.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_file_date").parquet(quarantine_path)
     spark.createDataFrame([(d, True) for d in new], "source_file_date date, done boolean").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_file_date").parquet(quarantine_days)
     result.silver.write.mode("append").partitionBy("source_file_date").parquet(silver_path)
-    return new

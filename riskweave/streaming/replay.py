@@ -39,36 +39,37 @@ def replay(rows: DataFrame, write: Callable[[DataFrame], None], *, produced_at:
     """Hand messages to ``write`` in order, one DataFrame per batch, on an absolute schedule.
 
     ``write`` gets Kafka-shaped rows: ``kafka_writer`` sends them to a topic,
-    ``file_writer`` appends files for the file-backed source. A rate of 0 means
-    no limit and one batch. Rows stay on the executors: a batch is a range of
-    positions in the replay order.
+    ``file_writer`` appends files for the file-backed source. A batch is a range
+    of row numbers of one day, so it is a filter on the source and rows stay on
+    the executors; the driver sees one count per batch. A rate of 0 means no
+    waiting.
     """
     require_text(topic, "topic")
     if events_per_second < 0:
         raise ValueError("events_per_second must not be negative")
     if max_events is not None:
         require_positive(max_events, "max_events")
-    messages = numbered_messages(rows, produced_at, topic)
-    keyed = rows.select("source_file_date", "source_row_number")
-    days = keyed.groupBy("source_file_date").agg(F.count(F.lit(1)).alias("n")).orderBy("source_file_date").collect()
-    total = min(sum(d["n"] for d in days), max_events or 1 << 62)
     if events_per_second == 0 and max_events is None:
+        messages = numbered_messages(rows, produced_at, topic)
         write(messages)
-        return ReplayResult(total, 1)
-    size = total if events_per_second == 0 else batch_events
+        return ReplayResult(rows.count(), 1)
+    block = F.floor(F.col("source_row_number") / batch_events)
+    blocks = rows.groupBy("source_file_date", block.alias("block")).agg(F.count(F.lit(1)).alias("n")).orderBy("source_file_date", "block").collect()
     sent, batches, due = 0, 0, clock()
-    for day in days:
-        done = 0
-        while done < day["n"] and sent < total:
-            n = min(size, day["n"] - done, total - sent)
-            piece = rows.filter(F.col("source_file_date").eqNullSafe(F.lit(day["source_file_date"])))
-            ranked = piece.withColumn("_r", F.row_number().over(Window.orderBy("source_row_number"))).filter((F.col("_r") > done) & (F.col("_r") <= done + n)).drop("_r")
-            if events_per_second:
-                if (wait := due - clock()) > 0:
-                    sleep(wait)
-                due += n / events_per_second
-            write(numbered_messages(ranked, produced_at, topic))
-            done, sent, batches = done + n, sent + n, batches + 1
+    for b in blocks:
+        n = b["n"] if max_events is None else min(b["n"], max_events - sent)
+        if not n:
+            break
+        first = b["block"] * batch_events
+        piece = rows.filter(F.col("source_file_date").eqNullSafe(F.lit(b["source_file_date"])) & (F.col("source_row_number") >= first) & (F.col("source_row_number") < first + batch_events))
+        if n < b["n"]:
+            piece = piece.orderBy("source_row_number").limit(n)
+        if events_per_second:
+            if (wait := due - clock()) > 0:
+                sleep(wait)
+            due += n / events_per_second
+        write(numbered_messages(piece, produced_at, topic))
+        sent, batches = sent + n, batches + 1
     return ReplayResult(sent, batches)
 
 
