@@ -30,17 +30,18 @@ def require_silver(silver: DataFrame) -> None:
     })
 
 
-def history(df: DataFrame, entity: str, *, with_amount: bool) -> DataFrame:
+def history(df: DataFrame, days: DataFrame, entity: str, *, with_amount: bool) -> DataFrame:
     """Adds what an entity did before each transaction: ``{entity}_count`` and, if asked for, ``{entity}_total``.
 
-    Before means an earlier (tx_datetime, transaction_id). The running totals
+    Before means an earlier (tx_datetime, transaction_id). ``days`` are the same
+    transactions with their transaction_date, for the daily sums. The running totals
     have two levels: whole earlier days come from a window over the daily sums,
     the rest from a window within (entity, day). So a busy entity is spread over
     its days, and the join by (entity, day) reuses the windows' partitioning.
     """
     key = f"{entity}_id"
     amount = F.col("tx_amount").cast(MONEY)
-    daily = df.groupBy(F.col(key).alias("_key"), F.col("transaction_date").alias("_day")).agg(F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_s"))
+    daily = days.groupBy(F.col(key).alias("_key"), F.col("transaction_date").alias("_day")).agg(F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_s"))
     earlier_days = Window.partitionBy("_key").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     daily = daily.select("_key", "_day", F.coalesce(F.sum("_n").over(earlier_days), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(earlier_days), F.lit(0)).alias("_s0"))
     within = Window.partitionBy(key, "transaction_date").orderBy("tx_datetime", "transaction_id")
@@ -57,7 +58,7 @@ def history(df: DataFrame, entity: str, *, with_amount: bool) -> DataFrame:
 def transaction_features(silver: DataFrame) -> DataFrame:
     """Silver rows with calendar features and the history of their customer and terminal."""
     base = silver.select(*SILVER.names, *(c.alias(n) for n, c in calendar_features(F.col("tx_datetime")).items()))
-    rows = history(history(base, "customer", with_amount=True), "terminal", with_amount=False)
+    rows = history(history(base, base, "customer", with_amount=True), base, "terminal", with_amount=False)
     mean = ratio(F.col("customer_total"), F.col("customer_count"))
     rows = rows.withColumn("customer_previous_mean_amount", mean)
     previous = F.col("customer_previous_mean_amount")

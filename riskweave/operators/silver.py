@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,10 @@ from ..schemas import BRONZE, METADATA, SILVER, SOURCE_TO_SILVER
 from ..sources.files import read_ids
 from ..sources.publish import exists, loaded_dates
 
-ROW_ORDER = ("source_file_date", "source_row_number", "source_file")
+def place() -> Column:
+    """Where a row stands in the order of file date and row number, as one decimal that hash aggregation can hold."""
+    day = F.unix_date("source_file_date").cast("decimal(10,0)")
+    return day * F.lit(Decimal(10**19)) + F.col("source_row_number").cast("decimal(19,0)")
 
 
 @dataclass(frozen=True)
@@ -49,11 +53,10 @@ def judge(bronze: DataFrame, known_ids: DataFrame | None = None) -> DataFrame:
     judged = evaluate_once(once.select(*BRONZE.names, typed.alias("typed"), *fields.typed.values()), {"reasons": reasons(transaction_rules(fields))})
     judged = judged.select(*BRONZE.names, "typed", "reasons")
     valid_id = F.when(F.size("reasons") == 0, F.col("typed.transaction_id"))
-    place: Column = F.struct(*ROW_ORDER)
     judged = judged.withColumn("valid_id", valid_id)
-    firsts = judged.filter("valid_id is not null").groupBy(F.col("valid_id").alias("first_id")).agg(F.min(place).alias("first_place"))
+    firsts = judged.filter("valid_id is not null").groupBy(F.col("valid_id").alias("first_id")).agg(F.min(place()).alias("first_place"))
     judged = judged.join(firsts, F.col("valid_id") == F.col("first_id"), "left")
-    duplicate = F.col("first_place").isNotNull() & (F.col("first_place") != place)
+    duplicate = F.col("first_place").isNotNull() & (F.col("first_place") != place())
     if known_ids is not None:
         known = known_ids.select(F.col("transaction_id").alias("known_id")).distinct()
         judged = judged.join(known, F.col("valid_id") == F.col("known_id"), "left")
