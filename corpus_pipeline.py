@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import curriculum, forest, prefix_bpe, site_quality, toxicity
-from riskweave.llm.workspace import Workspace
+from riskweave.llm.workspace import Workspace, compact
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = ws.table("groups", forest.near_duplicates(docs, ws))
     ids = groups.filter("id is not null").groupBy("id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     dropped = ids.filter("not kept").select(F.col("id").alias("doc_id"))
-    rest = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    rest = compact(docs.join(dropped, "doc_id", "left_anti").select(*docs.columns), per_core=8)
     if ids.filter("n > 1").isEmpty():
         return rest
     return rest.withColumn("_rw_digest", F.md5("text")).dropDuplicates(["doc_id", "_rw_digest"]).select(*docs.columns)
@@ -46,7 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training stream: documents in training order, as often as their source's target asks for."""
-    return curriculum.mix(docs)
+    return compact(curriculum.mix(docs), per_core=8)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

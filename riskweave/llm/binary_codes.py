@@ -171,13 +171,13 @@ def near_duplicates(vectors: DataFrame, ws: Workspace, *, id_col: str = "vec_id"
     vec = F.col(vec_col).cast("array<float>")
     usable = F.col(id_col).isNotNull() & finite_vector(F.col(vec_col)) & F.exists(vec, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("id"), F.when(usable, vec).alias("vec")).withColumn("h1", F.when(F.col("vec").isNotNull(), F.xxhash64("vec"))).withColumn("h2", F.when(F.col("vec").isNotNull(), F.xxhash64(F.lit(1), "vec")))
-    classes = ws.narrow_table("classes", rows.filter("vec is not null").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.min("vec").alias("vec")))
+    classes = ws.gathered_table("classes", rows.filter("vec is not null").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.min("vec").alias("vec")))
     count = classes.count()
     bits, bands = band_shape(count, threshold, miss)
     coded = ws.table("coded", index(classes.select("id", "n", "vec"), bits, bands, seed))
     buckets = coded.select(F.explode("keys").alias("key"), "id", "n", "vec", "code", "factors")
     blocks = meet_in_blocks(ws, buckets, "key", "id", "large", limit=block_rows)
-    found = ws.narrow_table("found", link_blocks(blocks.select("key", "_lo", "_hi", "id", "n", "vec", "code", "factors", "_side"), bits, bands, seed, threshold, sigmas))
+    found = ws.gathered_table("found", link_blocks(blocks.select("key", "_lo", "_hi", "id", "n", "vec", "code", "factors", "_side"), bits, bands, seed, threshold, sigmas))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(ws, found.select(F.col("id").alias("a"), F.col("root").alias("b")), "components")
     info = classes.select("h1", "h2", "id", "n").join(links, "id", "left").join(groups, "id", "left")

@@ -277,16 +277,16 @@ def near_duplicates(docs: DataFrame, ws: Workspace, *, id_col: str = "doc_id", t
     best = F.max(F.when(F.col("tree") % 2 == 0, F.struct("equal", "b"))).alias("even"), F.max(F.when(F.col("tree") % 2 == 1, F.struct("equal", "b"))).alias("odd")
     chosen = near.groupBy("a").agg(*best).select("a", F.explode(F.array("even.b", "odd.b")).alias("b")).filter("b is not null")
     chosen = ws.narrow_table("chosen", chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = ws.narrow_table("links", confirm_pairs(chosen, texts, percent))
+    links = ws.gathered_table("links", confirm_pairs(chosen, texts, percent))
     groups = components(ws, links, "first")
 
     grouped = regions.join(groups, "id", "left").select("key", "tree", "id", F.coalesce("component", "id").alias("grp"), "sig")
     mixed = grouped.groupBy("key").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x <> y").select("key")
     still = ws.table("open", grouped.join(mixed, "key", "left_semi"))
     blocks = meet_in_blocks(ws, still, "key", "id", "large", limit=block_rows)
-    wanted = ws.narrow_table("wanted", undecided(blocks.select("key", "_lo", "_hi", "tree", "id", "grp", "_side", "sig"), least_equal))
+    wanted = ws.gathered_table("wanted", undecided(blocks.select("key", "_lo", "_hi", "tree", "id", "grp", "_side", "sig"), least_equal))
     full = wanted.join(texts, "id").select("key", "_lo", "_hi", "tree", "id", "grp", "_side", "sig", "text")
-    more = ws.narrow_table("more", confirm_blocks(full, least_equal, percent))
+    more = ws.gathered_table("more", confirm_blocks(full, least_equal, percent))
     groups = components(ws, links.union(more), "all")
 
     named = classes.select("h1", "h2", "id").join(groups, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import binary_codes, chat, curriculum, forest, maxscore, prefix_bpe, site_quality, token_store, toxicity, warc
-from .workspace import Workspace, compact
+from .workspace import Workspace, compact, cores, gather
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,18 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(files: DataFrame) -> DataFrame:
     """Rows that name files, dealt to at most two tasks a core."""
-    return files.repartition(max(1, min(files.count(), 2 * files.sparkSession.sparkContext.defaultParallelism)), "path")
+    return files.repartition(max(1, min(files.count(), 2 * cores(files))))
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "tokens")
     files = token_store.write_token_files(table(spark, sf_dir, "documents"), ws.folder("files"), public_tokenizers.path("word_bpe_49k.json"))
-    return token_store.read_token_files(spark, ws.narrow_table("manifest", files))
+    return token_store.read_token_files(spark, ws.gathered_table("manifest", files))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "warc")
-    files = ws.narrow_table("manifest", warc.write_warc(table(spark, sf_dir, "pages"), ws.folder("files")))
+    files = ws.gathered_table("manifest", warc.write_warc(table(spark, sf_dir, "pages"), ws.folder("files")))
     records = warc.read_warc(spread(files), with_payload=False).filter("kind in ('response', 'revisit')")
     return records.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
@@ -65,19 +65,20 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), usable=~held_out)
     scored = toxicity.score(docs, model, score_col="score")
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return gather(scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
 
 
 def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return prefix_bpe.encode_column(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids_col=None, digests=True).drop("text")
+    rows = prefix_bpe.encode_column(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids_col=None, digests=True)
+    return gather(rows.drop("text"))
 
 
 def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     model = site_quality.train(docs, table(spark, sf_dir, "labels"))
     rows = site_quality.classify(docs, model, Workspace(spark, "quality"))
-    return rows.select("doc_id", F.col("_evidence").alias("evidence"), F.col("_host_rate").alias("host_rate"), F.col("_path_rate").alias("path_rate"), F.col("_score").alias("score"), F.col("_kept").alias("kept"))
+    return gather(rows.select("doc_id", F.col("_evidence").alias("evidence"), F.col("_host_rate").alias("host_rate"), F.col("_path_rate").alias("path_rate"), F.col("_score").alias("score"), F.col("_kept").alias("kept")))
 
 
 QUERIES = {

@@ -256,4 +256,4 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, *, batch_docs: in
                     )
                 file.close()
 
-    return files.repartition(n, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

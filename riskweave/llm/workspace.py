@@ -25,9 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found if "://" in found or found.startswith("file:") else f"file://{found}"
 
 
-def compact(df: DataFrame) -> DataFrame:
-    """At most two partitions a core, without a shuffle: for rows of a few numbers, whose files would be tiny."""
-    return df.coalesce(max(8, 2 * df.sparkSession.sparkContext.defaultParallelism))
+def cores(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
+def compact(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """At most ``per_core`` partitions a core, without a shuffle, so that results come in fewer files.
+
+    The stage that makes the rows runs in as few tasks, so it must be a light
+    one, behind a shuffle of its own, and must not use its partition number.
+    """
+    return df.coalesce(max(8, per_core * cores(df)))
+
+
+def gather(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """The same for narrow rows of a heavy stage: they are shuffled, and the stage keeps its tasks."""
+    return df.repartition(max(8, per_core * cores(df)))
 
 
 class Workspace:
@@ -47,9 +60,13 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(f"{self.uri}/{name}")
 
     def narrow_table(self, name: str, df: DataFrame) -> DataFrame:
-        """``table`` for rows of a few numbers, in fewer files."""
+        """``table`` for rows of a few numbers from a light stage, in fewer files."""
         return self.table(name, compact(df))
 
+    def gathered_table(self, name: str, df: DataFrame) -> DataFrame:
+        """``table`` for rows of a few numbers from a heavy stage, in fewer files."""
+        return self.table(name, gather(df))
+
     def folder(self, name: str) -> str:
         """A folder for files that tasks write themselves."""
         self._fs.mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.uri}/{name}"))

@@ -98,8 +98,14 @@ def test_word_encoder_equals_the_library():
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_op1_over_the_table(spark):
-    rows = queries.op1_token_store(spark, SF).orderBy("start").collect()
+@pytest.mark.parametrize("merge", ["true", "false"])
+def test_op1_over_the_table(spark, merge):
+    """With one shard, and with as many as there are shuffle partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merge)
+    try:
+        rows = queries.op1_token_store(spark, SF).orderBy("start").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     tokenizer, at = Tokenizer.from_file(WORD_FILE), 0
     for r, d in zip(rows, table(spark, "documents").orderBy("doc_id").collect(), strict=True):
         ids = [*tokenizer.encode(d["text"] or "", add_special_tokens=False).ids, 1]
