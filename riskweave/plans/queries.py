@@ -6,6 +6,8 @@ sides, so results do not depend on the order of rows.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -16,7 +18,7 @@ from ..functions import scalars
 from ..ml import dataset, metrics, models, policy, thresholds, tuning
 from ..operators import bronze, gold, silver
 from ..schemas import MODEL_FEATURES, SILVER_NAMES, SOURCE_TO_SILVER
-from ..streaming import events, risk
+from ..streaming import events, ingest, risk
 from . import checks, marts
 from .adapter import FEATURES_SQL, RAW_SQL, RISK_SQL, SCORED_SQL, SUMMARY_SQL, TX_SQL, raw_bronze, scored, transactions
 
@@ -317,6 +319,37 @@ def approximate_risk_windows(spark, sf_dir):
     return plain(risk.risk_windows(transactions(spark, sf_dir), "customer"))
 
 
+def scratch(spark) -> str:
+    """A new folder that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/riskweave-stream-{uuid.uuid4().hex}"
+
+
+@query(with_sql(STREAM_SQL, "SELECT DISTINCT t_id AS transaction_id FROM streamed WHERE rejection_reasons = ''"))
+def stream_deduplicated(spark, sf_dir):
+    """The ids that a real stream over message files writes to Silver."""
+    root = scratch(spark)
+    messages(spark, sf_dir).write.parquet(f"{root}/messages")
+    valid = events.judged_messages(ingest.file_messages(spark, f"{root}/messages")).filter("is_valid")
+    frames = {"silver": events.silver_events(events.deduplicate(valid))}
+    ingest.drain(ingest.start_queries(frames, ingest.StreamPaths(f"{root}/out", f"{root}/checkpoints"), prefix=f"dedup-{root[-8:]}", trigger=None).values())
+    return spark.read.parquet(f"{root}/out/silver").select("transaction_id")
+
+
+@query(with_sql(TX_SQL + ", m AS (SELECT max(tx_datetime) - INTERVAL 10 MINUTES AS mark FROM tx)", """
+SELECT strftime(time_bucket(INTERVAL 1 HOUR, tx_datetime), '%Y-%m-%d %H:%M:%S') AS window_start, customer_id, count(*) AS transaction_count, max(tx_amount) AS maximum_amount,
+       count(*) FILTER (hour(tx_datetime) BETWEEN 0 AND 5) AS night_transaction_count
+FROM tx, m WHERE time_bucket(INTERVAL 1 HOUR, tx_datetime) + INTERVAL 1 HOUR <= mark GROUP BY 1, 2"""))
+def stream_closed_windows(spark, sf_dir):
+    """The windows that a real stream emits once the watermark has passed them."""
+    root = scratch(spark)
+    transactions(spark, sf_dir).write.parquet(f"{root}/silver")
+    stream = spark.readStream.schema(spark.read.parquet(f"{root}/silver").schema).parquet(f"{root}/silver")
+    frames = {"windows": risk.risk_windows(stream, "customer")}
+    ingest.drain(ingest.start_queries(frames, ingest.StreamPaths(f"{root}/out", f"{root}/checkpoints"), prefix=f"windows-{root[-8:]}", trigger=None).values())
+    return plain(spark.read.parquet(f"{root}/out/windows").select("window_start", "customer_id", "transaction_count", "maximum_amount", "night_transaction_count"))
+
+
 # --- model dataset and evaluation --------------------------------------------
 
 DATASET_SQL = FEATURES_SQL + """,
