@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; if they come in fewer pieces than there are cores, dealt out first."""
+    docs = table(spark, sf_dir, "documents")
+    return docs if docs.rdd.getNumPartitions() >= cores(docs) else docs.repartition(2 * cores(docs))
+
+
 def spread(files: DataFrame) -> DataFrame:
     """Rows that name files, dealt to at most two tasks a core."""
     return files.repartition(max(1, min(files.count(), 2 * cores(files))))
@@ -37,7 +43,7 @@ def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = forest.near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "forest"))
+    rows = forest.near_duplicates(documents(spark, sf_dir), Workspace(spark, "forest"))
     return compact(rows.withColumnRenamed("id", "doc_id"))
 
 
@@ -61,7 +67,7 @@ def op7_binary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), usable=~held_out)
     scored = toxicity.score(docs, model, score_col="score")
@@ -69,13 +75,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     rows = prefix_bpe.encode_column(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids_col=None, digests=True)
     return gather(rows.drop("text"))
 
 
 def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
     model = site_quality.train(docs, table(spark, sf_dir, "labels"))
     rows = site_quality.classify(docs, model, Workspace(spark, "quality"))
     return gather(rows.select("doc_id", F.col("_evidence").alias("evidence"), F.col("_host_rate").alias("host_rate"), F.col("_path_rate").alias("path_rate"), F.col("_score").alias("score"), F.col("_kept").alias("kept")))

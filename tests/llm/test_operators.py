@@ -279,7 +279,7 @@ def test_near_duplicates_equal_brute_force(spark, block_rows):
 
 
 def test_near_duplicates_of_hard_rows(spark, hard):
-    got = forest.near_duplicates(hard.drop("id"), Workspace(spark, "t")).collect()
+    got = forest.near_duplicates(hard, Workspace(spark, "t")).collect()
     assert Counter((r["id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == Counter(
         [(3, 4, 3, True), (4, 4, 3, False), (4, 4, 3, False), (1, 0, 1, True), (2, 0, 2, True), (5, 0, 5, True), (6, 1, 6, True), (7, 2, 7, True), (None, 1, None, False)]
     )
