@@ -21,8 +21,8 @@ first three values of an order share a region of it.
 
 Candidates have no cap. A pair at exactly the threshold is missed by all orders
 with probability (1 - 0.75^3)^20 < 2e-5; the signature filter rejects it with
-less than 2e-5 (4.3 deviations). No pair leaves a task unless it is a link of a
-spanning forest.
+less than 2e-5 (4.3 deviations). Neighbours give at most two candidates a class
+and order; opened regions give links of a spanning forest, never pairs.
 
 Defined cases: null, empty and white-space texts have empty sets and are linked
 with nothing; texts of fewer than five words have one shingle; rows with a null

@@ -154,7 +154,7 @@ class WordEncoder:
 
     MARKS = ".,;:!?"
 
-    def __init__(self, tokenizer_path: str, max_pieces: int = 800_000):
+    def __init__(self, tokenizer_path: str, max_pieces: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
