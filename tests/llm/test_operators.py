@@ -23,7 +23,8 @@ import __spark_entry__
 from riskweave.llm import binary_codes, chat, curriculum, forest, maxscore, prefix_bpe, queries, site_quality, token_store, toxicity, warc
 from riskweave.llm.files import locate
 from riskweave.llm.graph import components, meet_in_blocks
-from riskweave.llm.workspace import Workspace
+from riskweave.llm.worker import Recent, process_state
+from riskweave.llm.workspace import Workspace, compact, gather
 
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -660,5 +661,29 @@ def test_query_matches_its_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+def test_workers_keep_little():
+    recent = Recent(10)
+    for lo in range(0, 1000, 3):
+        keys = set(range(lo, lo + 8))
+        for k in recent.missing(keys):
+            recent.now[k] = k * k
+        assert all(recent.now[k] == k * k for k in keys) and len(recent.now) + len(recent.before) <= 28
+    assert len(recent.missing(set(range(5000, 5050)))) == 50
+    built = []
+    for key in ("a", "a", "b", "a"):
+        process_state(f"test {key}", lambda: built.append(1))
+    assert len(built) == 3
+
+
+def test_narrow_results_come_in_few_files(spark):
+    df = spark.range(0, 1000, 1, 60)
+    assert compact(df).rdd.getNumPartitions() == gather(df).rdd.getNumPartitions() == 8
+    assert compact(df).count() == gather(df).count() == 1000
+    ws = Workspace(spark, "t")
+    assert ws.table("x", df).count() == ws.gathered_table("y", df).count() == 1000
+    ws.drop("x")
+    assert queries.documents(spark, SF).rdd.getNumPartitions() >= 4
+
+
 def test_files_are_located():
     assert locate("file:/tmp/x")[1] == locate("file:///tmp/x")[1] == locate("/tmp/x")[1] == "/tmp/x"
