@@ -178,6 +178,7 @@ def near_duplicates(vectors: DataFrame, ws: Workspace, *, id_col: str = "vec_id"
     buckets = coded.select(F.explode("keys").alias("key"), "id", "n", "vec", "code", "factors")
     blocks = meet_in_blocks(ws, buckets, "key", "id", "large", limit=block_rows)
     found = ws.gathered_table("found", link_blocks(blocks.select("key", "_lo", "_hi", "id", "n", "vec", "code", "factors", "_side"), bits, bands, seed, threshold, sigmas))
+    ws.drop("coded")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(ws, found.select(F.col("id").alias("a"), F.col("root").alias("b")), "components")
     info = classes.select("h1", "h2", "id", "n").join(links, "id", "left").join(groups, "id", "left")
