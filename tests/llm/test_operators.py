@@ -183,6 +183,19 @@ def test_salvage_through_many_chunks():
     assert ids(walk(bytes(data))) == [0, 2, 3, 4, 5]
 
 
+def test_damaged_archives_are_read_by_tasks(spark, tmp_path):
+    parts = [simple(i) for i in range(6)]
+    whole = bytearray(b"".join(parts))
+    at = len(parts[0]) + len(parts[1])
+    whole[at + 60] ^= 0xFF
+    (tmp_path / "a.warc.gz").write_bytes(bytes(whole))
+    (tmp_path / "b.warc").write_bytes(b"lead" + simple(9, gz=False))
+    rows = warc.read_warc(warc.list_archives(spark, str(tmp_path))).collect()
+    assert sorted(r["page_id"] for r in rows if r["kind"] == "response") == [0, 1, 3, 4, 5, 9]
+    assert {(r["offset"], r["length"]) for r in rows if r["kind"] == "gap"} == {(at, len(parts[2])), (0, 4)}
+    assert all(r["reason"] for r in rows if r["kind"] == "gap")
+
+
 def test_op2_over_the_table(spark):
     want = duckdb.sql(f"SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM '{SF}/pages.parquet'").fetchall()
     digest = lambda s: base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()
