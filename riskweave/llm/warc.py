@@ -10,8 +10,10 @@ grouped minimum over digests, so no group of copies is ever gathered.
 Reader: walks members (or plain records), checking framing, CRC, lengths and
 block digests. After a failed check it searches on for the next gzip member or
 ``WARC/`` version line that yields a valid record, returns what follows and
-logs the bytes between as a quarantined gap. Archives are read through a
-sliding buffer, so memory is bounded by the largest record.
+logs the bytes between as a quarantined gap. Inside a sound member of several
+records it does the same; such a gap names the member and the bytes of its
+content. Archives are read through a sliding buffer, so memory is bounded by
+the largest member or plain record.
 
 Defined cases: a null payload is an empty one; a null id is written as a
 response without a page id if all equal payloads have null ids, else as a
@@ -151,15 +153,15 @@ class Damaged(Exception):
     """A check of a record failed."""
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and length of the record at the start of ``data``."""
-    if not VERSION_LINE.match(data):
+def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """Headers, block and end of the record that begins at ``at``."""
+    if not VERSION_LINE.match(data, at):
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n")
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         raise Damaged("no end of header")
     headers = {}
-    for line in data[: end + 2].split(b"\r\n")[1:-1]:
+    for line in data[at : end + 2].split(b"\r\n")[1:-1]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("bad header line")
@@ -178,6 +180,28 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
     return headers, block, begin + length + 4
 
 
+def content_records(content: bytes) -> tuple[list[tuple[dict[str, str], bytes]], list[tuple[int, int, str]]]:
+    """The valid records of a member's content, and (begin, end, reason) of the bytes that belong to none."""
+    found, lost, at, gap, reason = [], [], 0, None, ""
+    while at < len(content):
+        try:
+            headers, block, end = parse_record(content, at)
+        except Damaged as e:
+            if gap is None:
+                gap, reason = at, str(e)
+            line = VERSION_LINE.search(content, at + 1)
+            at = line.start() if line else len(content)
+            continue
+        if gap is not None:
+            lost.append((gap, at, reason))
+            gap = None
+        found.append((headers, block))
+        at = end
+    if gap is not None:
+        lost.append((gap, len(content), reason))
+    return found, lost
+
+
 def member_at(window: Window, at: int) -> tuple[bytes, int]:
     """The content of the gzip member at ``at`` and its end."""
     z, out, position = zlib.decompressobj(31), [], at
@@ -232,14 +256,12 @@ def salvage(source, size: int):
         try:
             if window.piece(at, min(size, at + 3)) == MEMBER:
                 content, end = member_at(window, at)
-                found, position = [], 0
-                while position < len(content):
-                    headers, block, length = parse_record(content[position:] if position else content)
-                    found.append((headers, block))
-                    position += length
+                found, lost = content_records(content)
+                if lost and not found:
+                    raise Damaged(lost[0][2])
             else:
                 (one, end) = plain_at(window, at)
-                found = [one]
+                found, lost = [one], []
         except Damaged as e:
             if gap is None:
                 gap, reason = at, str(e)
@@ -251,6 +273,8 @@ def salvage(source, size: int):
             gap = None
         for headers, block in found:
             yield "record", at, end, headers, block
+        for begin, stop, why in lost:
+            yield "gap", at, end, f"bytes {begin}-{stop} of the member's content: {why}", None
         at = end
         window.forget(at)
     if gap is not None:

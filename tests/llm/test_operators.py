@@ -175,6 +175,21 @@ def test_salvage_recovers_what_follows_damage(gz):
     assert walk(b"") == [] and gaps(walk(b"nothing here")) == [(0, 12)]
 
 
+def test_salvage_inside_a_member_of_several_records():
+    plain = [simple(i, gz=False) for i in range(4)]
+    content = bytearray(b"".join(plain))
+    content[len(plain[0]) + len(plain[1]) // 2] ^= 0xFF
+    data = warc.member(bytes(content)) + simple(7)
+    end = len(data) - len(simple(7))
+    assert ids(walk(data)) == [0, 2, 3, 7] and gaps(walk(data)) == [(0, end)]
+    reason = next(f[3] for f in walk(data) if f[0] == "gap")
+    assert f"bytes {len(plain[0])}-{len(plain[0]) + len(plain[1])} " in reason
+    whole = warc.member(b"".join(plain)) + warc.member(b"")
+    assert ids(walk(whole)) == [0, 1, 2, 3] and not gaps(walk(whole))
+    none = warc.member(b"no record") + simple(7)
+    assert ids(walk(none)) == [7] and gaps(walk(none)) == [(0, len(none) - len(simple(7)))]
+
+
 def test_salvage_through_many_chunks():
     rng = np.random.default_rng(3)
     big = [warc.member(warc.page_record(i, "http://x", rng.bytes(700_000), None, "2024-01-01T00:00:00Z")) for i in range(6)]
