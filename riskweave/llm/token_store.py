@@ -148,8 +148,8 @@ class WordEncoder:
     Holds for lower-casing tokenizers whose pre-tokenizer drops white space and
     parts letters from punctuation: pieces between ASCII white space are then
     encoded independently, and so are a word and the sentence marks after it.
-    Pieces met lately are kept, about twice ``max_pieces`` at most. Strings of special tokens in a text
-    are ordinary text.
+    Pieces met lately are kept, about twice ``max_pieces`` at most. Strings of
+    special tokens in a text get their ids, as the library does by default.
     """
 
     MARKS = ".,;:!?"
@@ -161,12 +161,16 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = Recent(max_pieces)
 
     def parts(self, piece: bytes) -> tuple[bytes, ...]:
         """What ``piece`` is encoded as: itself, or a word and its sentence marks."""
-        text = piece.lower().decode() if piece.isascii() else piece.decode()
+        text = piece.decode()
+        lowered = text.lower()
+        if any(x in lowered for x in self.special):
+            return (piece,)
+        text = lowered if piece.isascii() else text
         word = text.rstrip(self.MARKS)
         if word and word != text and (word[-1] in "0123456789" or word[-1].isalpha() and word[-1].islower()):
             return word.encode(), text[len(word) :].encode()

@@ -715,3 +715,12 @@ def test_narrow_results_come_in_few_files(spark):
 
 def test_files_are_located():
     assert locate("file:/tmp/x")[1] == locate("file:///tmp/x")[1] == locate("/tmp/x")[1] == "/tmp/x"
+
+
+def test_special_strings_are_encoded_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, library = token_store.WordEncoder(path), Tokenizer.from_file(path)
+    for text in ["<|endoftext|>", "a<|endoftext|>B. c", "<|ENDOFTEXT|> x", "end <|startoftext|>.", "<|endof text|>"]:
+        assert list(np.frombuffer(encoder.encode(text), "<u4")) == library.encode(text, add_special_tokens=False).ids
