@@ -17,7 +17,8 @@ first three values of an order share a region of it.
    depth of its neighbours. Any other is opened at its shallow depth: all pairs
    from different groups whose signatures agree enough are confirmed, most
    similar first, and pairs that links have joined meanwhile are passed over,
-   as they cannot change the result. Large regions are opened in blocks.
+   as they cannot change the result. Pairs that share the whole region key of
+   an earlier order were decided there. Large regions are opened in blocks.
 
 Candidates have no cap. A pair at exactly the threshold is missed by all orders
 with probability (1 - 0.75^3)^20 < 2e-5; the signature filter rejects it with
@@ -189,8 +190,16 @@ def confirm_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     return rows.repartition("at").sortWithinPartitions("at", "kind", "id").mapInArrow(run, "a long, b long")
 
 
-def open_pairs(ids, groups, side, sig, lo: int, hi: int, tree: int, least_equal: int):
-    """Positions and agreement of pairs from different groups that first meet in this order."""
+def earlier_keys(column, n: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(n, -1)
+
+
+def open_pairs(ids, groups, side, sig, earlier, lo: int, hi: int, least_equal: int):
+    """Positions and agreement of pairs from different groups that first meet in this order.
+
+    ``earlier`` has the region keys of the orders before this one: two rows met
+    there only if a whole key is the same, which signature bytes cannot tell.
+    """
     for a in range(0, len(ids), 64):
         b0 = 0 if lo != hi else a
         equal = np.zeros((len(sig[a : a + 64]), len(sig) - b0), dtype=np.int16)
@@ -201,13 +210,10 @@ def open_pairs(ids, groups, side, sig, lo: int, hi: int, tree: int, least_equal:
         i, j = i + a, j + b0
         keep = (groups[i] != groups[j]) & ((side[i] < side[j]) if lo != hi else (i < j))
         i, j, agreed = i[keep], j[keep], agreed[keep]
-        if tree:
-            shared = np.zeros(len(i), dtype=bool)
-            for t in range(tree):
-                s = slice(t * DEPTH, t * DEPTH + DEPTH)
-                shared |= (sig[i, s] == sig[j, s]).all(axis=1)
-            i, j, agreed = i[~shared], j[~shared], agreed[~shared]
-        yield i, j, agreed
+        shared = np.zeros(len(i), dtype=bool)
+        for t in range(earlier.shape[1]):
+            shared |= earlier[i, t] == earlier[j, t]
+        yield i[~shared], j[~shared], agreed[~shared]
 
 
 BLOCK_KEYS = ["key", "_lo", "_hi"]
@@ -219,14 +225,14 @@ def undecided(blocks: DataFrame, least_equal: int) -> DataFrame:
         for (key, lo, hi), table in runs(batches, 3):
             if table.num_rows < 2:
                 continue
-            tree, ids, groups, side = (table.column(i).to_numpy() for i in (3, 4, 5, 6))
+            ids, groups, side = (table.column(i).to_numpy() for i in (3, 4, 5))
             wanted = np.zeros(len(ids), dtype=bool)
-            for i, j, _ in open_pairs(ids, groups, side, signatures(table.column(7), len(ids)), lo, hi, int(tree[0]), least_equal):
+            for i, j, _ in open_pairs(ids, groups, side, signatures(table.column(6), len(ids)), earlier_keys(table.column(7), len(ids)), lo, hi, least_equal):
                 wanted[i] = wanted[j] = True
             if n := int(wanted.sum()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, lo, np.int32)), pa.array(np.full(n, hi, np.int32)), *(table.column(i).filter(pa.array(wanted)).combine_chunks() for i in (3, 4, 5, 6, 7))], ["key", "_lo", "_hi", "tree", "id", "grp", "_side", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, lo, np.int32)), pa.array(np.full(n, hi, np.int32)), *(table.column(i).filter(pa.array(wanted)).combine_chunks() for i in range(3, 8))], ["key", "_lo", "_hi", "id", "grp", "_side", "sig", "earlier"])
 
-    return blocks.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS).mapInArrow(run, "key long, _lo int, _hi int, tree int, id long, grp long, _side int, sig binary")
+    return blocks.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS).mapInArrow(run, "key long, _lo int, _hi int, id long, grp long, _side int, sig binary, earlier array<long>")
 
 
 def confirm_blocks(rows: DataFrame, least_equal: int, percent: int) -> DataFrame:
@@ -234,8 +240,8 @@ def confirm_blocks(rows: DataFrame, least_equal: int, percent: int) -> DataFrame
     def run(batches):
         shingler = process_state("shingler", Shingler)
         for (_, lo, hi), table in runs(batches, 3):
-            tree, ids, groups, side = (table.column(i).to_numpy() for i in (3, 4, 5, 6))
-            pairs = list(open_pairs(ids, groups, side, signatures(table.column(7), len(ids)), lo, hi, int(tree[0]), least_equal))
+            ids, groups, side = (table.column(i).to_numpy() for i in (3, 4, 5))
+            pairs = list(open_pairs(ids, groups, side, signatures(table.column(6), len(ids)), earlier_keys(table.column(7), len(ids)), lo, hi, least_equal))
             i, j, agreed = (np.concatenate([p[k] for p in pairs]) for k in range(3))
             order = np.argsort(-agreed, kind="stable")
             _, group = np.unique(groups, return_inverse=True)
@@ -282,10 +288,12 @@ def near_duplicates(docs: DataFrame, ws: Workspace, *, id_col: str = "doc_id", t
 
     grouped = regions.join(groups, "id", "left").select("key", "tree", "id", F.coalesce("component", "id").alias("grp"), "sig")
     mixed = grouped.groupBy("key").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x <> y").select("key")
-    still = ws.table("open", grouped.join(mixed, "key", "left_semi"))
+    own_keys = classes.select("id", F.col("sig").alias("_sig"), "keys")
+    still = grouped.join(mixed, "key", "left_semi").join(own_keys, "id").filter("sig = _sig and element_at(keys, tree + 1) = key")
+    still = ws.table("open", still.select("key", "id", "grp", "sig", F.slice("keys", F.lit(1), F.col("tree")).alias("earlier")))
     blocks = meet_in_blocks(ws, still, "key", "id", "large", limit=block_rows)
-    wanted = ws.gathered_table("wanted", undecided(blocks.select("key", "_lo", "_hi", "tree", "id", "grp", "_side", "sig"), least_equal))
-    full = wanted.join(texts, "id").select("key", "_lo", "_hi", "tree", "id", "grp", "_side", "sig", "text")
+    wanted = ws.gathered_table("wanted", undecided(blocks.select("key", "_lo", "_hi", "id", "grp", "_side", "sig", "earlier"), least_equal))
+    full = wanted.join(texts, "id").select("key", "_lo", "_hi", "id", "grp", "_side", "sig", "earlier", "text")
     more = ws.gathered_table("more", confirm_blocks(full, least_equal, percent))
     groups = components(ws, links.union(more), "all")
 

@@ -307,6 +307,24 @@ def test_near_duplicates_equal_brute_force(spark, block_rows):
     assert all(r["n_shingles"] == len(shingles(texts[i])) and r["kept"] == (want[i] == i) for i, r in got.items())
 
 
+def test_bridge_whose_bytes_collide_in_an_earlier_order(spark):
+    """Two families with one link, whose texts agree in the bytes but not the keys of an order before all they share."""
+    seed = 2764
+    common = [f"w{seed}x{i}" for i in range(87)]
+    x, y = common + [f"p{seed}y{i}" for i in range(13)], common + [f"q{seed}z{i}" for i in range(13)]
+    texts = [x, ["x1", *x[1:]], ["x2", *x[1:]], y, ["y1", *y[1:]], ["y2", *y[1:]]]
+    texts = {i: " ".join(words) for i, words in enumerate(texts)}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    rows = {r["id"]: r for r in forest.digest_rows(df, "id", "text", 20, 96, 11).collect()}
+    bytes_agree = [rows[0]["sig"][3 * t : 3 * t + 3] == rows[3]["sig"][3 * t : 3 * t + 3] for t in range(20)]
+    keys_agree = [k == m for k, m in zip(rows[0]["keys"], rows[3]["keys"], strict=True)]
+    assert bytes_agree.index(True) < keys_agree.index(True)
+    want = groups({i: shingles(t) for i, t in texts.items()})
+    assert set(want.values()) == {0} and set(groups({i: shingles(t) for i, t in texts.items() if i}).values()) == {1, 3}
+    got = forest.near_duplicates(df, Workspace(spark, "t"), id_col="id").collect()
+    assert {r["id"]: r["component_id"] for r in got} == want
+
+
 def test_near_duplicates_of_hard_rows(spark, hard):
     got = forest.near_duplicates(hard, Workspace(spark, "t")).collect()
     assert Counter((r["id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == Counter(
