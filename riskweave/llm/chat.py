@@ -5,26 +5,68 @@ dialogue is rendered with that speaker's turns as ``assistant``, everyone
 else's as ``user`` with a name, neutral turns (system) as they are, and a loss
 mask that covers the speaker's words and the end mark after them.
 
-Long dialogues are rendered in parts of ``part_turns`` consecutive turn numbers,
-so no task ever holds a whole one; the parts of a perspective, put one after
-the other, are its full rendering, and masks count characters from the start
-of their part. Speakers are counted by distinct names with partial aggregation.
+Long dialogues are rendered in parts of ``part_turns`` consecutive turn numbers.
+A range of turn numbers with more rows than that (repeated or null turns, or
+rows without a conversation id) is cut further by row numbers, and the parts
+after it are numbered on, so no part has more than ``part_turns`` rows. The parts
+of a perspective, put one after the other, are its full rendering, and masks
+count characters from the start of their part. Speakers are counted by distinct
+names with partial aggregation.
 
 Defined cases: null texts are empty; null speakers take part under the name
 "unknown"; null conversation ids form one conversation and null turns come
-first, as part -1; rows that share a turn number are ordered by speaker and
+first, from part -1 on; rows that share a turn number are ordered by speaker and
 text; repeated rows are rendered as often as they occur; a dialogue with
 neutral turns only has no participant and no row; no rows give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .workspace import Workspace
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
+def bounded_parts(rows: DataFrame, part_turns: int, broadcast_ranges: int = 10_000) -> DataFrame:
+    """(conv_id, part, rows) with the sorted rows of each part, ``part_turns`` at most.
+
+    Ranges with more rows are sorted over all tasks as distinct rows with their
+    number; row numbers come from totals per task first, then inside each.
+    """
+    def gathered(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+
+    ranges = rows.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    if not ranges.filter(F.col("n") > part_turns).count():
+        return gathered(rows)
+    ws = Workspace(rows.sparkSession, "chat")
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    more = F.coalesce(F.sum(F.ceil(F.col("n") / part_turns) - 1).over(earlier), F.lit(0))
+    moved = ranges.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), (F.col("part") + more).alias("_first"), (F.col("n") > part_turns).alias("_large"))
+    moved = ws.narrow_table("moved", moved.filter("_large or _first <> _part"))
+    small = moved.count() <= broadcast_ranges
+    placed = rows.join(F.broadcast(moved) if small else moved, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")), "left")
+    placed = placed.select("conv_id", F.coalesce("_first", "part").alias("part"), F.coalesce("_large", F.lit(False)).alias("_large"), "row")
+
+    distinct = placed.filter("_large").groupBy("conv_id", "part", "row").agg(F.count(F.lit(1)).alias("m"))
+    runs = ws.table("runs", distinct.repartitionByRange("conv_id", "part", "row").withColumn("run", F.spark_partition_id()))
+    totals = runs.groupBy("conv_id", "part", "run").agg(F.sum("m").alias("m"))
+    before = Window.partitionBy("conv_id", "part").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), F.col("run").alias("_run"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("conv_id", "part", "run").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = runs.withColumn("start", F.coalesce(F.sum("m").over(inside), F.lit(0)))
+    numbered = numbered.join(totals, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")) & (F.col("run") == F.col("_run")))
+    numbered = numbered.withColumn("start", F.col("start") + F.col("_base")).withColumn("end", F.col("start") + F.col("m"))
+    cut = numbered.withColumn("k", F.explode(F.sequence(F.floor(F.col("start") / part_turns), F.floor((F.col("end") - 1) / part_turns))))
+    copies = F.least("end", (F.col("k") + 1) * part_turns) - F.greatest("start", F.col("k") * part_turns)
+    cut = cut.select("conv_id", (F.col("part") + F.col("k")).alias("part"), F.struct("row", copies.cast("int").alias("copies")).alias("row"))
+    repeated = F.flatten(F.transform("rows", lambda r: F.array_repeat(r["row"], r["copies"])))
+    return gathered(placed.filter("not _large")).union(gathered(cut).withColumn("rows", repeated))
+
+
 def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", neutral: tuple[str, ...] = ("system",), part_turns: int = 256) -> DataFrame:
     """One row per conversation, participant and part.
 
@@ -37,7 +79,7 @@ def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
         F.coalesce(F.floor(F.col(turn_col) / part_turns), F.lit(-1)).cast("long").alias("part"),
         F.struct(F.col(turn_col).alias("turn"), speaker.alias("speaker"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).alias("row"),
     )
-    parts = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    parts = bounded_parts(rows, part_turns)
     people = rows.filter(~F.col("row.speaker").isin(*neutral)).select(F.col("conv_id").alias("c"), F.col("row.speaker").alias("speaker")).distinct()
     both = parts.join(people, parts.conv_id.eqNullSafe(people.c))
 

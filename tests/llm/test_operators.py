@@ -257,6 +257,27 @@ def test_long_dialogues_come_in_parts(spark):
             assert re.fullmatch(r"\d+<\|im_end\|>", r["text"][int(a) : int(b)])
 
 
+def test_parts_are_bounded_whatever_the_turn_numbers(spark):
+    """A hot null conversation whose turns restart, repeat or are null, beside an ordinary one."""
+    rows = [(None, i % 40, "ab"[i % 3 == 0], f"t{i % 7}") for i in range(600)] + [(None, None, "b", "null turn")] * 70 + [(None, 3, "a", "same")] * 100 + [(None, 95, "a", "end")]
+    rows += [(5, i, "ab"[i % 2], f"u{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, TURNS).repartition(5)
+    got = chat.rotate(df, part_turns=16).collect()
+    assert max(r["n_turns"] for r in got) == 16
+    assert len({(r["conv_id"], r["speaker"], r["part"]) for r in got}) == len(got)
+    for conv in (None, 5):
+        turns = [r[2:] for r in sorted((r for r in rows if r[0] == conv), key=lambda r: (-1 if r[1] is None else r[1], *r[2:]))]
+        for name in "ab":
+            parts = sorted((r for r in got if r["conv_id"] == conv and r["speaker"] == name), key=lambda r: r["part"])
+            assert "".join(r["text"] for r in parts) == rendered(turns, name)[0]
+            assert sum(r["n_turns"] for r in parts) == len(turns)
+            at = 0
+            for r in parts:
+                assert (r["text"], r["mask"]) == rendered(turns[at : at + r["n_turns"]], name)
+                at += r["n_turns"]
+    assert {r["part"] for r in got if r["conv_id"] == 5} == {0, 1, 2} and min(r["part"] for r in got) == -1
+
+
 # 4 ---------------------------------------------------------------------------
 
 def shingles(text):
