@@ -99,6 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(N_FEATURES)), batch.column(1)], [*(f"f{i}" for i in range(N_FEATURES)), "y"])
 
     table = sample.mapInArrow(rows, ", ".join(f"f{i} double" for i in range(N_FEATURES)) + ", y int").toPandas()
+    table = table.sort_values(list(table.columns))  # sums that do not depend on the order of arrival
     y = table["y"].to_numpy()
     if len(set(y)) < 2:
         return Model(np.zeros(2 * N_FEATURES), np.ones(2 * N_FEATURES), np.zeros(2 * N_FEATURES + 1))

@@ -186,12 +186,15 @@ class Model:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, *, id_col: str, text_col: str, usable: Column | None, max_train_rows: int) -> DataFrame:
     """Texts and labels of at most ``max_train_rows`` labelled ids, chosen by a hash of the id.
 
-    The sample of ids is broadcast: its size is bounded by that parameter.
+    The sample of ids is broadcast: its size is bounded by that parameter. An id
+    that repeats counts once, with the text of least hash.
     """
     rows = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     rows = rows.filter(usable) if usable is not None else rows
     chosen = rows.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col)).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(max_train_rows)
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_text", "_label")
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    one = F.min(F.struct(F.xxhash64("_text").alias("h"), "_text")).alias("r")
+    return found.groupBy("_id", "_label").agg(one).select("r._text", "_label")
 
 
 def learn_lexicon(sample: DataFrame, *, min_evidence: float = 24.0, max_terms: int = 20_000) -> dict[str, float]:
@@ -238,6 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(N_FEATURES)), batch.column(1)], [*(f"f{i}" for i in range(N_FEATURES)), "y"])
 
     table = sample.mapInArrow(rows, ", ".join(f"f{i} double" for i in range(N_FEATURES)) + ", y int").toPandas()
+    table = table.sort_values(list(table.columns))  # sums that do not depend on the order of arrival
     x, y = table.drop(columns="y").to_numpy(), table["y"].to_numpy()
     if len(set(y)) < 2:
         return Model({}, np.zeros(N_FEATURES), np.ones(N_FEATURES), np.array([-30.0] + [0.0] * N_FEATURES), fuzzy_from)

@@ -593,6 +593,16 @@ def test_toxicity_of_held_out_texts(spark):
     assert len(pairs) > 40 and sum(a == b for a, b in pairs) / len(pairs) > 0.93
 
 
+def test_training_sample_has_one_row_per_labelled_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(i, f"other {i}") for i in range(2, 40)] + [(50, None)] * 3, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (1, 1), *((i, i % 2) for i in range(2, 40)), (50, 0)], "doc_id long, toxic int")
+    for limit, n in ((100, 40), (40, 40), (7, 7)):
+        sample = toxicity.labelled_sample(docs, labels, "toxic", id_col="doc_id", text_col="text", usable=None, max_train_rows=limit)
+        rows = [tuple(r) for r in sample.collect()]
+        assert len(rows) == n and sum((t or "").startswith("text") for t, _ in rows) <= 1
+        assert sample.columns == ["_text", "_label"] and Counter(rows) == Counter(tuple(r) for r in sample.collect())
+
+
 def test_toxicity_without_labels(spark, hard):
     none = spark.createDataFrame([(3, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.train(hard, none)
