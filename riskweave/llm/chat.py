@@ -5,19 +5,29 @@ dialogue is rendered with that speaker's turns as ``assistant``, everyone
 else's as ``user`` with a name, neutral turns (system) as they are, and a loss
 mask that covers the speaker's words and the end mark after them.
 
-Long dialogues are rendered in parts of ``part_turns`` consecutive turn numbers.
-A range of turn numbers with more rows than that (repeated or null turns, or
-rows without a conversation id) is cut further by row numbers, and the parts
-after it are numbered on, so no part has more than ``part_turns`` rows. The parts
-of a perspective, put one after the other, are its full rendering, and masks
-count characters from the start of their part. Speakers are counted by distinct
+A dialogue comes as one row per turn and perspective, at every length: the
+piece of text that the turn becomes, its position, where it starts in the whole
+rendering and which characters of the whole rendering it trains. The pieces of
+a perspective, put one after the other, are its rendering; no row or task ever
+holds a whole dialogue.
+
+Offsets are the same for all perspectives but for the headers of the speaker's
+own turns, so they need one running total over a dialogue and one over each
+speaker's turns. Both have two levels: distinct rows are sorted over all tasks,
+totals per task come first, then those inside each task's range. Rows that
+repeat are carried as a number until the end. Speakers are counted by distinct
 names with partial aggregation.
 
-Defined cases: null texts are empty; null speakers take part under the name
-"unknown"; null conversation ids form one conversation and null turns come
-first, from part -1 on; rows that share a turn number are ordered by speaker and
-text; repeated rows are rendered as often as they occur; a dialogue with
-neutral turns only has no participant and no row; no rows give no rows.
+Text cannot forge a turn: a start or end mark inside a text or a name gets a
+backslash before its first bar (one more if it has some already, so that this
+can be undone), and line ends and backslashes in names are written as escapes.
+
+Defined cases: null texts are empty; a null speaker takes part without a name
+and is nobody else's name; null conversation ids form one conversation and null
+turns come first; rows that share a turn number are ordered by speaker (null
+first) and text; repeated rows are rendered as often as they occur; a dialogue
+with neutral turns only has no participant and no row; no rows give no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,79 +38,73 @@ from pyspark.sql import functions as F
 from .workspace import Workspace
 
 START, END = "<|im_start|>", "<|im_end|>"
+COPIES = 256
+
+
+def escaped(text: Column) -> Column:
+    """Text in which no start or end mark is left."""
+    return F.regexp_replace(text, r"<(\\*)\|(im_start|im_end)\|>", r"<\\$1|$2|>")
 
 
-def bounded_parts(rows: DataFrame, part_turns: int, broadcast_ranges: int = 10_000) -> DataFrame:
-    """(conv_id, part, rows) with the sorted rows of each part, ``part_turns`` at most.
+def escaped_name(name: Column) -> Column:
+    """A name on one line without marks."""
+    plain = F.replace(name, F.lit("\\"), F.lit("\\\\"))
+    plain = F.replace(F.replace(plain, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    return escaped(plain)
 
-    Ranges with more rows are sorted over all tasks as distinct rows with their
-    number; row numbers come from totals per task first, then inside each.
+
+def numbered_turns(turns: DataFrame, ws: Workspace, neutral: tuple[str, ...]) -> DataFrame:
+    """Distinct turns with copies: conv_id, turn, role, text, m, position, start and own (the speaker's turns before).
+
+    ``start`` is the offset in a rendering that has every turn as another
+    user's, ``size`` the length of the turn there.
     """
-    def gathered(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-
-    ranges = rows.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"))
-    if not ranges.filter(F.col("n") > part_turns).count():
-        return gathered(rows)
-    ws = Workspace(rows.sparkSession, "chat")
-    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    more = F.coalesce(F.sum(F.ceil(F.col("n") / part_turns) - 1).over(earlier), F.lit(0))
-    moved = ranges.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), (F.col("part") + more).alias("_first"), (F.col("n") > part_turns).alias("_large"))
-    moved = ws.narrow_table("moved", moved.filter("_large or _first <> _part"))
-    small = moved.count() <= broadcast_ranges
-    placed = rows.join(F.broadcast(moved) if small else moved, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")), "left")
-    placed = placed.select("conv_id", F.coalesce("_first", "part").alias("part"), F.coalesce("_large", F.lit(False)).alias("_large"), "row")
-
-    distinct = placed.filter("_large").groupBy("conv_id", "part", "row").agg(F.count(F.lit(1)).alias("m"))
-    runs = ws.table("runs", distinct.repartitionByRange("conv_id", "part", "row").withColumn("run", F.spark_partition_id()))
-    totals = runs.groupBy("conv_id", "part", "run").agg(F.sum("m").alias("m"))
-    before = Window.partitionBy("conv_id", "part").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), F.col("run").alias("_run"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("conv_id", "part", "run").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = runs.withColumn("start", F.coalesce(F.sum("m").over(inside), F.lit(0)))
-    numbered = numbered.join(totals, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")) & (F.col("run") == F.col("_run")))
-    numbered = numbered.withColumn("start", F.col("start") + F.col("_base")).withColumn("end", F.col("start") + F.col("m"))
-    cut = numbered.withColumn("k", F.explode(F.sequence(F.floor(F.col("start") / part_turns), F.floor((F.col("end") - 1) / part_turns))))
-    copies = F.least("end", (F.col("k") + 1) * part_turns) - F.greatest("start", F.col("k") * part_turns)
-    cut = cut.select("conv_id", (F.col("part") + F.col("k")).alias("part"), F.struct("row", copies.cast("int").alias("copies")).alias("row"))
-    repeated = F.flatten(F.transform("rows", lambda r: F.array_repeat(r["row"], r["copies"])))
-    return gathered(placed.filter("not _large")).union(gathered(cut).withColumn("rows", repeated))
-
-
-def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", neutral: tuple[str, ...] = ("system",), part_turns: int = 256) -> DataFrame:
-    """One row per conversation, participant and part.
-
-    Columns: conv_id, speaker, part, n_turns, text, mask. ``mask`` lists the
-    trained character ranges as start-end, end exclusive, joined by commas.
+    head = F.when(F.col("role").isin(*neutral), F.length(F.concat(F.lit(START), "name", F.lit("\n")))).when(F.col("role").isNull(), F.lit(len(f"{START}user\n"))).otherwise(F.length("name") + len(f"{START}user name=\n"))
+    distinct = turns.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("m"))
+    distinct = distinct.withColumn("name", escaped_name(F.col("role"))).withColumn("size", (head + F.length("text") + len(END) + 1).cast("long"))
+    order = ["turn", "role", "text"]
+    runs = ws.table("runs", distinct.repartitionByRange("conv_id", *order).withColumn("run", F.spark_partition_id()))
+
+    def running(keys: list[str], sums: dict[str, Column]) -> tuple[DataFrame, dict[str, Column]]:
+        """Totals of earlier ranges by key and range, and the window columns inside a range."""
+        totals = runs.groupBy(*keys, "run").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+        before = Window.partitionBy(*keys).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+        names = {k: f"_{k}{len(keys)}" for k in (*keys, "run")}
+        base = totals.select(*(F.col(k).alias(v) for k, v in names.items()), *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"base_{n}") for n in sums))
+        inside = Window.partitionBy(*keys, "run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return base, {n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()}
+
+    whole, offsets = running(["conv_id"], {"position": F.col("m"), "start": F.col("m") * F.col("size")})
+    own, counts = running(["conv_id", "role"], {"own": F.col("m")})
+    placed = runs.withColumns(offsets).withColumns(counts)
+    placed = placed.join(whole, F.col("conv_id").eqNullSafe(F.col("_conv_id1")) & (F.col("run") == F.col("_run1")))
+    placed = placed.join(own, F.col("conv_id").eqNullSafe(F.col("_conv_id2")) & F.col("role").eqNullSafe(F.col("_role2")) & (F.col("run") == F.col("_run2")))
+    return placed.select("conv_id", "role", "name", "text", "size", "m", *((F.col(n) + F.col(f"base_{n}")).alias(n) for n in ("position", "start", "own")))
+
+
+def rotate(turns: DataFrame, ws: Workspace | None = None, *, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", neutral: tuple[str, ...] = ("system",)) -> DataFrame:
+    """One row per conversation, participant and turn.
+
+    Columns: conv_id, speaker, position (from 0), role (the turn's speaker),
+    text, mask_start, mask_end (of the speaker's own turns, in characters of
+    the whole rendering, end exclusive; else null).
     """
-    speaker = F.coalesce(F.col(speaker_col).cast("string"), F.lit("unknown"))
-    rows = turns.select(
-        F.col(conv_col).alias("conv_id"),
-        F.coalesce(F.floor(F.col(turn_col) / part_turns), F.lit(-1)).cast("long").alias("part"),
-        F.struct(F.col(turn_col).alias("turn"), speaker.alias("speaker"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).alias("row"),
-    )
-    parts = bounded_parts(rows, part_turns)
-    people = rows.filter(~F.col("row.speaker").isin(*neutral)).select(F.col("conv_id").alias("c"), F.col("row.speaker").alias("speaker")).distinct()
-    both = parts.join(people, parts.conv_id.eqNullSafe(people.c))
-
-    def header(row: Column) -> Column:
-        return (
-            F.when(row["speaker"] == F.col("speaker"), F.lit(f"{START}assistant\n"))
-            .when(row["speaker"].isin(*neutral), F.concat(F.lit(START), row["speaker"], F.lit("\n")))
-            .otherwise(F.concat(F.lit(f"{START}user name="), row["speaker"], F.lit("\n")))
-        )
-
-    pieces = F.transform("rows", lambda r: F.struct((r["speaker"] == F.col("speaker")).alias("own"), header(r).alias("head"), F.concat(r["text"], F.lit(END)).alias("body")))
-    both = both.withColumn("pieces", pieces)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
-    walked = F.aggregate(
-        "pieces",
-        begin,
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["head"]) + F.length(p["body"]) + 1).cast("int").alias("at"),
-            F.when(p["own"], F.array_append(acc["spans"], F.concat((acc["at"] + F.length(p["head"])).cast("string"), F.lit("-"), (acc["at"] + F.length(p["head"]) + F.length(p["body"])).cast("string")))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: F.array_join(acc["spans"], ","),
+    ws = ws or Workspace(turns.sparkSession, "chat")
+    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(speaker_col).cast("string").alias("role"), escaped(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
+    placed = numbered_turns(rows, ws, neutral)
+    several = F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / COPIES)))
+    placed = placed.withColumn("part", several)
+    people = rows.filter(F.col("role").isNull() | ~F.col("role").isin(*neutral)).select(F.col("conv_id").alias("c"), F.col("role").alias("speaker")).distinct()
+    both = placed.join(people, placed.conv_id.eqNullSafe(people.c))
+    first = F.col("part") * COPIES
+    both = both.withColumn("copy", F.explode(F.sequence(first, F.least(F.col("m"), first + COPIES) - 1)))
+    mine = F.col("role").eqNullSafe(F.col("speaker"))
+    user = F.when(F.col("role").isNull(), F.lit(f"{START}user\n")).otherwise(F.concat(F.lit(f"{START}user name="), "name", F.lit("\n")))
+    header = F.when(mine, F.lit(f"{START}assistant\n")).when(F.col("role").isin(*neutral), F.concat(F.lit(START), "name", F.lit("\n"))).otherwise(user)
+    body = F.concat("text", F.lit(END))
+    shorter = F.length(user) - len(f"{START}assistant\n")  # what a turn of the speaker's own saves
+    begin = F.col("start") + F.col("copy") * F.col("size") - (F.col("own") + F.col("copy")) * shorter + len(f"{START}assistant\n")
+    return both.select(
+        "conv_id", "speaker", (F.col("position") + F.col("copy")).alias("position"), "role", F.concat(header, body, F.lit("\n")).alias("text"),
+        F.when(mine, begin).cast("long").alias("mask_start"), F.when(mine, begin + F.length(body)).cast("long").alias("mask_end"),
     )
-    text = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "")
-    return both.select("conv_id", "speaker", "part", F.size("rows").cast("long").alias("n_turns"), text.alias("text"), walked.alias("mask"))

@@ -10,9 +10,9 @@ training position is the inverse of the demand curve at c. Documents are then
 range-sorted by position.
 
 All of it is DataFrame work. Running totals are two-level: sums per (source,
-digest range) first, then inside each range, so a source that holds a third of
-all rows is spread over ``RANGES`` groups. Only the table of sources meets in
-one task.
+digest range) first, then inside each range. There are so many ranges that one
+has about ``range_rows`` rows even if a single source holds all, so a hot source
+is spread like any other. Only the table of sources meets in one task.
 
 Defined cases: a null text has size 0 and is never taken; null sources are one
 source, last in order; a source of weight 0 or without words gets target 0; the
@@ -22,10 +22,15 @@ rows; extra columns stay, internal ones are prefixed.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 1024
+from .workspace import Workspace
+
+#: Shapes of the default schedules, as (time, multiple of the weight); each integrates to 1.
+SHAPES = (((0.0, 1.6), (1.0, 0.4)), ((0.0, 0.5), (0.5, 1.5), (1.0, 0.5)), ((0.0, 0.0), (1.0, 2.0)))
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -34,11 +39,19 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def cyclic_weights(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
-    """Constant schedules: ``weights`` repeated over the sources in code-point order, nulls last."""
+def cyclic_schedules(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
+    """Schedules that change in time and whose areas are ``weights``, repeated over the sources in code-point order, nulls last.
+
+    The first source of each round fades out, the second peaks halfway and the
+    third fades in.
+    """
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (rank % len(weights) + 1).cast("int"))
-    return sources.select("source", F.array(F.struct(F.lit(0.0).alias("at"), weight.alias("weight")), F.struct(F.lit(1.0).alias("at"), weight.alias("weight"))).alias("schedule"))
+
+    def knots(weight: int, shape: tuple) -> Column:
+        return F.array(*(F.struct(F.lit(at).alias("at"), F.lit(part * weight).alias("weight")) for at, part in shape))
+
+    schedule = F.element_at(F.array(*(knots(w, SHAPES[i % len(SHAPES)]) for i, w in enumerate(weights))), (rank % len(weights) + 1).cast("int"))
+    return sources.select("source", schedule.alias("schedule"))
 
 
 def source_targets(sizes: DataFrame, schedules: DataFrame, *, max_epochs: int = 3, share: float = 1.0) -> DataFrame:
@@ -85,26 +98,29 @@ def training_time(curve: Column, demand: Column) -> Column:
 NEW = ("_size", "_source_size", "_target", "_taken", "_positions")
 
 
-def place(docs: DataFrame, keep: list[str], schedules: DataFrame | None, id_col: str, text_col: str, source_col: str, max_epochs: int, weights: tuple[int, ...]) -> DataFrame:
+def place(docs: DataFrame, keep: list[str], schedules: DataFrame | None, ws: Workspace | None, id_col: str, text_col: str, source_col: str, max_epochs: int, weights: tuple[int, ...], range_rows: int) -> DataFrame:
     """The kept columns under ``_row``, beside the columns of NEW."""
     text = F.col(text_col)
     base = docs.select(
         F.struct(*(F.col(c) for c in keep)).alias("_row"),
         F.col(source_col).alias("_source"),
+        F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("_key"),
         word_count(text).alias("_size"),
         F.md5(F.concat_ws("\x1f", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))).alias("_digest"),
     )
-    base = base.withColumn("_range", F.floor(F.conv(F.substring("_digest", 1, 4), 16, 10).cast("int") * RANGES / 65536).cast("int"))
-    ranges = base.groupBy("_source", "_range").agg(F.sum("_size").alias("n"))
+    base = ws.table("rows", base) if ws else base
+    n_ranges = 1 << max(0, (math.ceil(docs.count() / range_rows) - 1).bit_length())
+    base = base.withColumn("_range", F.shiftright(F.conv(F.substring("_digest", 1, 8), 16, 10).cast("long") * n_ranges, 32))
+    ranges = base.groupBy("_key", "_range").agg(F.sum("_size").alias("n"), F.min("_source").alias("_source"))
     sizes = ranges.groupBy(F.col("_source").alias("source")).agg(F.sum("n").alias("source_size"))
-    targets = source_targets(sizes, cyclic_weights(sizes, weights) if schedules is None else schedules, max_epochs=max_epochs)
-    before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.select("_source", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_range_start"))
+    targets = source_targets(sizes, cyclic_schedules(sizes, weights) if schedules is None else schedules, max_epochs=max_epochs)
+    before = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select("_key", "_source", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_range_start"))
     info = starts.join(targets, F.col("_source").eqNullSafe(F.col("source"))).select(
-        F.col("_source").alias("s"), F.col("_range").alias("r"), "_range_start", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("curve").alias("_curve"), F.col("area").alias("_area"))
-    within = Window.partitionBy("_source", "_range").orderBy("_digest").rowsBetween(Window.unboundedPreceding, -1)
+        "_key", "_range", "_range_start", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("curve").alias("_curve"), F.col("area").alias("_area"))
+    within = Window.partitionBy("_key", "_range").orderBy("_digest").rowsBetween(Window.unboundedPreceding, -1)
     placed = base.withColumn("_before", F.coalesce(F.sum("_size").over(within), F.lit(0)))
-    placed = placed.join(info, F.col("_source").eqNullSafe(F.col("s")) & (F.col("_range") == F.col("r")))
+    placed = placed.join(info, ["_key", "_range"])  # the window's shuffle serves the join too
     start = F.col("_range_start") + F.col("_before")
     epochs = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_epochs - 1)), lambda e: start + e * F.col("_source_size")), lambda s: (F.col("_size") > 0) & (2 * s + F.col("_size") < 2 * F.col("_target")))
     placed = placed.withColumn("_starts", epochs)
@@ -112,21 +128,22 @@ def place(docs: DataFrame, keep: list[str], schedules: DataFrame | None, id_col:
     return placed.select("_row", "_size", "_source_size", "_target", (F.col("_size") * F.size("_starts")).alias("_taken"), positions.alias("_positions"))
 
 
-def assign(docs: DataFrame, schedules: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = 3, weights: tuple[int, ...] = (5, 2, 1), keep: list[str] | None = None) -> DataFrame:
+def assign(docs: DataFrame, schedules: DataFrame | None = None, ws: Workspace | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = 3, weights: tuple[int, ...] = (5, 2, 1), keep: list[str] | None = None, range_rows: int = 10_000) -> DataFrame:
     """Per document: _size, _source_size, _target, _taken and _positions (one per repetition).
 
     ``schedules`` is a DataFrame (source, schedule array<struct<at, weight>>);
-    by default the ``weights`` cycle over the sources, constant in time. The
-    columns in ``keep`` (all by default) stay in front; new ones replace old
-    ones of the same name. A repetition is taken if the middle of its words lies
+    by default the ``weights`` cycle over the sources, in shapes that change in
+    time. The columns in ``keep`` (all by default) stay in front; new ones
+    replace old ones of the same name. With ``ws`` the kept columns are written
+    there, so that texts are read once; that is for narrow ones. A repetition is taken if the middle of its words lies
     before the target, so each source ends within half a document of it.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in NEW]
-    return place(docs, keep, schedules, id_col, text_col, source_col, max_epochs, weights).select(*(F.col(f"_row.`{c}`").alias(c) for c in keep), *NEW)
+    return place(docs, keep, schedules, ws, id_col, text_col, source_col, max_epochs, weights, range_rows).select(*(F.col(f"_row.`{c}`").alias(c) for c in keep), *NEW)
 
 
-def mix(docs: DataFrame, schedules: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = 3, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
+def mix(docs: DataFrame, schedules: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = 3, weights: tuple[int, ...] = (5, 2, 1), range_rows: int = 10_000) -> DataFrame:
     """The training stream: every taken repetition of a document as a row, range-sorted by position."""
-    rows = place(docs, docs.columns, schedules, id_col, text_col, source_col, max_epochs, weights)
+    rows = place(docs, docs.columns, schedules, None, id_col, text_col, source_col, max_epochs, weights, range_rows)
     stream = rows.select("_row", F.explode("_positions").alias("_position")).repartitionByRange("_position").sortWithinPartitions("_position")
     return stream.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -7,11 +7,16 @@ import uuid
 from pyarrow import fs
 
 
+#: Hadoop's names of stores and those that pyarrow knows.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def locate(uri: str):
     """The file system and the path in it of a URI or a plain local path."""
     if uri.startswith("file:") and not uri.startswith("file://"):
         uri = "file://" + uri[len("file:"):]
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+    scheme, colon, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}") if colon else (fs.LocalFileSystem(), uri)
 
 
 def attempt_name(stem: str, suffix: str) -> str:

@@ -49,12 +49,13 @@ WORDS = 5
 class Shingler:
     """Sets of 64-bit shingle hashes of whole texts."""
 
-    def __init__(self, max_words: int = 300_000):
+    def __init__(self, recent_bytes: int = 72 << 20):
         import xxhash
 
         self.hash = xxhash.xxh3_64_intdigest
         self.hash128 = xxhash.xxh3_128_intdigest
-        self.known = Recent(max_words)
+        self.known = Recent(recent_bytes)
+        self.signed = Recent(16 << 20, weight=40)
 
     def words(self, text: str | None) -> list[bytes]:
         """Lower-cased (A-Z) words between ASCII white space."""

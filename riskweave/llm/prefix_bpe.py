@@ -122,7 +122,7 @@ class PairTable:
 class PrefixEncoder:
     """Encodes pieces and whole texts; pieces seen before are looked up."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, splits: np.ndarray | None = None, max_pieces: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, splits: np.ndarray | None = None, recent_bytes: int = 96 << 20):
         import regex
 
         self.pairs = PairTable(ranks, splits)
@@ -135,7 +135,7 @@ class PrefixEncoder:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.bytes = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
         self.length_of = self.lengths.tolist()
-        self.known = Recent(max_pieces)
+        self.known = Recent(recent_bytes)
 
     def encode_piece(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)

@@ -39,7 +39,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.rotate(table(spark, sf_dir, "conversations"))
+    return chat.rotate(table(spark, sf_dir, "conversations"), Workspace(spark, "chat"))
 
 
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +56,13 @@ def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = curriculum.assign(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    rows = compact(rows)
-    return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+    """Every document with its place in the mix, in training order (those not taken last); places are billionths of the training time."""
+    rows = curriculum.assign(table(spark, sf_dir, "documents"), ws=Workspace(spark, "mix"), keep=["doc_id"])
+    billionths = lambda at: F.floor(at * 1e9).cast("long")
+    rows = rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"),
+                       billionths(F.array_min("_positions")).alias("first_place"), billionths(F.array_max("_positions")).alias("last_place"))
+    order = F.col("first_place").asc_nulls_last(), F.col("doc_id")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def op7_binary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +86,10 @@ def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
-    model = site_quality.train(docs, table(spark, sf_dir, "labels"))
-    rows = site_quality.classify(docs, model, Workspace(spark, "quality"))
-    return gather(rows.select("doc_id", F.col("_evidence").alias("evidence"), F.col("_host_rate").alias("host_rate"), F.col("_path_rate").alias("path_rate"), F.col("_score").alias("score"), F.col("_kept").alias("kept")))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = site_quality.train(docs, table(spark, sf_dir, "labels"), usable=~held_out)
+    rows = site_quality.classify(docs, model, Workspace(spark, "quality"), keep=["doc_id"])
+    return gather(rows.select("doc_id", held_out.alias("held_out"), *(F.col(c).alias(c[1:]) for c in site_quality.NEW)))
 
 
 QUERIES = {
@@ -115,20 +120,21 @@ SELECT page_id, octet_length(payload) AS payload_bytes,
     || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM g""",
-    "op3_perspectives": """
+    "op3_perspectives": r"""
 WITH t AS (
-  SELECT conv_id, coalesce(CAST(floor(turn / 256) AS BIGINT), -1) AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
-), people AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+  SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '<(\\*)\|(im_start|im_end)\|>', '<\\\1|\2|>', 'g') AS text,
+    regexp_replace(replace(replace(replace(role, '\', '\\'), chr(10), '\n'), chr(13), '\r'), '<(\\*)\|(im_start|im_end)\|>', '<\\\1|\2|>', 'g') AS name FROM conversations
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text) - 1 AS position FROM t
+), people AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role IS DISTINCT FROM 'system'),
 r AS (
-  SELECT t.*, p.speaker, t.role = p.speaker AS own, text || '<|im_end|>' AS body,
-    CASE WHEN t.role = p.speaker THEN '<|im_start|>assistant' WHEN t.role = 'system' THEN '<|im_start|>system' ELSE '<|im_start|>user name=' || t.role END || chr(10) AS head
-  FROM t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+  SELECT n.*, p.speaker, n.role IS NOT DISTINCT FROM p.speaker AS own, text || '<|im_end|>' AS body,
+    CASE WHEN n.role IS NOT DISTINCT FROM p.speaker THEN '<|im_start|>assistant' WHEN n.role = 'system' THEN '<|im_start|>system' ELSE '<|im_start|>user' || coalesce(' name=' || name, '') END || chr(10) AS head
+  FROM n JOIN people p ON n.conv_id IS NOT DISTINCT FROM p.conv_id
 ), c AS (
-  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM r
+  SELECT *, CAST(coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS BIGINT) AS start FROM r
 )
-SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text,
-  coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(body) AS BIGINT), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (own), '') AS mask
-FROM c GROUP BY conv_id, speaker, part""",
+SELECT conv_id, speaker, position, role, head || body || chr(10) AS text, CASE WHEN own THEN start END AS mask_start, CASE WHEN own THEN start + length(body) END AS mask_end FROM c""",
     "op4_minhash_forest": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -154,18 +160,26 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(31) || md5(coalesce(text, ''))) AS digest FROM documents
 ), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
-w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, 3 * source_size AS cap FROM s),
+o AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS shape, 3 * source_size AS cap FROM s),
+w AS (SELECT *, CAST([5, 2, 1][shape + 1] AS DOUBLE) AS weight FROM o),
 l AS (
   SELECT *, cap / weight AS ratio, (sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)
 ), t AS (
-  SELECT source, source_size, CASE WHEN ratio > x.level THEN x.level * weight ELSE CAST(cap AS DOUBLE) END AS target
+  SELECT source, source_size, shape, weight AS area, CASE WHEN ratio > x.level THEN x.level * weight ELSE CAST(cap AS DOUBLE) END AS target
   FROM l LEFT JOIN (SELECT level FROM l WHERE ratio > level ORDER BY ratio, source NULLS LAST LIMIT 1) x ON true
 ), p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.shape, t.area, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), q AS (
+  SELECT *, list_transform(list_filter([0, 1, 2], lambda e: size > 0 AND 2 * (start + e * source_size) + size < 2 * target), lambda e: CAST(start + e * source_size AS DOUBLE) / target * area) AS demands FROM p
+), k AS (
+  SELECT *, list_transform(demands, lambda c: CASE WHEN shape = 0 THEN {'at': 0.0::DOUBLE, 'w': 8.0::DOUBLE, 'slope': -6.0::DOUBLE, 'need': c} WHEN shape = 2 THEN {'at': 0.0::DOUBLE, 'w': 0.0::DOUBLE, 'slope': 2.0::DOUBLE, 'need': c}
+    WHEN c < 1 THEN {'at': 0.0::DOUBLE, 'w': 1.0::DOUBLE, 'slope': 4.0::DOUBLE, 'need': c} ELSE {'at': 0.5::DOUBLE, 'w': 3.0::DOUBLE, 'slope': -4.0::DOUBLE, 'need': c - 1} END) AS knots FROM q
+), z AS (
+  SELECT *, list_transform(knots, lambda x: least(coalesce(x.at + 2 * x.need / nullif(x.w + sqrt(greatest(x.w * x.w + 2 * x.slope * x.need, 0)), 0), x.at), 1)) AS positions FROM k
 )
-SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE size * len(list_filter([0, 1, 2], lambda e: 2 * (start + e * source_size) + size < 2 * target)) END AS BIGINT) AS taken FROM p""",
+SELECT doc_id, size, source_size, target, CAST(size * len(positions) AS BIGINT) AS taken, CAST(floor(list_min(positions) * 1e9) AS BIGINT) AS first_place, CAST(floor(list_max(positions) * 1e9) AS BIGINT) AS last_place FROM z""",
     "op7_binary_codes": """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings

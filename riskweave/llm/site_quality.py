@@ -8,13 +8,17 @@ from how much hosts (and paths within hosts) differ. The final log odds are
 those of the document plus the shift of its path's posterior from the global
 rate.
 
-The model is fitted on at most ``max_train_rows`` labelled rows. The table of
-sites is broadcast if it has at most ``broadcast_sites`` rows and joined by a
-shuffle otherwise. Defined cases: null and empty texts have the statistics of
+The model is fitted on at most ``max_train_rows`` labelled rows. Texts are read
+once: the rows with their evidence are a table, from which sites are summed (as
+decimals, so that no rate depends on the order of rows) and rows are scored.
+The table of sites is broadcast if it has at most ``broadcast_sites`` rows and
+joined by a shuffle otherwise. Hosts and paths are any two columns; ``url_host``
+and ``url_path`` take them from URLs. Defined cases: null and empty texts have the statistics of
 an empty text; null hosts and paths are values of their own; without labels of
 both kinds every document's evidence is neutral; repeated rows get equal
-scores; an empty table gives no rows; input columns stay, internal names are
-prefixed.
+scores; an empty table gives no rows; input columns stay as they are, under any
+name, but for those of the result's names, which are replaced; a URL that does
+not parse has neither host nor path.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from pyspark.sql import types as T
 
 from .logistic import fit_logistic
 from .toxicity import labelled_sample
+from .workspace import Workspace
 
 SYMBOLS = re.compile(r"[#$%&*|<>{}\[\]=~^\\]")
 
@@ -106,51 +111,72 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return Model(*fit_logistic(expand(table.drop(columns="y").to_numpy()), y))
 
 
-def evidence(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """Adds _logit, the document's own log odds of good quality."""
+def evidence(docs: DataFrame, model: Model, *, text_col: str, host_col: str, path_col: str, keep: list[str]) -> DataFrame:
+    """Rows of row (the kept columns), host, path and logit, the document's own log odds of good quality."""
     shared = docs.sparkSession.sparkContext.broadcast((model.mean, model.scale, model.weights))
-    at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches):
         model = Model(*shared.value)
         for batch in batches:
-            x = np.array([text_statistics(t.as_py()) for t in batch.column(at)], dtype=np.float64).reshape(-1, N_FEATURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.logit(x))], [*names, "_logit"])
+            x = np.array([text_statistics(t.as_py()) for t in batch.column(3)], dtype=np.float64).reshape(-1, N_FEATURES)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(model.logit(x))], ["row", "host", "path", "logit"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_logit", T.DoubleType())]))
+    whole = F.struct(*(F.col(c) for c in keep)) if keep else F.struct(F.lit(True).alias("_"))
+    rows = docs.select(whole.alias("row"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:3], T.StructField("logit", T.DoubleType())]))
 
 
-def _strength(groups: DataFrame, n: str, mean: Column, center: Column) -> float:
+def url_host(url: Column) -> Column:
+    """The host of a URL, in lower case."""
+    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+
+
+def url_path(url: Column) -> Column:
+    """The first folder of a URL's path, "" at the top."""
+    return F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), r"^/([^/]*)/", 1)
+
+
+def sigmoid(z: Column) -> Column:
+    return 1 / (1 + F.exp(-z))
+
+
+def _strength(groups: DataFrame, n: Column, mean: Column, center: Column) -> float:
     """The prior's weight in documents, from the spread of group means around their centers."""
+    def total(value: Column) -> Column:
+        return F.sum(value.cast("decimal(38,15)")).cast("double")
+
     got = groups.agg(
-        F.sum(n).alias("n"), F.count(F.lit(1)).alias("g"), F.sum(F.col(n) * (mean - center) ** 2).alias("between"), F.sum(F.col(n) * center * (1 - center)).alias("within"), F.sum(F.col(n) * F.col(n)).alias("squares")
+        F.sum(n).alias("n"), F.count(F.lit(1)).alias("g"), total(n * (mean - center) ** 2).alias("between"), total(n * center * (1 - center)).alias("within"), F.sum(n.cast("decimal(19,0)") * n).cast("double").alias("squares")
     ).first()
-    total = got["n"] or 0
-    if not total or got["g"] < 2:
+    total_n = got["n"] or 0
+    if not total_n or got["g"] < 2:
         return 100.0
-    within = max(got["within"] / total, 1e-6)
-    spare = total - got["squares"] / total
+    within = max(got["within"] / total_n, 1e-6)
+    spare = total_n - got["squares"] / total_n
     tau = max((got["between"] - (got["g"] - 1) * within) / max(spare, 1e-9), 1e-9)
     return float(np.clip(within / tau - 1, 1.0, 1e6))
 
 
-def classify(docs: DataFrame, model: Model, ws, *, text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.5, broadcast_sites: int = 50_000) -> DataFrame:
-    """Adds _evidence, _host_rate, _path_rate, _score and _kept to every document."""
-    narrow = docs.select(F.col(text_col).alias("_text"), F.col(host_col).alias("_host"), F.col(path_col).alias("_path"))
-    p = 1 / (1 + F.exp(-F.col("_logit")))
-    paths = ws.narrow_table("paths", evidence(narrow, model, text_col="_text").groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("_n"), F.sum(p).alias("_s")))
-    hosts = paths.groupBy("_host").agg(F.sum("_n").alias("_hn"), F.sum("_s").alias("_hs"))
-    totals = hosts.agg(F.sum("_hn").alias("n"), F.sum("_hs").alias("s"), F.sum(F.lit(1)).alias("g")).first()
+NEW = ("_evidence", "_host_rate", "_path_rate", "_score", "_kept")
+
+
+def classify(docs: DataFrame, model: Model, ws: Workspace, *, text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.5, broadcast_sites: int = 50_000, keep: list[str] | None = None) -> DataFrame:
+    """The columns in ``keep`` (all by default) and _evidence, _host_rate, _path_rate, _score and _kept of every document."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in NEW]
+    rows = ws.table("evidence", evidence(docs, model, text_col=text_col, host_col=host_col, path_col=path_col, keep=keep))
+    weight = F.sum(sigmoid(F.col("logit")).cast("decimal(20,15)"))
+    paths = ws.narrow_table("paths", rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), weight.alias("s")))
+    hosts = paths.groupBy(F.col("host").alias("at")).agg(F.sum("n").alias("hn"), F.sum("s").cast("double").alias("hs"))
+    totals = paths.agg(F.sum("n").alias("n"), F.sum("s").cast("double").alias("s")).first()
     rate = min(max((totals["s"] or 0.0) / (totals["n"] or 1), 1e-6), 1 - 1e-6)
-    k_host = _strength(hosts, "_hn", F.col("_hs") / F.col("_hn"), F.lit(rate))
-    hosts = hosts.withColumn("_host_rate", (F.col("_hs") + k_host * rate) / (F.col("_hn") + k_host))
-    pairs = paths.join(hosts.withColumnRenamed("_host", "_h"), F.col("_host").eqNullSafe(F.col("_h")))
-    k_path = _strength(pairs, "_n", F.col("_s") / F.col("_n"), F.col("_host_rate"))
-    sites = ws.narrow_table("sites", pairs.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "_host_rate", ((F.col("_s") + k_path * F.col("_host_rate")) / (F.col("_n") + k_path)).alias("_path_rate")))
+    k_host = _strength(hosts, F.col("hn"), F.col("hs") / F.col("hn"), F.lit(rate))
+    hosts = hosts.select("at", ((F.col("hs") + k_host * rate) / (F.col("hn") + k_host)).alias("host_rate"))
+    pairs = paths.withColumn("s", F.col("s").cast("double")).join(hosts, F.col("host").eqNullSafe(F.col("at")))
+    k_path = _strength(pairs, F.col("n"), F.col("s") / F.col("n"), F.col("host_rate"))
+    sites = ws.narrow_table("sites", pairs.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_rate", ((F.col("s") + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias("path_rate")))
     if sites.count() <= broadcast_sites:
         sites = F.broadcast(sites)
-    own = evidence(docs, model, text_col=text_col)
-    joined = own.join(sites, F.col(host_col).eqNullSafe(F.col("_h")) & F.col(path_col).eqNullSafe(F.col("_p")), "left")
-    shift = F.log(F.col("_path_rate") / (1 - F.col("_path_rate"))) - math.log(rate / (1 - rate))
-    joined = joined.withColumn("_score", 1 / (1 + F.exp(-(F.col("_logit") + shift)))).withColumn("_evidence", 1 / (1 + F.exp(-F.col("_logit"))))
-    return joined.select(*docs.columns, "_evidence", "_host_rate", "_path_rate", "_score", (F.col("_score") >= threshold).alias("_kept"))
+    joined = rows.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left")
+    shift = F.log(F.col("path_rate") / (1 - F.col("path_rate"))) - math.log(rate / (1 - rate))
+    score = sigmoid(F.col("logit") + shift)
+    return joined.select(*(F.col(f"row.`{c}`").alias(c) for c in keep), sigmoid(F.col("logit")).alias("_evidence"), F.col("host_rate").alias("_host_rate"), F.col("path_rate").alias("_path_rate"), score.alias("_score"), (score >= threshold).alias("_kept"))

@@ -2,17 +2,19 @@
 
 A token file holds, in this order:
 
-* a header of 64 bytes: magic, bytes per id, documents, ids, low-bit width,
-  bytes of the high-bit vector and of the select samples;
+* a header of 64 bytes: magic, bytes per id, documents, ids, null document ids
+  and the least document id;
 * the ids, little-endian, two or four bytes each;
 * the boundaries (documents + 1 ascending positions, the first 0) in
   Elias-Fano form: packed low bits, a unary high-bit vector and the position
-  of every 256th set bit, so that ``boundary(i)`` is a sample lookup and a
-  short scan and no table of 64-bit offsets exists;
-* the document ids as 64-bit integers and one null flag byte each.
+  of every 256th set bit as 32-bit integers, so that ``get(i)`` is a sample
+  lookup and a short scan and no table of 64-bit offsets exists;
+* the document ids, ascending too, as the same form of their distances from the
+  least one; null ids come first and are only counted.
 
-Space of the boundaries is at most 2 + ceil(log2(ids / documents)) bits a
-document, besides the samples.
+Space of either sequence is at most 2 + ceil(log2(range / documents)) bits a
+document, besides the samples. Readers select the two ends of a batch of
+documents, read its ids in one piece and decode the boundaries inside it only.
 
 Writing: documents are range-sorted by id, each task encodes its range and
 rolls files of about ``file_tokens`` ids, and a manifest row names every file.
@@ -25,6 +27,7 @@ manifest; columns other than the two named ones are not read.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from array import array
@@ -40,8 +43,12 @@ from .files import attempt_name, locate, write_file
 from .worker import Recent, process_state
 
 MAGIC = b"RWTOKEN1"
-HEADER, HEADER_BYTES = "<8sBxxxIQQQQ16x", 64
+HEADER, HEADER_BYTES = "<8sBxxxQQQq20x", 64
+SEQUENCE, SEQUENCE_BYTES = "<QBxxxIQ", 24
 SAMPLE = 256
+#: The tokenizer steps under which texts may be encoded piece by piece.
+INDEPENDENT_NORMALIZERS = [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+INDEPENDENT_SPLIT = ({"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "Removed", True)
 
 
 @dataclass
@@ -52,23 +59,42 @@ class EliasFano:
     low_bits: int
     low: np.ndarray  # packed bits, uint8
     high: np.ndarray  # unary bit vector, uint8, little bit order
-    samples: np.ndarray  # bit position of every SAMPLE-th set bit, int64
+    samples: np.ndarray  # bit position of every SAMPLE-th set bit, uint32
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
-        values = np.asarray(values, dtype=np.int64)
+        values = np.asarray(values).astype(np.uint64)
         n = len(values)
         top = int(values[-1]) if n else 0
         low_bits = max(0, (top // n).bit_length() - 1) if n else 0
-        bits = (values[:, None] >> np.arange(low_bits)) & 1
+        bits = (values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)
         low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
-        at = (values >> low_bits) + np.arange(n)
+        at = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         unary = np.zeros(int(at[-1]) + 1 if n else 0, dtype=np.uint8)
         unary[at] = 1
-        return cls(n, low_bits, low, np.packbits(unary, bitorder="little"), at[::SAMPLE].astype(np.int64))
+        return cls(n, low_bits, low, np.packbits(unary, bitorder="little"), at[::SAMPLE].astype(np.uint32))
+
+    @classmethod
+    def read(cls, take) -> EliasFano:
+        """From ``take(n)``, which gives the next n bytes."""
+        n, low_bits, samples, high = struct.unpack(SEQUENCE, take(SEQUENCE_BYTES))
+        low = np.frombuffer(take((n * low_bits + 7) // 8), np.uint8)
+        return cls(n, low_bits, low, np.frombuffer(take(high), np.uint8), np.frombuffer(take(4 * samples), "<u4"))
+
+    def parts(self) -> list[bytes]:
+        head = struct.pack(SEQUENCE, self.n, self.low_bits, len(self.samples), len(self.high))
+        return [head, self.low.tobytes(), self.high.tobytes(), self.samples.astype("<u4").tobytes()]
 
     def get(self, i: int) -> int:
         """The i-th value, by select on the high bits."""
+        low = 0
+        for b in range(self.low_bits):
+            p = i * self.low_bits + b
+            low |= ((int(self.low[p >> 3]) >> (p & 7)) & 1) << b
+        return ((self.select(i) - i) << self.low_bits) | low
+
+    def select(self, i: int) -> int:
+        """The position of the i-th set bit of the high bits."""
         at = int(self.samples[i // SAMPLE])
         left = i % SAMPLE
         byte = at >> 3
@@ -79,56 +105,57 @@ class EliasFano:
             word = int(self.high[byte])
         for _ in range(left):
             word &= word - 1
-        select = (byte << 3) + (word & -word).bit_length() - 1
-        low = 0
-        for b in range(self.low_bits):
-            p = i * self.low_bits + b
-            low |= ((int(self.low[p >> 3]) >> (p & 7)) & 1) << b
-        return ((select - i) << self.low_bits) | low
-
-    def decode(self) -> np.ndarray:
-        """All values at once."""
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (at - np.arange(self.n)).astype(np.int64) << self.low_bits
+        return (byte << 3) + (word & -word).bit_length() - 1
+
+    def slice(self, begin: int, end: int) -> np.ndarray:
+        """The values begin..end, end exclusive, as unsigned 64-bit integers; only the bits between two selects are read."""
+        if begin >= end:
+            return np.empty(0, np.uint64)
+        first, last = self.select(begin), self.select(end - 1)
+        bits = np.unpackbits(self.high[first >> 3 : (last >> 3) + 1], bitorder="little")
+        at = np.flatnonzero(bits[first & 7 : last - (first >> 3 << 3) + 1]) + first
+        out = (at - np.arange(begin, end)).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits)
-            out |= bits.reshape(self.n, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+            a, b = begin * self.low_bits, end * self.low_bits
+            low = np.unpackbits(self.low[a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 : (a & 7) + b - a]
+            out |= low.reshape(end - begin, self.low_bits).astype(np.uint64) @ (np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64))
         return out
 
 
 def file_parts(ids: np.ndarray, lengths: np.ndarray, doc_ids: list, wide: bool) -> list[bytes]:
-    """The byte strings of one token file."""
+    """The byte strings of one token file; document ids ascend, nulls first."""
     bounds = EliasFano.encode(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]))
     width = 4 if wide else 2
-    head = struct.pack(HEADER, MAGIC, width, bounds.low_bits, len(lengths), len(ids), len(bounds.high), len(bounds.samples))
-    keys = np.array([0 if d is None else d for d in doc_ids], dtype="<i8")
-    nulls = np.array([d is None for d in doc_ids], dtype=np.uint8)
-    return [head, ids.astype(f"<u{width}").tobytes(), bounds.low.tobytes(), bounds.high.tobytes(), bounds.samples.astype("<i8").tobytes(), keys.tobytes(), nulls.tobytes()]
+    keys = np.array([d for d in doc_ids if d is not None], dtype=np.int64)
+    least = int(keys[0]) if len(keys) else 0
+    names = EliasFano.encode(keys.astype(np.uint64) - np.uint64(least & (1 << 64) - 1))
+    head = struct.pack(HEADER, MAGIC, width, len(lengths), len(ids), len(lengths) - len(keys), least)
+    return [head, ids.astype(f"<u{width}").tobytes(), *bounds.parts(), *names.parts()]
 
 
 class TokenFile:
     """Random and sequential access to one token file.
 
-    Opening reads the boundaries and document ids only; ids are read by range.
+    Opening reads the two coded sequences only; ids are read by range.
     """
 
     def __init__(self, uri: str):
         store, path = locate(uri)
         self._in = store.open_input_file(path)
-        magic, self.width, low_bits, self.n_docs, self.n_tokens, high, samples = struct.unpack(HEADER, self._in.read(HEADER_BYTES))
+        magic, self.width, self.n_docs, self.n_tokens, self.nulls, self.least = struct.unpack(HEADER, self._in.read(HEADER_BYTES))
         if magic != MAGIC:
             raise ValueError(f"{uri} is not a token file")
-        n = self.n_docs + 1
         self._in.seek(HEADER_BYTES + self.n_tokens * self.width)
-
-        def take(count: int, kind) -> np.ndarray:
-            return np.frombuffer(self._in.read(count * np.dtype(kind).itemsize), dtype=kind)
-
-        self.bounds = EliasFano(n, low_bits, take((n * low_bits + 7) // 8, np.uint8), take(high, np.uint8), take(samples, "<i8"))
-        self._keys, self._nulls = take(self.n_docs, "<i8"), take(self.n_docs, np.uint8)
+        self.bounds, self.names = EliasFano.read(self._in.read), EliasFano.read(self._in.read)
 
     def doc_id(self, i: int) -> int | None:
-        return None if self._nulls[i] else int(self._keys[i])
+        return None if i < self.nulls else self.least + self.names.get(i - self.nulls)
+
+    def doc_ids(self, begin: int, end: int) -> pa.Array:
+        """The ids of the documents begin..end."""
+        found = self.names.slice(max(0, begin - self.nulls), max(0, end - self.nulls))
+        found = (found + np.uint64(self.least & (1 << 64) - 1)).astype(np.int64)
+        return pa.concat_arrays([pa.nulls(end - begin - len(found), pa.int64()), pa.array(found)])
 
     def ids(self, start: int, end: int) -> np.ndarray:
         self._in.seek(HEADER_BYTES + start * self.width)
@@ -148,13 +175,15 @@ class WordEncoder:
     Holds for lower-casing tokenizers whose pre-tokenizer drops white space and
     parts letters from punctuation: pieces between ASCII white space are then
     encoded independently, and so are a word and the sentence marks after it.
-    Pieces met lately are kept, about twice ``max_pieces`` at most. Strings of
-    special tokens in a text get their ids, as the library does by default.
+    The tokenizer's description is checked for that when it is loaded; with any
+    other description whole texts are encoded by the library. Pieces met lately
+    are kept, in about ``recent_bytes`` twice. Strings of special tokens in a
+    text get their ids, as the library does by default.
     """
 
     MARKS = ".,;:!?"
 
-    def __init__(self, tokenizer_path: str, max_pieces: int = 500_000):
+    def __init__(self, tokenizer_path: str, recent_bytes: int = 112 << 20):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -162,7 +191,34 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = Recent(max_pieces)
+        self.known = Recent(recent_bytes)
+        self.by_pieces = self.parts_at_white_space(json.loads(self.tokenizer.to_str()))
+
+    @staticmethod
+    def parts_at_white_space(description: dict) -> bool:
+        """Whether pieces between white space, and a word and the marks after it, are encoded independently.
+
+        True if normalisation is a composition of canonical composition, white
+        space to one space and lower-casing, if the pre-tokenizer's split
+        pattern keeps runs of letters, single digits and runs of other
+        characters and drops white space, and if nothing is added around texts.
+        """
+        def steps(part, key):
+            return [] if part is None else part[key] if part["type"] == "Sequence" else [part]
+
+        normal = [(s["type"], s.get("pattern"), s.get("content")) for s in steps(description.get("normalizer"), "normalizers")]
+        before = steps(description.get("pre_tokenizer"), "pretokenizers")
+        split = [s for s in before if s["type"] == "Split"]
+        rest = [s for s in before if s["type"] != "Split"]
+        return (
+            sorted(normal, key=str) == sorted(INDEPENDENT_NORMALIZERS, key=str)
+            and len(split) == 1
+            and (split[0]["pattern"], split[0]["behavior"], split[0]["invert"]) == INDEPENDENT_SPLIT
+            and all(s["type"] == "ByteLevel" and not s["add_prefix_space"] and not s["use_regex"] for s in rest)
+            and not any(description.get(k) for k in ("truncation", "padding", "post_processor"))
+            and description["model"]["type"] == "BPE"
+            and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in description.get("added_tokens", []))
+        )
 
     def parts(self, piece: bytes) -> tuple[bytes, ...]:
         """What ``piece`` is encoded as: itself, or a word and its sentence marks."""
@@ -189,6 +245,8 @@ class WordEncoder:
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if not self.by_pieces:
+            return array("I", self.tokenizer.encode(text or "", add_special_tokens=False).ids).tobytes()
         pieces = (text or "").encode().split()
         self.learn(set(pieces))
         return b"".join(map(self.known.now.__getitem__, pieces))
@@ -234,7 +292,7 @@ def write_token_files(docs: DataFrame, out_uri: str, tokenizer_path: str, *, id_
     return narrow.repartitionByRange("k", F.xxhash64("t")).sortWithinPartitions("k", F.xxhash64("t"), "t").mapInArrow(run, MANIFEST)
 
 
-def read_token_files(spark: SparkSession, manifest: DataFrame, *, batch_docs: int = 20_000) -> DataFrame:
+def read_token_files(spark: SparkSession, manifest: DataFrame, *, batch_docs: int = 4096) -> DataFrame:
     """One row per document, read from the files: doc_id, start, n_tokens, ids_crc32.
 
     ``start`` counts the ids of all documents before it over all files. The
@@ -248,14 +306,14 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, *, batch_docs: in
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 file = TokenFile(path)
-                bounds = file.bounds.decode()
                 for lo in range(0, file.n_docs, batch_docs):
                     hi = min(file.n_docs, lo + batch_docs)
-                    crcs = []
-                    for i in range(lo, hi):
-                        crcs.append(zlib.crc32(file.ids(int(bounds[i]), int(bounds[i + 1])).tobytes()))
+                    begin, inside = file.bounds.get(lo), file.bounds.slice(lo, hi + 1).astype(np.int64)
+                    ids = memoryview(file.ids(begin, file.bounds.get(hi)).tobytes())
+                    at = ((inside - begin) * 4).tolist()
+                    crcs = [zlib.crc32(ids[a:b]) for a, b in zip(at, at[1:], strict=False)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([file.doc_id(i) for i in range(lo, hi)], pa.int64()), pa.array(bounds[lo:hi] + base), pa.array(np.diff(bounds[lo : hi + 1])), pa.array(crcs, pa.int64())],
+                        [file.doc_ids(lo, hi), pa.array(inside[:-1] + base), pa.array(np.diff(inside)), pa.array(crcs, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
                 file.close()

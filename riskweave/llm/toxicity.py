@@ -8,7 +8,10 @@ longer ones by two.
 
 Every match gets a context score: inside paired quotation marks, or within
 ``window`` words of a reporting cue, it counts as quotation, otherwise as
-abuse. A logistic model over these sums gives the document's score.
+abuse. Marks are paired exactly, nested ones too, whatever the length of the
+quotation; a mark that is still open where its paragraph ends (at an empty
+line) quotes nothing. A logistic model over these sums gives the document's
+score.
 
 The lexicon and the model are fitted on at most ``max_train_rows`` labelled
 rows, chosen by a hash of their id; everything else covers all rows and whole
@@ -24,6 +27,8 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from bisect import bisect_right
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,6 +43,7 @@ from .worker import Recent, process_state
 WORD = re.compile(r"[^\W_]+(?:[@$][^\W_]+)*")
 #: Opening and closing quotation marks, and words that announce a quotation.
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’", "「": "」"}
+MARKS = re.compile("[\"“”«»„‘’「」]|\n[ \t\r]*\n")
 CUES = frozenset("said says wrote writes quote quoted quotes called calls dit écrit citation sagte schrieb zitat dijo escribió cita".split())
 
 
@@ -126,7 +132,7 @@ class Matcher:
 
     automaton: LexiconAutomaton
     window: int = 6
-    known: Recent = field(default_factory=lambda: Recent(200_000))
+    known: Recent = field(default_factory=lambda: Recent(48 << 20))
 
     def features(self, text: str | None) -> list[float]:
         """Abusive and quoted sums, of exact and of misspelled terms, their share of the words, and the largest."""
@@ -148,23 +154,48 @@ class Matcher:
                     continue
                 weight, edits = known[m[0]]
                 near = any(p[0] in CUES for p in places[max(0, i - self.window) : i])
-                quotation = near or any(a < m.start() < b for a, b in quoted)
+                quotation = near or self._inside(m.start(), quoted)
                 sums[2 * quotation + (edits > 0)] += weight / (1 + edits)
                 n += 1
                 top = max(top, weight / (1 + edits))
         return [*(math.log1p(s) for s in sums), 10 * n / max(10, len(words)), top, 1.0 if hits else 0.0]
 
     @staticmethod
-    def _quoted(text: str) -> list[tuple[int, int]]:
-        """Spans of at most 300 characters between paired marks."""
-        spans, closing, start = [], None, 0
-        for i, c in ((m.start(), m[0]) for m in re.finditer("[\"“”«»„‘’「」]", text)):
-            if closing == c and i - start <= 300:
-                spans.append((start, i))
+    def _quoted(text: str) -> tuple[list[int], list[int]]:
+        """Begins and ends of the outermost spans between paired marks, in order.
+
+        A mark closes the nearest open one that it belongs to (marks left open
+        inside are void), else it opens a quotation if it can; an apostrophe
+        between letters is no mark, and the end of a paragraph voids open marks.
+        """
+        begins, ends, open_marks, waiting = [], [], [], Counter()
+        for m in MARKS.finditer(text):
+            i, c = m.start(), m[0]
+            if c[0] == "\n":
+                open_marks.clear()
+                waiting.clear()
+                continue
+            if c == "’" and text[i - 1 : i].isalpha() and text[i + 1 : i + 2].isalpha():
+                continue
+            if waiting[c]:
                 closing = None
+                while closing != c:
+                    closing, begin = open_marks.pop()
+                    waiting[closing] -= 1
+                while begins and begins[-1] > begin:
+                    begins.pop()
+                    ends.pop()
+                begins.append(begin)
+                ends.append(i)
             elif c in QUOTES:
-                closing, start = QUOTES[c], i
-        return spans
+                open_marks.append((QUOTES[c], i))
+                waiting[QUOTES[c]] += 1
+        return begins, ends
+
+    @staticmethod
+    def _inside(position: int, quoted: tuple[list[int], list[int]]) -> bool:
+        k = bisect_right(quoted[0], position) - 1
+        return k >= 0 and position < quoted[1][k]
 
 
 @dataclass
@@ -197,11 +228,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, *, id_co
     return found.groupBy("_id", "_label").agg(one).select("r._text", "_label")
 
 
-def learn_lexicon(sample: DataFrame, *, min_evidence: float = 24.0, max_terms: int = 20_000) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, *, min_evidence: float = 24.0) -> dict[str, float]:
     """Words of toxic texts whose log-likelihood ratio against the rest is at least ``min_evidence``.
 
-    Words are counted once per text, with partial aggregation; the terms that
-    reach the driver are bounded by ``max_terms``. Weights are shrunk log odds.
+    Words are counted once per text, with partial aggregation. All terms that
+    pass are taken; their number is bounded by the sample's, as a term needs
+    several of its toxic texts. Weights are shrunk log odds.
     """
     totals = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("_label").alias("t")).first()
     n, t = totals["n"], totals["t"] or 0
@@ -221,7 +253,7 @@ def learn_lexicon(sample: DataFrame, *, min_evidence: float = 24.0, max_terms: i
     a, b = F.col("a"), F.col("b")
     ratio = 2 * (F.coalesce(a * F.log(a / ((a + b) * base)), F.lit(0.0)) + F.coalesce(b * F.log(F.nullif(b, F.lit(0)) / ((a + b) * (1 - base))), F.lit(0.0)))
     counts = sample.mapInArrow(words, "w string, y int").groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    kept = counts.filter((F.length("w") >= 3) & (a > 0)).withColumn("g", ratio).filter((F.col("g") >= min_evidence) & (a > (a + b) * base)).orderBy(F.desc("g"), "w").limit(max_terms)
+    kept = counts.filter((F.length("w") >= 3) & (a > 0)).withColumn("g", ratio).filter((F.col("g") >= min_evidence) & (a > (a + b) * base))
     prior = math.log(base / (1 - base))
     return {r["w"]: max(0.1, math.log((r["a"] + base) / (r["b"] + 1 - base)) - prior) for r in kept.collect()}
 

@@ -22,20 +22,28 @@ def process_state(key: str, build):
 class Recent:
     """A table of results that forgets keys not asked for lately.
 
-    It holds at most two generations of about ``limit`` keys (more only if one
-    text has more), so memory is bounded; forgetting changes no result.
-    ``now`` is a plain dict, which sets can be compared with quickly.
+    It holds at most two generations of about ``max_bytes`` each (more only if
+    one text needs more), counted as ENTRY bytes a key and ``weight`` bytes for
+    each character or byte of a key, so long keys count as what they are;
+    forgetting changes no result. ``now`` is a plain dict, which sets can be
+    compared with quickly.
     """
 
-    def __init__(self, limit: int):
-        self.limit, self.now, self.before = limit, {}, {}
+    ENTRY = 200
+
+    def __init__(self, max_bytes: int, weight: int = 5):
+        self.max_bytes, self.weight, self.held, self.now, self.before = max_bytes, weight, 0, {}, {}
+
+    def cost(self, keys) -> int:
+        return self.ENTRY * len(keys) + self.weight * sum(map(len, keys))
 
     def missing(self, keys: set) -> list:
         """The keys to compute and put into ``now``; afterwards ``now`` has all ``keys``."""
         new = keys.difference(self.now)
-        if len(self.now) + len(new) > self.limit:
-            self.before, self.now = self.now, {}
+        if new and (self.held + self.cost(new)) > self.max_bytes:
+            self.before, self.now, self.held = self.now, {}, 0
             new = keys
+        self.held += self.cost(new)
         out, now, before = [], self.now, self.before
         for key in new:
             if key in before:

@@ -29,18 +29,25 @@ def cores(df: DataFrame) -> int:
     return df.sparkSession.sparkContext.defaultParallelism
 
 
+def enough(df: DataFrame, per_core: int, part_bytes: int = 32 << 20) -> int:
+    """Partitions for rows made from what ``df`` reads: ``per_core`` a core, and more where the inputs are large."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(8, per_core * cores(df), min(size // part_bytes, 1 << 20))
+
+
 def compact(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """At most ``per_core`` partitions a core, without a shuffle, so that results come in fewer files.
+    """Fewer partitions, without a shuffle, so that results come in fewer files.
 
     The stage that makes the rows runs in as few tasks, so it must be a light
     one, behind a shuffle of its own, and must not use its partition number.
     """
-    return df.coalesce(max(8, per_core * cores(df)))
+    return df.coalesce(enough(df, per_core))
 
 
 def gather(df: DataFrame, per_core: int = 2) -> DataFrame:
     """The same for narrow rows of a heavy stage: they are shuffled, and the stage keeps its tasks."""
-    return df.repartition(max(8, per_core * cores(df)))
+    return df.repartition(enough(df, per_core))
 
 
 class Workspace:
