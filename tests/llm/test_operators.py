@@ -541,25 +541,46 @@ def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(10)
     x = rng.standard_normal((300, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    turner = binary_codes.Rotations(64, 6, 1)
-    turned = turner.turn(x)
-    bits, factors = turner.code(turned)
-    error = turner.estimates(turned, bits, factors) - x @ x.T
-    off = ~np.eye(300, dtype=bool)
-    assert abs(error[off].mean()) < 2e-3
-    assert (np.abs(error) <= turner.bound(factors, 5.0)[None, :] + 1e-9).all()
+    y = x + rng.standard_normal((300, 64)) * 0.05  # pairs near the threshold of 0.9
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    errors, near = [], []
+    for seed in range(20):
+        turner = binary_codes.Rotations(64, 2, seed)
+        (bits, f), (more, g) = turner.code(turner.turn(x)), turner.code(turner.turn(y))
+        a, b = turner.restored(bits, f), turner.restored(more, g)
+        assert np.allclose((a[:, :64] * x).sum(axis=1), 1)  # noise is at right angles to the vector
+        error = turner.estimates(a, b) - x @ y.T
+        assert (np.abs(error) <= turner.bound(f, g, 0.0, 5.5)).all()
+        linked = x @ y.T >= 0.9
+        assert (np.abs(error[linked]) <= turner.bound(f, g, 0.9, 5.0)[linked]).all()
+        errors.append(error[~linked].mean())
+        near.append(error[linked].mean())
+    assert abs(np.mean(errors)) < 1e-3 and linked.sum() > 100 and abs(np.mean(near)) < 4 * np.std(near) / math.sqrt(20) + 2e-3
+
+
+def test_magnitudes_and_lengths(spark):
+    """Doubles of any size; lengths whose difference is a power of two never meet."""
+    rows = [(1, [1.0, 2.0]), (2, [1e200, 2e200]), (3, [1e-300, 2e-300]), (4, [2.0, -1.0]), (5, [1.0, 2.0000001]), (6, [5e-324, 0.0]), (7, [1.0, 0.0])]
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in binary_codes.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), Workspace(spark, "t")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (0, 4), 6: (1, 6), 7: (1, 6)}
+    rng = np.random.default_rng(3)
+    short = rng.standard_normal(8).tolist()
+    long = [*short, *[0.0] * 4096]
+    df = spark.createDataFrame([(1, short), (2, long), (3, [x * 2 for x in short]), (4, [x * 3 for x in long])], "vec_id long, embedding array<double>")
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in binary_codes.near_duplicates(df, Workspace(spark, "t")).collect()}
+    assert got == {1: (1, 1), 3: (1, 1), 2: (1, 2), 4: (1, 2)}
 
 
 def test_op7_recall(spark):
     rng = np.random.default_rng(11)
-    base = rng.standard_normal((300, 64))
+    base = rng.standard_normal((400, 64))
     rows = []
     for i, b in enumerate(base):
-        for j in range(3):
-            rows.append((3 * i + j, (b + rng.standard_normal(64) * 0.3 * j).astype(np.float32).tolist()))
+        for j in range(4):
+            rows.append((4 * i + j, (b + rng.standard_normal(64) * 0.2 * j).astype(np.float32).tolist()))
     got = binary_codes.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), Workspace(spark, "t")).collect()
     want = sum(k[1] * n for k, n in links(rows).items())
-    assert want > 100 and sum(r["n_links"] for r in got) >= 0.97 * want
+    assert want > 1000 and sum(r["n_links"] for r in got) >= 0.995 * want
 
 
 # 8 ---------------------------------------------------------------------------
