@@ -1,12 +1,12 @@
 """Embedding near-duplicates with randomised-rotation binary codes.
 
-Every vector is normalised and turned by random rotations; the signs under two
-of them are its code, and for each the inner product of the vector with its own
+Every vector is normalised and turned by random rotations; the signs under four
+of them are its codes, and for each the inner product of the vector with its own
 code is stored as a correction factor. A code turned back and divided by its
-factor is the vector plus noise at right angles to it, so the inner products of
-one vector's first code with the other's second, and the other way round, are
-unbiased estimates of the vectors' inner product; the factors give the width of
-their confidence interval for pairs at the threshold. Pairs whose estimate plus
+factor is the vector plus noise at right angles to it, so inner products of one
+vector's code with the other's code of another rotation are unbiased estimates
+of the vectors' inner product; the mean of four is used, and the factors give
+the width of its confidence interval for pairs at the threshold. Pairs whose estimate plus
 that width stays below the threshold are settled; the vectors of the others are
 fetched and recomputed exactly in double precision.
 
@@ -40,8 +40,8 @@ from .maxscore import finite_vector
 from .worker import process_state
 from .workspace import Workspace
 
-#: Rotations whose signs make the code.
-CODES = 2
+#: Rotations whose signs are codes; an even number, as codes of neighbouring rotations meet.
+CODES = 4
 
 
 def band_shape(n: int, threshold: float, miss: float) -> tuple[int, int]:
@@ -79,7 +79,8 @@ class Rotations:
 
     def estimates(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Unbiased estimates of all inner products of restored vectors, from codes of different rotations."""
-        return a @ np.concatenate([b[:, self.dim :], b[:, : self.dim]], axis=1).T / 2
+        swapped = b.reshape(len(b), CODES // 2, 2, self.dim)[:, :, ::-1].reshape(len(b), -1)
+        return a @ swapped.T / CODES
 
     def bound(self, x: np.ndarray, y: np.ndarray, threshold: float, sigmas: float) -> np.ndarray:
         """Half-width of the confidence interval of all pairs whose inner product is ``threshold`` or more, from the factors."""
@@ -221,7 +222,7 @@ def exact_links(rows: DataFrame, bits: int, bands: int, seed: int, threshold: fl
     return rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(run, "id long, links long, root long")
 
 
-def near_duplicates(vectors: DataFrame, ws: Workspace, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, miss: float = 0.005, sigmas: float = 5.0, block_rows: int = 2048, broadcast_rows: int = 100_000, seed: int = 7) -> DataFrame:
+def near_duplicates(vectors: DataFrame, ws: Workspace, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, miss: float = 0.005, sigmas: float = 4.5, block_rows: int = 2048, broadcast_rows: int = 100_000, seed: int = 7) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
     The rows whose vectors are fetched are broadcast to the vectors if there

@@ -14,8 +14,9 @@ holds a whole dialogue.
 Offsets are the same for all perspectives but for the headers of the speaker's
 own turns, so they need one running total over a dialogue and one over each
 speaker's turns. Both have two levels: distinct rows are sorted over all tasks,
-totals per task come first, then those inside each task's range. Rows that
-repeat are carried as a number until the end. Speakers are counted by distinct
+totals per task come first, then those inside each task's range. Only dialogues
+that cross a border of ranges need the first level: at most one a border. Rows
+that repeat are carried as a number until the end. Speakers are counted by distinct
 names with partial aggregation.
 
 Text cannot forge a turn: a start or end mark inside a text or a name gets a
@@ -53,7 +54,7 @@ def escaped_name(name: Column) -> Column:
     return escaped(plain)
 
 
-def numbered_turns(turns: DataFrame, ws: Workspace, neutral: tuple[str, ...]) -> DataFrame:
+def numbered_turns(turns: DataFrame, ws: Workspace, neutral: tuple[str, ...], broadcast_rows: int = 20_000) -> DataFrame:
     """Distinct turns with copies: conv_id, turn, role, text, m, position, start and own (the speaker's turns before).
 
     ``start`` is the offset in a rendering that has every turn as another
@@ -70,16 +71,18 @@ def numbered_turns(turns: DataFrame, ws: Workspace, neutral: tuple[str, ...]) ->
         totals = runs.groupBy(*keys, "run").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
         before = Window.partitionBy(*keys).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
         names = {k: f"_{k}{len(keys)}" for k in (*keys, "run")}
-        base = totals.select(*(F.col(k).alias(v) for k, v in names.items()), *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"base_{n}") for n in sums))
+        base = totals.select(*(F.col(k).alias(v) for k, v in names.items()), *(F.sum(n).over(before).alias(f"base_{n}") for n in sums))
+        base = ws.narrow_table(f"base{len(keys)}", base.filter(F.col(f"base_{next(iter(sums))}").isNotNull()))
+        base = F.broadcast(base) if base.count() <= broadcast_rows else base
         inside = Window.partitionBy(*keys, "run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return base, {n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()}
 
     whole, offsets = running(["conv_id"], {"position": F.col("m"), "start": F.col("m") * F.col("size")})
     own, counts = running(["conv_id", "role"], {"own": F.col("m")})
     placed = runs.withColumns(offsets).withColumns(counts)
-    placed = placed.join(whole, F.col("conv_id").eqNullSafe(F.col("_conv_id1")) & (F.col("run") == F.col("_run1")))
-    placed = placed.join(own, F.col("conv_id").eqNullSafe(F.col("_conv_id2")) & F.col("role").eqNullSafe(F.col("_role2")) & (F.col("run") == F.col("_run2")))
-    return placed.select("conv_id", "role", "name", "text", "size", "m", *((F.col(n) + F.col(f"base_{n}")).alias(n) for n in ("position", "start", "own")))
+    placed = placed.join(whole, F.col("conv_id").eqNullSafe(F.col("_conv_id1")) & (F.col("run") == F.col("_run1")), "left")
+    placed = placed.join(own, F.col("conv_id").eqNullSafe(F.col("_conv_id2")) & F.col("role").eqNullSafe(F.col("_role2")) & (F.col("run") == F.col("_run2")), "left")
+    return placed.select("conv_id", "role", "name", "text", "size", "m", *((F.col(n) + F.coalesce(f"base_{n}", F.lit(0))).alias(n) for n in ("position", "start", "own")))
 
 
 def rotate(turns: DataFrame, ws: Workspace | None = None, *, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", neutral: tuple[str, ...] = ("system",)) -> DataFrame:

@@ -10,9 +10,9 @@ training position is the inverse of the demand curve at c. Documents are then
 range-sorted by position.
 
 All of it is DataFrame work. Running totals are two-level: sums per (source,
-digest range) first, then inside each range. There are so many ranges that one
-has about ``range_rows`` rows even if a single source holds all, so a hot source
-is spread like any other. Only the table of sources meets in one task.
+digest range) first, then inside each range. The number of ranges grows with the
+square root of the rows, so that neither level outgrows a task even if a single
+source holds all. Only the table of sources meets in one task.
 
 Defined cases: a null text has size 0 and is never taken; null sources are one
 source, last in order; a source of weight 0 or without words gets target 0; the
@@ -98,7 +98,7 @@ def training_time(curve: Column, demand: Column) -> Column:
 NEW = ("_size", "_source_size", "_target", "_taken", "_positions")
 
 
-def place(docs: DataFrame, keep: list[str], schedules: DataFrame | None, ws: Workspace | None, id_col: str, text_col: str, source_col: str, max_epochs: int, weights: tuple[int, ...], range_rows: int) -> DataFrame:
+def place(docs: DataFrame, keep: list[str], schedules: DataFrame | None, ws: Workspace | None, id_col: str, text_col: str, source_col: str, max_epochs: int, weights: tuple[int, ...]) -> DataFrame:
     """The kept columns under ``_row``, beside the columns of NEW."""
     text = F.col(text_col)
     base = docs.select(
@@ -109,7 +109,7 @@ def place(docs: DataFrame, keep: list[str], schedules: DataFrame | None, ws: Wor
         F.md5(F.concat_ws("\x1f", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))).alias("_digest"),
     )
     base = ws.table("rows", base) if ws else base
-    n_ranges = 1 << max(0, (math.ceil(docs.count() / range_rows) - 1).bit_length())
+    n_ranges = 1 << (4 * math.isqrt(docs.count())).bit_length()
     base = base.withColumn("_range", F.shiftright(F.conv(F.substring("_digest", 1, 8), 16, 10).cast("long") * n_ranges, 32))
     ranges = base.groupBy("_key", "_range").agg(F.sum("_size").alias("n"), F.min("_source").alias("_source"))
     sizes = ranges.groupBy(F.col("_source").alias("source")).agg(F.sum("n").alias("source_size"))
@@ -128,7 +128,7 @@ def place(docs: DataFrame, keep: list[str], schedules: DataFrame | None, ws: Wor
     return placed.select("_row", "_size", "_source_size", "_target", (F.col("_size") * F.size("_starts")).alias("_taken"), positions.alias("_positions"))
 
 
-def assign(docs: DataFrame, schedules: DataFrame | None = None, ws: Workspace | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = 3, weights: tuple[int, ...] = (5, 2, 1), keep: list[str] | None = None, range_rows: int = 10_000) -> DataFrame:
+def assign(docs: DataFrame, schedules: DataFrame | None = None, ws: Workspace | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = 3, weights: tuple[int, ...] = (5, 2, 1), keep: list[str] | None = None) -> DataFrame:
     """Per document: _size, _source_size, _target, _taken and _positions (one per repetition).
 
     ``schedules`` is a DataFrame (source, schedule array<struct<at, weight>>);
@@ -139,11 +139,11 @@ def assign(docs: DataFrame, schedules: DataFrame | None = None, ws: Workspace |
     before the target, so each source ends within half a document of it.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in NEW]
-    return place(docs, keep, schedules, ws, id_col, text_col, source_col, max_epochs, weights, range_rows).select(*(F.col(f"_row.`{c}`").alias(c) for c in keep), *NEW)
+    return place(docs, keep, schedules, ws, id_col, text_col, source_col, max_epochs, weights).select(*(F.col(f"_row.`{c}`").alias(c) for c in keep), *NEW)
 
 
-def mix(docs: DataFrame, schedules: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = 3, weights: tuple[int, ...] = (5, 2, 1), range_rows: int = 10_000) -> DataFrame:
+def mix(docs: DataFrame, schedules: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = 3, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
     """The training stream: every taken repetition of a document as a row, range-sorted by position."""
-    rows = place(docs, docs.columns, schedules, None, id_col, text_col, source_col, max_epochs, weights, range_rows)
+    rows = place(docs, docs.columns, schedules, None, id_col, text_col, source_col, max_epochs, weights)
     stream = rows.select("_row", F.explode("_positions").alias("_position")).repartitionByRange("_position").sortWithinPartitions("_position")
     return stream.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

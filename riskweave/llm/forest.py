@@ -14,16 +14,22 @@ first three values of an order share a region of it.
    neighbour of the even and of the odd orders. Confirmed links give first
    groups.
 2. Depth per region: a region whose classes all lie in one group is done at the
-   depth of its neighbours. Any other is opened at its shallow depth: all pairs
-   from different groups whose signatures agree enough are confirmed, most
-   similar first, and pairs that links have joined meanwhile are passed over,
-   as they cannot change the result. Pairs that share the whole region key of
-   an earlier order were decided there. Large regions are opened in blocks.
+   depth of its neighbours. Any other with more than ``split_rows`` rows goes
+   deeper, as that copies rows less often than blocks would: it is split by two
+   further values of each row, in ``splits`` ways, of which a pair at the
+   threshold shares none with probability (1 - 0.75^2)^14 < 1e-5, and its parts
+   again as long as they are mixed and that large, ``levels`` deep.
+3. What is still mixed is opened: all pairs from different groups whose
+   signatures agree enough are confirmed, most similar first, and pairs that
+   links have joined meanwhile are passed over, as they cannot change the
+   result. Pairs that share the whole region key of an earlier order were
+   decided there. Larger regions are opened in blocks.
 
 Candidates have no cap. A pair at exactly the threshold is missed by all orders
 with probability (1 - 0.75^3)^20 < 2e-5; the signature filter rejects it with
 less than 2e-5 (4.3 deviations). Neighbours give at most two candidates a class
-and order; opened regions give links of a spanning forest, never pairs.
+and order; opened regions give links of a spanning forest, never pairs. Copies
+that a worker meets close together are signed once.
 
 Defined cases: null, empty and white-space texts have empty sets and are linked
 with nothing; texts of fewer than five words have one shingle; rows with a null
@@ -109,30 +115,36 @@ def similar_enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def digest_rows(docs: DataFrame, id_col: str, text_col: str, trees: int, values: int, seed: int) -> DataFrame:
     """Per row: id, n_shingles, a 128-bit digest of its words, signature bytes and a region key per order."""
     def run(batches):
-        shingler = process_state("shingler", Shingler)
+        shingler = process_state(f"shingler {trees} {values} {seed}", Shingler)
         a, b = hash_functions(values, seed)
         salts = np.random.default_rng(seed + 1).integers(0, 1 << 63, (trees, DEPTH), dtype=np.uint64) | np.uint64(1)
+
+        def sign(shingles):
+            least = signature(shingles, a, b)
+            key = (least[: trees * DEPTH].reshape(trees, DEPTH).astype(np.uint64) * salts).sum(axis=1, dtype=np.uint64)
+            key ^= key >> np.uint64(31)
+            key *= np.uint64(0x94D049BB133111EB)
+            return len(shingles), ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes(), (key ^ (key >> np.uint64(30))).astype(np.int64)
+
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 sizes, h1, h2, sigs, keys = [], [], [], [], []
                 for text in part.column(1):
                     words = shingler.words(text.as_py())
-                    shingles = shingler.shingles(words)
-                    sizes.append(len(shingles))
                     if not words:
+                        sizes.append(0)
                         for x in (h1, h2, sigs, keys):
                             x.append(None)
                         continue
                     digest = shingler.hash128(b" ".join(words))
                     h1.append((digest >> 64) - (1 << 63))
                     h2.append((digest & (1 << 64) - 1) - (1 << 63))
-                    least = signature(shingles, a, b)
-                    sigs.append(((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes())
-                    key = (least[: trees * DEPTH].reshape(trees, DEPTH).astype(np.uint64) * salts).sum(axis=1, dtype=np.uint64)
-                    key ^= key >> np.uint64(31)
-                    key *= np.uint64(0x94D049BB133111EB)
-                    keys.append((key ^ (key >> np.uint64(30))).astype(np.int64))
+                    own = digest.to_bytes(16)
+                    if shingler.signed.missing({own}):
+                        shingler.signed.now[own] = sign(shingler.shingles(words))
+                    for x, value in zip((sizes, sigs, keys), shingler.signed.now[own], strict=True):
+                        x.append(value)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     ["id", "n_shingles", "h1", "h2", "sig", "keys"],
@@ -158,8 +170,8 @@ def neighbours(regions: DataFrame, least_equal: int) -> DataFrame:
             sig = signatures(table.column(3), len(key))
             equal = (sig[1:] == sig[:-1]).sum(axis=1)
             i = np.flatnonzero((key[1:] == key[:-1]) & (equal >= least_equal))
-            a, b = np.concatenate([ids[i], ids[i + 1]]), np.concatenate([ids[i + 1], ids[i]])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.tile(equal[i], 2).astype(np.int32)), pa.array(np.tile(tree[i], 2))], ["a", "b", "equal", "tree"])
+            a, b = np.concatenate([i, i + 1]), np.concatenate([i + 1, i])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(np.tile(equal[i], 2).astype(np.int32)), pa.array(tree[a])], ["a", "b", "equal", "tree"])
             last = batch.slice(batch.num_rows - 1)
 
     width = F.length("sig")
@@ -265,7 +277,42 @@ def confirm_blocks(rows: DataFrame, least_equal: int, percent: int) -> DataFrame
     return rows.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, ws: Workspace, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, trees: int = 20, values: int = 96, deviations: float = 4.3, block_rows: int = 512, seed: int = 11) -> DataFrame:
+def mixed_regions(regions: DataFrame) -> DataFrame:
+    """The keys of regions with classes of more than one group, and their rows."""
+    sizes = regions.groupBy("key").agg(F.min("grp").alias("x"), F.max("grp").alias("y"), F.count(F.lit(1)).alias("n"))
+    return sizes.filter("x <> y").select("key", "n")
+
+
+def join_groups(ws: Workspace, members: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``members`` (id, grp) after the links (a, b) between ids: groups are contracted first, so only links between them count."""
+    of = members.select(F.col("id").alias("m"), F.col("grp").alias("g"))
+    edges = links.join(of, F.col("a") == F.col("m")).select(F.col("g").alias("x"), "b").join(of, F.col("b") == F.col("m")).select("x", F.col("g").alias("y"))
+    moved = components(ws, edges.select(F.col("x").alias("a"), F.col("y").alias("b")), f"{name}-components")
+    moved = moved.select(F.col("id").alias("old"), "component")
+    return ws.narrow_table(name, members.join(moved, F.col("grp") == F.col("old"), "left").select("id", F.coalesce("component", "grp").alias("grp")))
+
+
+def with_groups(regions: DataFrame, members: DataFrame) -> DataFrame:
+    return regions.select("key", "tree", "id", "sig").join(members, "id").select("key", "tree", "id", "sig", "grp")
+
+
+def split_regions(rows: DataFrame, ws: Workspace, name: str, *, split_rows: int, splits: int, levels: int) -> DataFrame:
+    """Rows (key, tree, id, sig, grp) of mixed regions; those of more than ``split_rows`` rows come in parts with keys of their own."""
+    done, values = None, F.length("sig")
+    for level in range(levels):
+        mixed = ws.narrow_table(f"{name}-mixed-{level}", mixed_regions(rows))
+        small = rows.join(mixed.filter(F.col("n") <= split_rows), "key", "left_semi")
+        done = small if done is None else done.union(small)
+        if mixed.filter(F.col("n") > split_rows).isEmpty():
+            return done
+        at = lambda way, side: F.substring("sig", F.pmod(F.xxhash64(F.lit(level), "tree", way, F.lit(side)), values.cast("long")).cast("int") + 1, F.lit(1))  # noqa: B023, E731
+        large = rows.join(mixed.filter(F.col("n") > split_rows), "key", "left_semi").withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+        large = large.withColumn("key", F.xxhash64("key", F.lit(level), "way", at(F.col("way"), 0), at(F.col("way"), 1)))
+        rows = ws.table(f"{name}-split-{level}", large.select("key", "tree", "id", "sig", "grp"))
+    return done.union(rows.join(mixed_regions(rows), "key", "left_semi"))
+
+
+def near_duplicates(docs: DataFrame, ws: Workspace, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, trees: int = 20, values: int = 96, deviations: float = 4.3, block_rows: int = 256, split_rows: int = 4096, splits: int = 14, levels: int = 4, seed: int = 11) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     share = percent / 100
     least_equal = int(values * (share - deviations * (share * (1 - share) / values) ** 0.5))
@@ -275,7 +322,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, *, id_col: str = "doc_id", t
 
     places = classes.select(F.posexplode("keys").alias("tree", "key"), "id")
     shared = places.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    regions = ws.table("regions", places.join(shared, "key").join(classes.select("id", "sig"), "id").select("key", "tree", "id", "sig"))
+    regions = ws.table("regions", places.join(shared, "key").join(classes.select("id", "sig", "keys"), "id").filter("element_at(keys, tree + 1) = key").select("key", "tree", "id", "sig"))
     needed = regions.select("id").distinct().hint("merge")  # one plan at every size: the texts are shuffled once
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi")
     texts = ws.table("texts", texts)
@@ -285,20 +332,19 @@ def near_duplicates(docs: DataFrame, ws: Workspace, *, id_col: str = "doc_id", t
     chosen = near.groupBy("a").agg(*best).select("a", F.explode(F.array("even.b", "odd.b")).alias("b")).filter("b is not null")
     chosen = ws.narrow_table("chosen", chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = ws.gathered_table("links", confirm_pairs(chosen, texts, percent))
-    groups = components(ws, links, "first")
+    members = ws.narrow_table("ids", regions.select("id", F.col("id").alias("grp")).distinct())
+    members = join_groups(ws, members, links, "first")
 
-    grouped = regions.join(groups, "id", "left").select("key", "tree", "id", F.coalesce("component", "id").alias("grp"), "sig")
-    mixed = grouped.groupBy("key").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x <> y").select("key")
-    own_keys = classes.select("id", F.col("sig").alias("_sig"), "keys")
-    still = grouped.join(mixed, "key", "left_semi").join(own_keys, "id").filter("sig = _sig and element_at(keys, tree + 1) = key")
-    still = ws.table("open", still.select("key", "id", "grp", "sig", F.slice("keys", F.lit(1), F.col("tree")).alias("earlier")))
+    still = split_regions(with_groups(regions, members), ws, "parts", split_rows=split_rows, splits=splits, levels=levels)
+    still = still.join(classes.select("id", F.col("sig").alias("own"), "keys"), "id").filter("sig = own").select("key", "id", "grp", "sig", F.slice("keys", F.lit(1), F.col("tree")).alias("earlier"))
+    still = ws.table("open", still)
     blocks = meet_in_blocks(ws, still, "key", "id", "large", limit=block_rows)
     wanted = ws.gathered_table("wanted", undecided(blocks.select("key", "_lo", "_hi", "id", "grp", "_side", "sig", "earlier"), least_equal))
     full = wanted.join(texts, "id").select("key", "_lo", "_hi", "id", "grp", "_side", "sig", "earlier", "text")
     more = ws.gathered_table("more", confirm_blocks(full, least_equal, percent))
-    groups = components(ws, links.union(more), "all")
+    members = join_groups(ws, members, more, "all")
 
-    named = classes.select("h1", "h2", "id").join(groups, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id"))
+    named = classes.select("h1", "h2", "id").join(members, "id", "left").select("h1", "h2", F.coalesce("grp", "id").alias("component_id"))
     ws.drop("texts", "regions", "open", "wanted")
     own = F.coalesce("component_id", "id")
     result = rows.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("h1")).alias("h1"), "h2").join(named, ["h1", "h2"], "left")

@@ -329,11 +329,11 @@ def near_texts(seed=5, n=220):
     return texts
 
 
-@pytest.mark.parametrize("block_rows", [512, 4])
-def test_near_duplicates_equal_brute_force(spark, block_rows):
+@pytest.mark.parametrize(("block_rows", "split_rows"), [(512, 4096), (4, 8)])
+def test_near_duplicates_equal_brute_force(spark, block_rows, split_rows):
     texts = near_texts()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r["id"]: r for r in forest.near_duplicates(df, Workspace(spark, "t"), block_rows=block_rows).collect()}
+    got = {r["id"]: r for r in forest.near_duplicates(df, Workspace(spark, "t"), block_rows=block_rows, split_rows=split_rows).collect()}
     want = groups({i: shingles(t) for i, t in enumerate(texts)})
     assert {i: r["component_id"] for i, r in got.items()} == want
     assert all(r["n_shingles"] == len(shingles(texts[i])) and r["kept"] == (want[i] == i) for i, r in got.items())
