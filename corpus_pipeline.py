@@ -33,15 +33,21 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest doc_id; one row of repeated rows."""
+    """One document of each near-duplicate group, that with the smallest doc_id.
+
+    Of rows with the same id one stays, whatever their texts, namely that of
+    least text; rows without an id belong to no group and all stay.
+    """
     ws = Workspace(spark, "forest")
     groups = ws.table("groups", forest.near_duplicates(docs, ws))
-    ids = groups.filter("id is not null").groupBy("id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    dropped = ids.filter("not kept").select(F.col("id").alias("doc_id"))
-    rest = compact(docs.join(dropped, "doc_id", "left_anti").select(*docs.columns), per_core=8)
-    if ids.filter("n > 1").isEmpty():
-        return rest
-    return rest.withColumn("_rw_digest", F.md5("text")).dropDuplicates(["doc_id", "_rw_digest"]).select(*docs.columns)
+    ids = ws.table("ids", groups.filter("id is not null").groupBy(F.col("id").alias("_rw_id")).agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
+    dropped = ids.filter("not kept").select("_rw_id")
+    rest = docs.join(dropped, F.col("doc_id") == F.col("_rw_id"), "left_anti")
+    repeated = ids.filter("kept and n > 1").select("_rw_id")
+    single = rest.join(repeated, F.col("doc_id") == F.col("_rw_id"), "left_anti")
+    several = rest.join(repeated, F.col("doc_id") == F.col("_rw_id"), "left_semi")
+    least = several.groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")), *(F.col(c) for c in docs.columns))).alias("_rw_row"))
+    return compact(single, per_core=8).union(least.select(*(F.col(f"_rw_row.{c}").alias(c) for c in docs.columns)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
