@@ -12,8 +12,11 @@ block digests. After a failed check it searches on for the next gzip member or
 ``WARC/`` version line that yields a valid record, returns what follows and
 logs the bytes between as a quarantined gap. Inside a sound member of several
 records it does the same; such a gap names the member and the bytes of its
-content. Archives are read through a sliding buffer, so memory is bounded by
-the largest member or plain record.
+content. Of a member that fails late, the records before the damage are returned
+too. Archives are read through a sliding buffer in pieces of a megabyte; a stated
+length is believed only if a record ends there, and a member that inflates to
+more than a gigabyte is quarantined, so memory is bounded by the largest sound
+record or member whatever the damage.
 
 Defined cases: a null payload is an empty one; a null id is written as a
 response without a page id if all equal payloads have null ids, else as a
@@ -60,14 +63,18 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def page_record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, date: str) -> bytes:
+def record_id(kind: str, page_id: int | None, url: str, payload: bytes) -> str:
+    """The id of a page's record, the same in every run."""
+    return f"<urn:uuid:{uuid.UUID(hashlib.sha1(f'{kind}{chr(10)}{page_id}{chr(10)}{url}'.encode() + payload).hexdigest()[:32])}>"
+
+
+def page_record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, date: str, refers_to_url: str = "") -> bytes:
     """A response record, or a revisit if ``refers_to`` is given."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     kind = "response" if refers_to is None else "revisit"
-    name = hashlib.sha1(f"{kind}\n{page_id}\n{url}".encode() + payload).hexdigest()[:32]
     headers = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.UUID(name)}>"),
+        ("WARC-Record-ID", record_id(kind, page_id, url, payload)),
         ("WARC-Date", date),
         ("WARC-Target-URI", re.sub(r"\s", "%20", url)),
         ("Content-Type", "application/http; msgtype=response"),
@@ -77,7 +84,7 @@ def page_record(page_id: int | None, url: str, payload: bytes, refers_to: int |
         headers.append(("X-Page-Id", str(page_id)))
     if refers_to is None:
         return record_bytes(headers, http + payload)
-    headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", str(refers_to))]
+    headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id("response", refers_to, refers_to_url, payload)), ("WARC-Refers-To-Target-URI", re.sub(r"\s", "%20", refers_to_url)), ("X-Refers-To-Page-Id", str(refers_to))]
     return record_bytes(headers, http)
 
 
@@ -92,9 +99,11 @@ def write_warc(pages: DataFrame, out_uri: str, *, id_col: str = "page_id", url_c
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha"))
-    keyed = pages.select(F.col(id_col).cast("long").alias("id"), F.sha1(payload).alias("sha"))
-    repeated = keyed.groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first")
-    rows = rows.join(repeated, "sha", "left").select("id", "url", "payload", F.when((F.length("payload") >= min_revisit_bytes) & ~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    keyed = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.sha1(payload).alias("sha"))
+    least = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "url")))
+    repeated = keyed.groupBy("sha").agg(least.alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first")
+    revisit = (F.length("payload") >= min_revisit_bytes) & ~F.col("id").eqNullSafe(F.col("first.id"))
+    rows = rows.join(repeated, "sha", "left").select("id", "url", "payload", F.when(revisit, F.col("first.id")).alias("refers_to"), F.when(revisit, F.col("first.url")).alias("refers_url"))
 
     def run(batches):
         task, seq, out, uri, records, size = TaskContext.get().partitionId(), 0, None, "", 0, 0
@@ -104,7 +113,7 @@ def write_warc(pages: DataFrame, out_uri: str, *, id_col: str = "page_id", url_c
             return pa.RecordBatch.from_pydict({"path": [uri], "records": [records], "bytes": [size]})
 
         for batch in batches:
-            ids, urls, refs = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            ids, urls, refs, ref_urls = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
             for i in range(batch.num_rows):
                 if out is None:
                     uri = f"{out_uri}/{attempt_name(f'pages-{task:06d}-{seq:05d}', '.warc.gz')}"
@@ -113,7 +122,7 @@ def write_warc(pages: DataFrame, out_uri: str, *, id_col: str = "page_id", url_c
                     info = member(record_bytes([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{task}/{seq}')}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
                     out.write(info)
                     size += len(info)
-                data = member(page_record(ids[i], urls[i], batch.column(2)[i].as_py(), refs[i], date))
+                data = member(page_record(ids[i], urls[i], batch.column(2)[i].as_py(), refs[i], date, ref_urls[i] or ""))
                 out.write(data)
                 records, size = records + 1, size + len(data)
                 if size >= file_bytes:
@@ -144,17 +153,28 @@ class Window:
             del self.data[:n]
             self.start = position
 
+    def direct(self, begin: int, end: int) -> bytes:
+        """Bytes that are not held afterwards."""
+        if self.start <= begin and end <= self.start + len(self.data):
+            return bytes(self.data[begin - self.start : end - self.start])
+        self.source.seek(begin)
+        return self.source.read(max(0, min(self.size, end) - begin))
+
     def piece(self, begin: int, end: int) -> bytes:
         self.upto(end)
         return bytes(self.data[begin - self.start : end - self.start])
 
 
 class Damaged(Exception):
-    """A check of a record failed."""
+    """A check of a record failed; ``content`` is what a member held before that."""
 
+    def __init__(self, reason: str, content: bytes = b""):
+        super().__init__(reason)
+        self.content = content
 
-def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and end of the record that begins at ``at``."""
+
+def parse_header(data: bytes, at: int = 0) -> tuple[dict[str, str], int, int]:
+    """Headers of the record that begins at ``at``, the place of its block and the length they state."""
     if not VERSION_LINE.match(data, at):
         raise Damaged("no version line")
     end = data.find(b"\r\n\r\n", at)
@@ -168,7 +188,12 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
         headers[name.decode(errors="replace").strip().lower()] = value.decode(errors="replace").strip()
     if not headers.get("content-length", "").isdigit():
         raise Damaged("bad content length")
-    begin, length = end + 4, int(headers["content-length"])
+    return headers, end + 4, int(headers["content-length"])
+
+
+def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """Headers, block and end of the record that begins at ``at``."""
+    headers, begin, length = parse_header(data, at)
     block = data[begin : begin + length]
     if len(block) < length:
         raise Damaged("block cut short")
@@ -202,36 +227,81 @@ def content_records(content: bytes) -> tuple[list[tuple[dict[str, str], bytes]],
     return found, lost
 
 
-def member_at(window: Window, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at`` and its end."""
-    z, out, position = zlib.decompressobj(31), [], at
-    while not z.eof:
-        have = window.upto(position + (1 << 16))
-        if position >= have:
-            raise Damaged("member cut short")
-        piece = window.piece(position, min(have, position + (1 << 16)))
+def sound_content(window: Window, at: int, max_content: int) -> bytes:
+    """What the damaged member at ``at`` holds before its error: inflated in pieces, and the failing piece byte by byte."""
+    z, out, size, position = zlib.decompressobj(31), [], 0, at
+    while size < max_content and not z.eof and (piece := window.direct(position, position + (1 << 16))):
+        position += len(piece)
+        before = z.copy()
         try:
             out.append(z.decompress(piece))
-        except zlib.error as e:
-            raise Damaged(f"member: {e}") from None
+            size += len(out[-1])
+        except zlib.error:
+            for i in range(len(piece)):
+                try:
+                    out.append(before.decompress(piece[i : i + 1]))
+                except zlib.error:
+                    break
+            break
+    return b"".join(out)
+
+
+def member_at(window: Window, at: int, max_content: int = 1 << 30) -> tuple[bytes, int]:
+    """The content of the gzip member at ``at`` and its end; a failure carries what was sound before it."""
+    z, out, position, size = zlib.decompressobj(31), [], at, 0
+
+    while not z.eof:
+        held = position + (1 << 16) <= at + CHUNK
+        have = window.upto(position + (1 << 16)) if held else window.size
+        if position >= have:
+            raise Damaged("member cut short", b"".join(out))
+        end = min(have, position + (1 << 16))
+        piece = window.piece(position, end) if held else window.direct(position, end)
         position += len(piece)
+        while piece and not z.eof:
+            try:
+                out.append(z.decompress(piece, CHUNK))
+            except zlib.error as e:
+                raise Damaged(f"member: {e}", sound_content(window, at, max_content)) from None
+            size += len(out[-1])
+            if size > max_content:
+                raise Damaged(f"member of more than {max_content} bytes", b"".join(out))
+            piece = z.unconsumed_tail
     return b"".join(out), position - len(z.unused_data)
 
 
 def plain_at(window: Window, at: int) -> tuple[tuple[dict[str, str], bytes], int]:
-    """The uncompressed record at ``at`` and its end."""
-    want = 1 << 16
-    while True:
-        have = window.upto(at + want)
-        data = window.piece(at, min(have, at + want))
-        if VERSION_LINE.match(data) and (end := data.find(b"\r\n\r\n")) >= 0 and (m := re.search(rb"\r\ncontent-length:\s*(\d+)\r\n", data[: end + 2], re.I)):
-            want = end + 8 + int(m[1])
-            headers, block, length = parse_record(window.piece(at, at + want))
-            return (headers, block), at + length
-        if have >= window.size or want > 1 << 20:  # no such header, or none of a sane size
-            headers, block, length = parse_record(data)
-            return (headers, block), at + length
+    """The uncompressed record at ``at`` and its end.
+
+    The length that its header states is not trusted: the end of the record has
+    to be where it says, and a block of more than CHUNK bytes is digested in
+    pieces before it is held.
+    """
+    want, data = 1 << 12, b""
+    while b"\r\n\r\n" not in data and len(data) < min(CHUNK, window.size - at):
         want *= 4
+        data = window.piece(at, min(window.size, at + want))
+        if not VERSION_LINE.match(data):
+            break
+    headers, begin, length = parse_header(data)
+    stop = at + begin + length
+    if stop > window.size:
+        raise Damaged("block cut short")
+    if window.direct(stop, stop + 4) != b"\r\n\r\n":
+        raise Damaged("no end of record")
+    spots = [*range(at + begin, stop, CHUNK), stop]
+    pieces = list(zip(spots, spots[1:], strict=False))
+    said = headers.get("warc-block-digest", "")
+    if length > CHUNK and said.startswith("sha1:"):
+        digest = hashlib.sha1()
+        for x, y in pieces:
+            digest.update(window.direct(x, y))
+        if said[5:] != base64.b32encode(digest.digest()).decode():
+            raise Damaged("block digest differs")
+    block = b"".join(window.piece(x, y) if y <= at + CHUNK else window.direct(x, y) for x, y in pieces)
+    if said.startswith("sha1:") and said[5:] != base32_sha1(block):
+        raise Damaged("block digest differs")
+    return (headers, block), stop + 4
 
 
 def salvage(source, size: int):
@@ -241,11 +311,12 @@ def salvage(source, size: int):
     def next_start(position: int) -> int:
         """The next place after ``position`` where a member or record may begin."""
         while position < size:
+            window.forget(position)
             have = window.upto(position + CHUNK)
-            view = bytes(window.data[position - window.start :])
-            line = VERSION_LINE.search(view)
-            if found := [x for x in (view.find(MEMBER), line.start() if line else -1) if x >= 0]:
-                return position + min(found)
+            line = VERSION_LINE.search(window.data, position - window.start)
+            places = (window.data.find(MEMBER, position - window.start), line.start() if line else -1)
+            if found := [x for x in places if x >= 0]:
+                return window.start + min(found)
             if have >= size:
                 return size
             position = have - 16
@@ -263,9 +334,15 @@ def salvage(source, size: int):
                 (one, end) = plain_at(window, at)
                 found, lost = [one], []
         except Damaged as e:
+            found = content_records(e.content)[0] if e.content else []
+            if found and gap is not None:
+                yield "gap", gap, at, reason, None
+                gap = None
             if gap is None:
                 gap, reason = at, str(e)
-            at = next_start(at + 1)
+            begin, at = at, next_start(at + 1)
+            for headers, block in found:
+                yield "record", begin, at, headers, block
             window.forget(at)
             continue
         if gap is not None:

@@ -197,6 +197,55 @@ def test_salvage_inside_a_member_of_several_records():
     assert ids(walk(none)) == [7] and gaps(walk(none)) == [(0, len(none) - len(simple(7)))]
 
 
+class Counting(io.BytesIO):
+    """A file that remembers the largest read."""
+
+    largest = 0
+
+    def read(self, n=-1):
+        got = super().read(n)
+        self.largest = max(self.largest, len(got))
+        return got
+
+
+@pytest.mark.parametrize("length", [b"99999999", b"40000000", b"00003000"])
+def test_no_read_is_large_whatever_the_lengths_say(length):
+    block = np.random.default_rng(4).bytes(450_000)
+    parts = [warc.page_record(i, f"http://x/{i}", block + bytes([i]), None, "2024-01-01T00:00:00Z") for i in range(110)]
+    at = len(parts[0]) + parts[1].find(b"Content-Length: 4") + 16
+    data = bytearray(b"".join(parts))
+    data[at : at + 6] = length[-6:]
+    file = Counting(bytes(data))
+    found = list(warc.salvage(file, len(data)))
+    assert ids(found) == [0, *range(2, 110)] and gaps(found) == [(len(parts[0]), len(parts[0]) + len(parts[1]))]
+    assert file.largest <= 2 << 20
+
+
+def test_members_that_fail_late_and_that_inflate_without_end():
+    plain = [simple(i, gz=False) for i in range(6)]
+    whole = bytearray(warc.member(b"".join(plain)))
+    whole[-6] ^= 0xFF  # the checksum
+    data = bytes(whole) + simple(9)
+    assert ids(walk(data)) == [0, 1, 2, 3, 4, 5, 9] and gaps(walk(data)) == [(0, len(whole))]
+    noise = [warc.page_record(i, "u", np.random.default_rng(i).bytes(3000), None, "2024-01-01T00:00:00Z") for i in range(6)]
+    cut = warc.member(b"".join(noise))[:-4000]
+    assert ids(walk(cut)) == [0, 1, 2, 3] and gaps(walk(cut)) == [(0, len(cut))]
+    bomb = warc.member(b"\0" * 30_000_000)
+    with pytest.raises(warc.Damaged) as e:
+        warc.member_at(warc.Window(io.BytesIO(bomb), len(bomb)), 0, max_content=5_000_000)
+    assert len(e.value.content) <= 7_000_000
+
+
+def test_revisits_name_the_record_they_refer_to(spark):
+    rows = {(r["page_id"], r["kind"]): r for r in warc.read_warc(archives(spark, PAGES)[1]).collect()}
+    path = rows[3, "revisit"]["path"].removeprefix("file://")
+    data = open(path, "rb").read()
+    found = {(f[3].get("x-page-id"), f[3]["warc-type"]): f[3] for f in walk(data) if f[0] == "record"}
+    assert found["3", "revisit"]["warc-refers-to"] == found["1", "response"]["warc-record-id"]
+    assert found["4", "revisit"]["warc-refers-to"] == found["2", "response"]["warc-record-id"]
+    assert found["3", "revisit"]["warc-refers-to-target-uri"] == "u1"
+
+
 def test_salvage_through_many_chunks():
     rng = np.random.default_rng(3)
     big = [warc.member(warc.page_record(i, "http://x", rng.bytes(700_000), None, "2024-01-01T00:00:00Z")) for i in range(6)]
