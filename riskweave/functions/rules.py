@@ -66,9 +66,8 @@ def transaction_rules(f: Fields) -> list[tuple[str, Column]]:
     ]
 
 
-def event_rules(raw_event: Column, key: Column, transaction_id: Column, produced_at: Column, file_date: Column) -> tuple[Column, list[tuple[str, Column]], list[tuple[str, Column]]]:
-    """Whether the JSON is valid, the rules on the envelope, and those on the message key."""
-    valid_json = F.get_json_object(raw_event, "$").isNotNull()
+def event_rules(key: Column, transaction_id: Column, produced_at: Column, file_date: Column) -> tuple[list[tuple[str, Column]], list[tuple[str, Column]]]:
+    """The rules on the envelope of valid JSON, and those on the message key."""
     names = ("schema_version", "event_id", "produced_at_utc", "source_file", "source_file_date", "source_row_number")
     present = {n: F.col(n) for n in names}
     envelope = [
@@ -84,7 +83,7 @@ def event_rules(raw_event: Column, key: Column, transaction_id: Column, produced
         ),
         ("unsupported_schema_version", any_true(present["schema_version"] != EVENT_VERSION)),
     ]
-    return valid_json, envelope, [("kafka_key_mismatch", any_true(key != transaction_id.cast("string")))]
+    return envelope, [("kafka_key_mismatch", any_true(key != transaction_id.cast("string")))]
 
 
 def evaluate_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

@@ -1,20 +1,21 @@
 """Ranking and threshold metrics as DataFrame aggregates.
 
 Rows are reduced to distinct scores first; running totals over scores have two
-levels (a grid of score ranges, then within a range), so no window runs over
-the whole table in one task.
+levels (ranges between quantiles of the distinct scores, then within a range),
+so no window runs over the whole table in one task, wherever scores crowd.
 """
 
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contracts import require_none, require_rows
 
-GRID = 65_536
+GRID = 1024
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,10 @@ def by_score(df: DataFrame, label: str, score: str) -> DataFrame:
     Columns score, pos, neg, pos_above, neg_above.
     """
     scores = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    scores = scores.withColumn("cell", F.floor(F.col("score") * GRID).cast("int"))
+    bounds = scores.agg(F.percentile_approx("score", [i / GRID for i in range(1, GRID)], 10 * GRID).alias("b")).first()["b"] or []
+    splits = [-float("inf"), *sorted({float(b) for b in bounds}), float("inf")]
+    scores = scores.withColumn("score", F.col("score").cast("double"))
+    scores = Bucketizer(splits=splits, inputCol="score", outputCol="cell").transform(scores) if len(splits) > 2 else scores.withColumn("cell", F.lit(0.0))
     cells = scores.groupBy("cell").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     higher = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("cell", F.coalesce(F.sum("p").over(higher), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("n0"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import require_columns, require_none
 from ..schemas import MODEL_FEATURES, MODEL_TARGET
+from ..sources import store
 from ..sources.publish import write_json
 
 #: Parameters of the baseline models.
@@ -23,6 +24,11 @@ BASELINES = {
     "boosted_trees": {"n_estimators": 200, "max_depth": 4, "learning_rate": 0.05, "subsample": 0.8, "colsample_bytree": 0.8, "scale_pos_weight": True},
 }
 SEED = 42
+PARAMETERS = {
+    "prior": set(),
+    "logistic_regression": {"C", "class_weight", "max_iter"},
+    "boosted_trees": {"n_estimators", "max_depth", "learning_rate", "subsample", "colsample_bytree", "scale_pos_weight", "min_child_weight"},
+}
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], q: float, *, driver_rows: int = 100_000) -> list[float | None]:
@@ -152,11 +158,9 @@ class FittedModel:
 
 def load_model(folder: str) -> FittedModel:
     """A saved model, checked against the feature and target contract."""
-    try:
-        with open(f"{folder}/manifest.json", encoding="utf-8") as f:
-            m = json.load(f)
-    except FileNotFoundError:
-        raise FileNotFoundError(f"model artifact not found: {folder}") from None
+    if not store.is_file(f"{folder}/manifest.json"):
+        raise FileNotFoundError(f"model artifact not found: {folder}")
+    m = json.loads(store.read_text(f"{folder}/manifest.json"))
     if tuple(m["features"]) != MODEL_FEATURES or m["target"] != MODEL_TARGET:
         raise ValueError("the model was trained for other features or another target")
     loaders = {"logistic_regression": LogisticRegressionModel, "boosted_trees": GBTClassificationModel, "prior": None}
@@ -168,7 +172,10 @@ def load_model(folder: str) -> FittedModel:
 
 
 def fit_model(kind: str, parameters: dict, train: DataFrame) -> FittedModel:
-    """Fit one model. Parameters without a counterpart in MLlib (reg_alpha, reg_lambda) are recorded only."""
+    """Fit one model; a parameter that would change nothing is an error."""
+    unknown = set(parameters) - PARAMETERS.get(kind, set(parameters))
+    if unknown:
+        raise ValueError(f"{kind} has no parameters {sorted(unknown)}")
     require_inputs(train)
     train = train.select(*MODEL_FEATURES, MODEL_TARGET).persist()
     try:

@@ -19,7 +19,7 @@ from .tuning import prequential_folds, search
 
 @dataclass(frozen=True)
 class Published:
-    manifest: Path
+    manifest: str
     models: dict[str, str]
 
 
@@ -54,7 +54,7 @@ def publish_tuned(train: DataFrame, folder: str, *, candidates: dict[str, int],
     return Published(manifest, places)
 
 
-def publish_thresholds(validation: DataFrame, models_folder: str, names: list[str], path: str, *, capacity: int) -> Path:
+def publish_thresholds(validation: DataFrame, models_folder: str, names: list[str], path: str, *, capacity: int) -> str:
     """Choose each model's threshold under the capacity on validation data, and the policy among them."""
     require_positive(capacity, "capacity")
     described, candidates = {}, []
@@ -78,7 +78,7 @@ def publish_thresholds(validation: DataFrame, models_folder: str, names: list[st
     })
 
 
-def publish_final_evaluation(test: DataFrame, models_folder: str, policy_path: str, path: str) -> Path:
+def publish_final_evaluation(test: DataFrame, models_folder: str, policy_path: str, path: str) -> str:
     """Measure the locked policy on the test rows, without choosing anything again."""
     policy = read_locked_policy(policy_path)
     scored = load_model(f"{models_folder}/{policy['model_artifact']}").score(test).persist()

@@ -1,8 +1,8 @@
-"""A registry of approved policies in a folder: numbered versions, tags, and an alias that is set last."""
+"""A registry of approved policies in a folder of any store: numbered versions, tags, and an alias that is set last."""
 
 from __future__ import annotations
 
-import shutil
+import uuid
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import require_text
+from ..sources import store
 from ..sources.files import load_json_object
 from ..sources.publish import write_json
 from .policy import ApprovedPolicy, load_approved_policy
@@ -41,20 +42,19 @@ def publish_policy(root: str, name: str, *, models_folder: str, policy_path: str
     require_text(name, "registry name")
     revision, alias = require_text(source_revision, "source revision"), require_text(alias, "alias")
     source = load_approved_policy(models_folder, policy_path, evaluation_path)
-    base = Path(root) / name
-    base.mkdir(parents=True, exist_ok=True)
-    version = 1 + max((int(p.name) for p in base.iterdir() if p.name.isdigit()), default=0)
-    staging = base / f".staging-{version}"
+    base = f"{root}/{name}"
+    version = 1 + max((int(n) for n in store.children(base) if n.isdigit()), default=0)
+    staging, place = f"{base}/.staging-{uuid.uuid4().hex}", f"{base}/{version}"
     try:
-        shutil.copytree(Path(models_folder) / source.metadata.model_artifact, staging / "models" / source.metadata.model_artifact)
-        shutil.copy(policy_path, staging / Path(policy_path).name)
-        shutil.copy(evaluation_path, staging / Path(evaluation_path).name)
+        store.copy(f"{models_folder}/{source.metadata.model_artifact}", f"{staging}/models/{source.metadata.model_artifact}")
+        for path in (policy_path, evaluation_path):
+            store.copy(path, f"{staging}/{Path(path).name}")
         if not same_predictions(source, _open(staging, source), example):
             raise ValueError("the copied policy predicts differently")
-        staging.rename(base / str(version))
+        store.move(staging, place)
     finally:
-        shutil.rmtree(staging, ignore_errors=True)
-    if not same_predictions(source, _open(base / str(version), source), example):
+        store.delete(staging)
+    if not same_predictions(source, _open(place, source), example):
         raise ValueError("the registered policy predicts differently")
     tags = {
         "approval_status": "approved",
@@ -64,35 +64,34 @@ def publish_policy(root: str, name: str, *, models_folder: str, policy_path: str
         "policy": Path(policy_path).name,
         "evaluation": Path(evaluation_path).name,
     }
-    write_json(base / str(version) / "tags.json", tags)
-    write_json(base / f"{alias}.json", {"version": version})
-    return RegisteredVersion(name, version, str(base / str(version)), tags)
+    write_json(f"{place}/tags.json", tags)
+    write_json(f"{base}/{alias}.json", {"version": version})
+    return RegisteredVersion(name, version, place, tags)
 
 
-def _open(folder: Path, like: ApprovedPolicy) -> ApprovedPolicy:
-    return load_approved_policy(str(folder / "models"), str(folder / like.metadata.policy_source), str(folder / like.metadata.evaluation_source))
+def _open(folder: str, like: ApprovedPolicy) -> ApprovedPolicy:
+    return load_approved_policy(f"{folder}/models", f"{folder}/{like.metadata.policy_source}", f"{folder}/{like.metadata.evaluation_source}")
 
 
 def resolve(root: str, name: str, alias: str = "champion") -> RegisteredVersion:
     """The version that an alias stands for; its tags must say that it is approved."""
-    base = Path(root) / require_text(name, "registry name")
-    version = load_json_object(base / f"{require_text(alias, 'alias')}.json", "registry alias").get("version")
+    base = f"{root}/{require_text(name, 'registry name')}"
+    version = load_json_object(f"{base}/{require_text(alias, 'alias')}.json", "registry alias").get("version")
     if isinstance(version, bool) or not isinstance(version, int) or version < 1:
         raise ValueError("the alias does not name a version")
-    tags = load_json_object(base / str(version) / "tags.json", "version tags")
+    tags = load_json_object(f"{base}/{version}/tags.json", "version tags")
     for tag in TAGS:
         if not isinstance(tags.get(tag), str) or not tags[tag].strip():
             raise ValueError(f"version {version} lacks the tag {tag}")
     if tags["approval_status"] != "approved":
         raise ValueError(f"version {version} is not approved")
-    return RegisteredVersion(name, version, str(base / str(version)), tags)
+    return RegisteredVersion(name, version, f"{base}/{version}", tags)
 
 
 def load_registered(root: str, name: str, alias: str = "champion") -> ApprovedPolicy:
     """The approved policy behind an alias, pinned to its version."""
     found = resolve(root, name, alias)
-    folder = Path(found.folder)
-    policy = load_approved_policy(str(folder / "models"), str(folder / found.tags["policy"]), str(folder / found.tags["evaluation"]))
+    policy = load_approved_policy(f"{found.folder}/models", f"{found.folder}/{found.tags['policy']}", f"{found.folder}/{found.tags['evaluation']}")
     if float(found.tags["threshold"]) != policy.metadata.threshold or int(found.tags["daily_card_capacity"]) != policy.metadata.daily_card_capacity:
         raise ValueError("the tags of the version contradict its policy")
     return policy

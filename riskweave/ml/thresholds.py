@@ -36,6 +36,13 @@ def card_days(df: DataFrame, score: str = "score") -> DataFrame:
     return df.groupBy("transaction_date", "customer_id").agg(F.max("tx_fraud").alias("tx_fraud"), F.max(score).alias("score"))
 
 
+def top_cards_per_day(cards: DataFrame, k: int) -> DataFrame:
+    """The k cards of highest score of every day, ties to the smaller id."""
+    order = Window.partitionBy("transaction_date").orderBy(F.desc("score"), F.asc("customer_id"))
+    ranked = cards.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= require_positive(k, "k"))
+    return ranked.select("transaction_date", "customer_id", "score")
+
+
 def daily_boundaries(cards: DataFrame, capacity: int) -> DataFrame:
     """Days with more cards than capacity, and the score of the first card beyond it."""
     order = Window.partitionBy("transaction_date").orderBy(F.desc("score"), F.asc("customer_id"))

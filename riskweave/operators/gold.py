@@ -11,7 +11,7 @@ from ..contracts import finite, require_columns, require_none, require_unique
 from ..functions.scalars import MONEY, calendar_features, money_sum, ratio
 from ..schemas import FEATURE_COLUMNS, SILVER
 from ..sources.files import load_silver
-from ..sources.publish import publish_tables
+from ..sources.publish import publish_tables, table_path
 
 
 @dataclass(frozen=True)
@@ -97,4 +97,4 @@ def write_gold(spark, silver_path: str, gold_path: str) -> GoldTables:
         "terminal_daily_summary": gold.terminal_daily_summary.orderBy("transaction_date", "terminal_id"),
         "transaction_features": gold.transaction_features.orderBy("tx_datetime", "transaction_id"),
     }, gold_path)
-    return GoldTables(*(spark.read.parquet(f"{gold_path}/{n}") for n in ("transaction_features", "customer_daily_summary", "terminal_daily_summary")))
+    return GoldTables(*(spark.read.parquet(table_path(gold_path, n)) for n in ("transaction_features", "customer_daily_summary", "terminal_daily_summary")))

@@ -81,17 +81,19 @@ def split_judged(judged: DataFrame) -> SilverResult:
 def ingest_silver(bronze: DataFrame, silver_path: str, quarantine_path: str) -> list:
     """Validate the days that are not in Silver yet and write them; returns the days.
 
-    Quarantine is written first, so a day in Silver marks the day as done. A
-    day that is in quarantine only is computed again; one that is in Silver but
-    not in quarantine is an error. All new days are one job, and ids of Silver
-    win over new ones whatever their date.
+    Quarantine is written first, then Silver, and a marker table of finished
+    days last. A day without a marker is computed again and replaced, whatever
+    an interrupted run left of it; a finished day without its quarantine is an
+    error. All new days are one job, and ids of finished days win over new ones
+    whatever their date.
     """
     if silver_path.rstrip("/") == quarantine_path.rstrip("/"):
         raise ValueError("Silver and quarantine need different folders")
     spark = bronze.sparkSession
     days = bronze.select("source_file_date").distinct()
-    has_silver = exists(spark, silver_path)
-    done = loaded_dates(spark, silver_path)
+    silver_days = f"{silver_path.rstrip('/')}-days"
+    done = loaded_dates(spark, silver_days)
+    has_silver = exists(spark, silver_path) and not done.isEmpty()
     quarantine_days = f"{quarantine_path.rstrip('/')}-days"
     closed = loaded_dates(spark, quarantine_days)
     if not done.join(closed, "source_file_date", "left_anti").isEmpty():
@@ -101,16 +103,15 @@ def ingest_silver(bronze: DataFrame, silver_path: str, quarantine_path: str) ->
         return []
     fresh = bronze.join(F.broadcast(spark.createDataFrame([(d,) for d in new], "source_file_date date")), "source_file_date", "left_semi").select(*BRONZE.names)
     require_metadata(fresh)
-    judged = judge(fresh, read_ids(spark, silver_path) if has_silver else None).persist(StorageLevel.DISK_ONLY)
+    judged = judge(fresh, read_ids(spark, silver_path, done) if has_silver else None).persist(StorageLevel.DISK_ONLY)
     try:
-        _write_days(split_judged(judged), new, silver_path, quarantine_path, quarantine_days)
+        _write_days(split_judged(judged), new, silver_path, quarantine_path, quarantine_days, silver_days)
     finally:
         judged.unpersist()
     return new
 
 
-def _write_days(result: SilverResult, new: list, silver_path: str, quarantine_path: str, quarantine_days: str) -> None:
-    spark = result.silver.sparkSession
-    result.quarantine.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_file_date").parquet(quarantine_path)
-    spark.createDataFrame([(d, True) for d in new], "source_file_date date, done boolean").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_file_date").parquet(quarantine_days)
-    result.silver.write.mode("append").partitionBy("source_file_date").parquet(silver_path)
+def _write_days(result: SilverResult, new: list, silver_path: str, quarantine_path: str, quarantine_days: str, silver_days: str) -> None:
+    marker = result.silver.sparkSession.createDataFrame([(d, True) for d in new], "source_file_date date, done boolean")
+    for df, path in ((result.quarantine, quarantine_path), (marker, quarantine_days), (result.silver, silver_path), (marker, silver_days)):
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_file_date").parquet(path)

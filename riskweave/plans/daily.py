@@ -11,7 +11,7 @@ from ..contracts import require_aware
 from ..operators.bronze import ingest_bronze
 from ..operators.gold import write_gold
 from ..operators.silver import ingest_silver
-from ..sources.files import read_bronze, read_source_pickles
+from ..sources.files import discover_daily_files, read_bronze, read_source_pickles
 
 
 @dataclass(frozen=True)
@@ -40,6 +40,8 @@ def run_daily(spark: SparkSession, source: str | DataFrame, root: str, ingested_
     """Ingest what is new and rebuild Gold. ``source`` is a folder of pickles or rows with source_file and row_in_file."""
     moment = require_aware(ingested_at or datetime.now(timezone.utc), "the ingestion time").astimezone(timezone.utc)
     folders = Folders.under(root)
+    if isinstance(source, str):
+        discover_daily_files(source)
     rows = read_source_pickles(spark, source) if isinstance(source, str) else source
     bronze_days = ingest_bronze(rows, folders.bronze, moment)
     silver_days = ingest_silver(read_bronze(spark, folders.bronze), folders.silver, folders.quarantine)

@@ -15,21 +15,35 @@ from pyspark.sql import types as T
 
 from ..contracts import require_columns, require_rows, require_unique
 from ..schemas import BRONZE, SILVER, SOURCE, SOURCE_COLUMNS
+from . import store
 
 
-def discover_daily_files(folder: str | Path, suffix: str = ".pkl") -> list[Path]:
-    """Files named by a real date, in date order; one with another name fails the listing."""
+def discover_daily_files(folder: str | Path, suffix: str = ".pkl") -> list[str]:
+    """Names of the files named by a real date, in date order; one with another name fails the listing."""
     found = []
-    for path in Path(folder).iterdir():
-        if path.suffix != suffix or path.name.startswith((".", "_")):
+    for name in store.children(folder):
+        stem, dot, _ = name.rpartition(suffix)
+        if not dot or not name.endswith(suffix) or name.startswith((".", "_")):
             continue
         try:
-            if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", path.stem):
+            if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", stem):
                 raise ValueError
-            found.append((date.fromisoformat(path.stem), path))
+            found.append((date.fromisoformat(stem), name))
         except ValueError:
-            raise ValueError(f"file name is not a date: {path.name}") from None
-    return [path for _, path in sorted(found)]
+            raise ValueError(f"file name is not a date: {name}") from None
+    return [name for _, name in sorted(found)]
+
+
+def file_days(rows: DataFrame, suffix: str = ".pkl") -> DataFrame:
+    """The files that rows come from with their dates: source_file, source_file_date; null for a bad name."""
+    return dated(rows.select("source_file").distinct(), suffix)
+
+
+def require_dated(rows: DataFrame, suffix: str = ".pkl") -> None:
+    """Raise if rows come from a file that is not named by a date."""
+    bad = file_days(rows, suffix).filter("source_file_date is null").agg(F.min(F.coalesce("source_file", F.lit("(no name)"))).alias("name")).first()["name"]
+    if bad is not None:
+        raise ValueError(f"file name is not a date: {bad}")
 
 
 def read_source_csv(spark: SparkSession, path: str, *, null_value: str | None = "") -> DataFrame:
@@ -64,9 +78,11 @@ def read_bronze(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BRONZE).parquet(path)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Known transaction ids; only that column is read."""
-    return spark.read.parquet(path).select("transaction_id")
+def read_ids(spark: SparkSession, path: str, days: DataFrame | None = None) -> DataFrame:
+    """Known transaction ids, of the given days only if there are any given; only that column is read."""
+    silver = spark.read.parquet(path)
+    silver = silver if days is None else silver.join(F.broadcast(days.select("source_file_date")), "source_file_date", "left_semi")
+    return silver.select("transaction_id")
 
 
 def load_silver(spark: SparkSession, path: str) -> DataFrame:
@@ -111,11 +127,10 @@ def model_example(spark: SparkSession, path: str, features: list[str], n: int =
 
 def load_json_object(path: str | Path, what: str) -> dict:
     """A JSON file that must exist, parse and be an object."""
-    path = Path(path)
-    if not path.is_file():
+    if not store.is_file(path):
         raise FileNotFoundError(f"{what} not found: {path}")
     try:
-        content = json.loads(path.read_text(encoding="utf-8"))
+        content = json.loads(store.read_text(path))
     except json.JSONDecodeError as e:
         raise ValueError(f"{what} is not valid JSON: {path}") from e
     if not isinstance(content, dict):

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
+
+POINTER = "_current.json"
+
 
 def exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return store.exists(path)
 
 
 def loaded_dates(spark: SparkSession, path: str) -> DataFrame:
@@ -37,30 +39,28 @@ def append_new_days(df: DataFrame, path: str) -> list:
 
 
 def publish_tables(tables: dict[str, DataFrame], root: str) -> None:
-    """Write all tables beside their places first, then put them in place in the given order."""
-    spark = next(iter(tables.values())).sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    """Write all tables as a new version, then point to it; readers see the old version until then.
+
+    The version before stays for readers that have begun, older ones go.
+    """
+    version = uuid.uuid4().hex
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/.staging/{name}")
-    for name in tables:
-        place = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-        fs = place.getFileSystem(conf)
-        fs.delete(place, True)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(f"{root}/.staging/{name}"), place)
-    staging = jvm.org.apache.hadoop.fs.Path(f"{root}/.staging")
-    staging.getFileSystem(conf).delete(staging, True)
-
-
-def write_json(path: str | Path, content: dict) -> Path:
-    """Write a manifest through a temporary file and a rename."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    handle, temporary = tempfile.mkstemp(dir=path.parent, prefix=f".{path.name}")
-    try:
-        with os.fdopen(handle, "w", encoding="utf-8") as f:
-            json.dump(content, f, indent=2, sort_keys=True, allow_nan=False)
-            f.write("\n")
-        os.replace(temporary, path)
-    finally:
-        Path(temporary).unlink(missing_ok=True)
-    return path
+        df.write.mode("overwrite").parquet(f"{root}/versions/{version}/{name}")
+    pointer = f"{root}/{POINTER}"
+    before = json.loads(store.read_text(pointer)) if store.exists(pointer) else {}
+    write_json(pointer, {"version": version, "before": before.get("version")})
+    for old in store.children(f"{root}/versions"):
+        if old not in (version, before.get("version")):
+            store.delete(f"{root}/versions/{old}")
+
+
+def table_path(root: str, name: str) -> str:
+    """Where the current version of a published table is."""
+    pointer = f"{root}/{POINTER}"
+    return f"{root}/versions/{json.loads(store.read_text(pointer))['version']}/{name}" if store.exists(pointer) else f"{root}/{name}"
+
+
+def write_json(path: str | Path, content: dict) -> str:
+    """Write a manifest in one step, on whatever store the path names."""
+    store.write_text(path, json.dumps(content, indent=2, sort_keys=True, allow_nan=False) + "\n")
+    return str(path)

@@ -43,7 +43,7 @@ def build_messages(rows: DataFrame, produced_at: datetime, topic: str) -> DataFr
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
-    """Kafka-shaped rows with decoded key and value and the parsed envelope under ``event``."""
+    """Kafka-shaped rows with decoded key and value, the parsed envelope under ``event`` and whether the value is JSON at all."""
     text = messages.select(
         F.col("key").cast("string").alias("kafka_key"),
         F.col("value").cast("string").alias("raw_event"),
@@ -52,7 +52,7 @@ def parse_messages(messages: DataFrame) -> DataFrame:
         F.col("offset").alias("kafka_offset"),
         F.col("timestamp").alias("kafka_timestamp"),
     )
-    return evaluate_once(text, {"event": F.from_json("raw_event", EVENT)})
+    return evaluate_once(text, {"event": F.from_json("raw_event", EVENT), "valid_json": F.get_json_object("raw_event", "$").isNotNull()})
 
 
 def flatten_events(parsed: DataFrame) -> DataFrame:
@@ -74,7 +74,8 @@ def type_events(flat: DataFrame) -> DataFrame:
 def judge_events(typed: DataFrame) -> DataFrame:
     """Adds rejection_reasons and is_valid. All rules but the first hold for valid JSON only."""
     fields = Fields({n: F.col(f"raw_{n}") for n in SILVER_NAMES}, {n: F.col(n) for n in SILVER_NAMES}, F.col("source_date"))
-    valid_json, envelope, key_rules = event_rules(F.col("raw_event"), F.col("kafka_key"), F.col("transaction_id"), F.col("produced_at"), F.col("source_date"))
+    valid_json = F.col("valid_json")
+    envelope, key_rules = event_rules(F.col("kafka_key"), F.col("transaction_id"), F.col("produced_at"), F.col("source_date"))
     rules = [("invalid_event_json", ~valid_json), *((r, valid_json & c) for r, c in [*envelope, *transaction_rules(fields), *key_rules])]
     return evaluate_once(typed, {"rejection_reasons": reasons(rules)}).withColumn("is_valid", F.size("rejection_reasons") == 0)
 

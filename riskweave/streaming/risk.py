@@ -17,8 +17,9 @@ DISTINCT_ERROR = 0.05
 def risk_windows(transactions: DataFrame, entity: str, *, window: str = DEFAULT_WINDOW, watermark: str | None = DEFAULT_WATERMARK, exact_distinct: bool = False) -> DataFrame:
     """Tumbling windows of one entity's activity; no label is read.
 
-    Streams need the watermark and count the other side approximately;
-    ``exact_distinct`` is for batch only.
+    Streams need the watermark and count the other side approximately, under
+    the name that readers of the published table expect; ``exact_distinct`` is
+    for batch only and names its column ``distinct_*_count``.
     """
     other = {"customer": "terminal", "terminal": "customer"}[entity]
     rows = transactions.withColumn("tx_datetime", F.col("tx_datetime").cast("timestamp"))
@@ -30,7 +31,7 @@ def risk_windows(transactions: DataFrame, entity: str, *, window: str = DEFAULT_
         F.sum("tx_amount").alias("total_amount"),
         F.avg("tx_amount").alias("average_amount"),
         F.max("tx_amount").alias("maximum_amount"),
-        distinct.cast("bigint").alias(f"distinct_{other}_count"),
+        distinct.cast("bigint").alias(f"distinct_{other}_count" if exact_distinct else f"approx_unique_{other}s"),
         F.sum(F.when(F.hour("tx_datetime").between(0, 5), 1).otherwise(0)).cast("bigint").alias("night_transaction_count"),
     )
     start_end = [F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end")]

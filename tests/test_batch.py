@@ -12,6 +12,8 @@ from riskweave.operators.gold import build_gold
 from riskweave.operators.silver import ingest_silver, validate_bronze
 from riskweave.plans.daily import run_daily
 from riskweave.schemas import BRONZE, QUARANTINE, SILVER, SOURCE_COLUMNS
+from riskweave.sources import store
+from riskweave.sources.publish import publish_tables, table_path, write_json
 from riskweave.sources.files import discover_daily_files, load_json_object, load_silver, read_source_csv, require_inputs, union_view
 
 NOW = datetime(2026, 9, 3, 12, tzinfo=timezone.utc)
@@ -169,7 +171,7 @@ def test_daily_run_from_pickles(spark, tmp_path):
     frame.to_pickle(raw / "2018-04-01.pkl")
     result = run_daily(spark, str(raw), str(tmp_path / "lake"), NOW)
     assert result.bronze_days == result.silver_days == [DAY]
-    assert spark.read.parquet(str(tmp_path / "lake/gold/transaction_features")).count() == 1
+    assert spark.read.parquet(table_path(str(tmp_path / "lake/gold"), "transaction_features")).count() == 1
     assert spark.read.parquet(str(tmp_path / "lake/quarantine")).first()["rejection_reasons"] == ["negative_transaction_amount"]
     again = run_daily(spark, str(raw), str(tmp_path / "lake"), NOW)
     assert again.bronze_days == again.silver_days == []
@@ -178,7 +180,7 @@ def test_daily_run_from_pickles(spark, tmp_path):
 def test_sources(spark, tmp_path):
     for name in ("2018-04-02.pkl", "2018-04-01.pkl", "notes.txt"):
         (tmp_path / name).touch()
-    assert [p.name for p in discover_daily_files(tmp_path)] == ["2018-04-01.pkl", "2018-04-02.pkl"]
+    assert discover_daily_files(tmp_path) == ["2018-04-01.pkl", "2018-04-02.pkl"]
     (tmp_path / "2018-02-30.pkl").touch()
     with pytest.raises(ValueError, match="2018-02-30"):
         discover_daily_files(tmp_path)
@@ -208,3 +210,66 @@ def test_guards():
             require_text(bad, "x")
     with pytest.raises(ValueError):
         require_utc(datetime(2026, 1, 1))
+
+
+@pytest.mark.parametrize("bad", ["notes.pkl", "2018-02-30.pkl", "2018-4-1.pkl"])
+def test_badly_named_files_are_refused_before_anything_is_written(spark, tmp_path, bad):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    frame = pd.DataFrame([source(1)], columns=list(SOURCE_COLUMNS))
+    for name in ("2018-04-01.pkl", bad):
+        frame.to_pickle(raw / name)
+    for _ in range(2):
+        with pytest.raises(ValueError, match=bad):
+            run_daily(spark, str(raw), str(tmp_path / "lake"), NOW)
+    assert not (tmp_path / "lake").exists()
+    rows = files(spark, {DAY: [source(1)]}).withColumn("source_file", F.lit(bad))
+    with pytest.raises(ValueError, match=bad):
+        run_daily(spark, rows, str(tmp_path / "lake"), NOW)
+    with pytest.raises(Exception, match="not a date"):
+        bronze_records(rows, NOW).collect()
+    (raw / bad).unlink()
+    first = run_daily(spark, str(raw), str(tmp_path / "lake"), NOW)
+    assert first.bronze_days == first.silver_days == [DAY]
+    before = spark.read.parquet(str(tmp_path / "lake/bronze")).collect()
+    assert run_daily(spark, str(raw), str(tmp_path / "lake"), NOW).bronze_days == []
+    assert spark.read.parquet(str(tmp_path / "lake/bronze")).collect() == before
+
+
+def test_row_numbers_over_pieces_of_a_file(spark):
+    rows = files(spark, {DAY: [source(i) for i in range(6)]}).withColumn("row_in_file", F.col("TRANSACTION_ID").cast("long") * (1 << 19))
+    got = {r["TRANSACTION_ID"]: r["source_row_number"] for r in bronze_records(rows.repartition(3), NOW).collect()}
+    assert got == {str(i): i for i in range(6)}
+
+
+def test_an_interrupted_silver_day_is_computed_again(spark, tmp_path):
+    b, s, q = (str(tmp_path / x) for x in ("bronze", "silver", "quarantine"))
+    ingest_bronze(files(spark, {DAY: [source(1), source(2)]}), b, NOW)
+    ingest_silver(spark.read.schema(BRONZE).parquet(b), s, q)
+    store.delete(f"{s}-days")  # as if the run had died before its last step
+    whole = spark.read.parquet(s)
+    half, layout = whole.filter("transaction_id = 1").collect(), whole.schema
+    store.delete(s)
+    spark.createDataFrame(half, layout).write.partitionBy("source_file_date").parquet(s)
+    assert ingest_silver(spark.read.schema(BRONZE).parquet(b), s, q) == [DAY]
+    assert sorted(r["transaction_id"] for r in load_silver(spark, s).collect()) == [1, 2]
+
+
+def test_tables_are_published_without_a_gap(spark, tmp_path):
+    root = str(tmp_path / "gold")
+    seen = []
+    for n in range(1, 5):
+        publish_tables({"a": spark.range(n), "b": spark.range(n)}, root)
+        seen.append(table_path(root, "a"))
+        assert spark.read.parquet(seen[-1]).count() == n
+    assert store.exists(seen[2]) and not store.exists(seen[0]) and len(store.children(f"{root}/versions")) == 2
+    with pytest.raises(Exception):
+        publish_tables({"a": spark.range(1).select(F.raise_error(F.lit("stop")).alias("x"))}, root)
+    assert table_path(root, "a") == seen[-1] and spark.read.parquet(seen[-1]).count() == 4
+
+
+def test_manifests_are_replaced_in_one_step(spark, tmp_path):
+    for uri in (str(tmp_path / "m/x.json"), f"file://{tmp_path}/n/x.json"):
+        for content in ({"a": 1}, {"a": "é"}):
+            assert write_json(uri, content) == uri and load_json_object(uri, "manifest") == content
+        assert store.children(uri.rsplit("/", 1)[0]) == ["x.json"]

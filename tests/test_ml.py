@@ -1,6 +1,7 @@
 """Datasets, metrics, thresholds, tuning, publication, registry and scoring."""
 
 import json
+from pathlib import Path
 import math
 from datetime import date, datetime, timedelta, timezone
 
@@ -138,6 +139,9 @@ def test_card_precision_leaves_caught_cards_out(spark):
     rows = [(1, 1, 1, 0.9), (1, 2, 0, 0.8), (1, 3, 0, 0.1), (1, 4, 0, 0.1), (2, 1, 1, 0.99), (2, 3, 0, 0.9), (2, 4, 0, 0.8), (2, 5, 1, 0.7)]
     assert card_precision_at_k(cards(spark, rows), 2) == 0.25
     assert card_precision_at_k(cards(spark, rows), 3) == (1 / 3 + 1 / 3) / 2
+    many = [(d, c, 1, 1 - c / 1000) for d in range(1, 9) for c in range(1, 40)]  # the best 2 k of later days are all caught
+    assert card_precision_at_k(cards(spark, many), 3) == 1.0
+    assert card_precision_at_k(cards(spark, many), 10) == 39 / 80
     with pytest.raises(ValueError):
         card_precision_at_k(cards(spark, rows), 0)
     with pytest.raises(ValueError):
@@ -179,10 +183,10 @@ def test_from_training_to_scoring(spark, tmp_path):
     train, validation, test = (read_split(spark, str(tmp_path / "d"), s) for s in ("train", "validation", "test"))
     small = {"prior": {}, "logistic_regression": {"C": 1.0, "class_weight": "balanced"}, "boosted_trees": {"n_estimators": 3, "max_depth": 2, "scale_pos_weight": True}}
     published = publish_baselines(train, validation, test, str(tmp_path / "base"), models=small)
-    report = json.loads(published.manifest.read_text())["models"]
+    report = json.loads(Path(published.manifest).read_text())["models"]
     assert report["logistic_regression"]["test"]["roc_auc"] > 0.95 and report["prior"]["test"]["roc_auc"] == 0.5
     tuned = publish_tuned(train, str(tmp_path / "tuned"), candidates={"logistic_regression": 2}, folds=2, assessment_days=4, gap_days=1, k=2)
-    assert len(json.loads(tuned.manifest.read_text())["models"]["logistic_regression"]["candidates"]) == 2
+    assert len(json.loads(Path(tuned.manifest).read_text())["models"]["logistic_regression"]["candidates"]) == 2
     models = str(tmp_path / "tuned")
     policy, final = str(tmp_path / "policy.json"), str(tmp_path / "final.json")
     publish_thresholds(validation, models, ["logistic_regression"], policy, capacity=2)
