@@ -711,7 +711,7 @@ def test_toxicity_without_labels(spark, hard):
 @pytest.fixture(scope="module")
 def bpe():
     ranks = prefix_bpe.load_ranks(BYTE_FILE)
-    return prefix_bpe.PrefixEncoder(ranks, public_tokenizers.PATTERN, max_pieces=100), tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return prefix_bpe.PrefixEncoder(ranks, public_tokenizers.PATTERN, recent_bytes=100_000), tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def test_encoding_appends_and_edits_equal_the_library(bpe):
