@@ -9,9 +9,11 @@ largest bound first, for documents that can still compete. The shards' top k
 are merged by rank. Scores are exact integers.
 
 Defined cases: rows whose vector is null or holds null or non-finite components
-take no part; rows repeated with the same id and vector count once; a query is
-not a candidate of its own id; fewer than k candidates give fewer rows; ties go
-to the smaller id; rows with a null id take no part; other columns are not read.
+take no part; rows repeated with the same id and vector count once, or with
+``every_row`` are candidates each, so that one that is there n times may take n
+ranks; repeated query rows are answered once; a query is not a candidate of its
+own id; fewer than k candidates give fewer rows; ties go to the smaller id; rows
+with a null id take no part; other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,10 +43,10 @@ class Shard:
     """Postings of a shard: per term the documents that hold it, ascending, and their weights."""
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, terms: np.ndarray, weights: np.ndarray):
-        order = np.argsort(ids, kind="stable")
+        self.order = np.argsort(ids, kind="stable")
         place = np.empty(len(ids), dtype=np.int64)
-        place[order] = np.arange(len(ids))
-        self.ids = ids[order]
+        place[self.order] = np.arange(len(ids))
+        self.ids = ids[self.order]
         docs = np.repeat(place, lengths)
         by_term = np.lexsort((docs, terms))
         terms, self.docs, self.weights = terms[by_term], docs[by_term], weights[by_term]
@@ -54,7 +56,7 @@ class Shard:
             self.most, self.least = np.maximum.reduceat(self.weights, first), np.minimum.reduceat(self.weights, first)
 
     def top(self, own: int, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best documents, best first."""
+        """Places in ``ids`` and scores of the k best documents, best first."""
         at = np.searchsorted(self.terms, terms)
         there = at < len(self.terms)
         there[there] = self.terms[at[there]] == terms[there]
@@ -62,7 +64,7 @@ class Shard:
         excluded = np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right")
         left = len(self.ids) - (excluded[1] - excluded[0])
         if not left:
-            return self.ids[:0], np.empty(0, np.int64)
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         if len(at):
             high = np.maximum(np.maximum(q * self.most[at], q * self.least[at]), 0)
             order = np.argsort(-high, kind="stable")
@@ -97,7 +99,7 @@ class Shard:
             where = np.minimum(np.searchsorted(docs, cand), len(docs) - 1)
             part = part + np.where(docs[where] == cand, q[i] * w[where], 0)
         best = np.lexsort((cand, -part))[:k]
-        return self.ids[cand[best]], part[best]
+        return cand[best], part[best]
 
     def _seed(self, at, q, posting, excluded, k):
         """The k-th score among documents that are strong in the leading terms; a floor for the k-th best."""
@@ -125,16 +127,19 @@ def _arrays(table: pa.Table, name: str):
     return np.asarray(column.value_lengths(), dtype=np.int64), column.flatten().to_numpy(zero_copy_only=False)
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = 5, *, shard_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
+def top_k(docs: DataFrame, queries: DataFrame, k: int = 5, *, every_row: bool = False, shard_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
     """The k best documents of every query: query_id, rank, id, score.
 
     Both frames have id (long), terms array<int> ascending and weights
     array<long>. A query block meets a shard in one task; a task holds at most
-    about ``shard_rows`` documents and ``query_rows`` queries.
+    about ``shard_rows`` documents and ``query_rows`` queries. Copies of a row
+    are one document of its shard, with their number.
     """
-    docs = docs.filter("id is not null").select("id", "terms", "weights").distinct()
-    queries = queries.filter("id is not null").select("id", "terms", "weights").distinct()
+    row = ["id", "terms", "weights"]
+    docs, queries = (df.filter("id is not null").select(*row) for df in (docs, queries))
     shards, blocks = max(1, math.ceil(docs.count() / shard_rows)), max(1, math.ceil(queries.count() / query_rows))
+    docs = docs.groupBy(*row).agg(F.count(F.lit(1)).alias("copies"))
+    queries = queries.distinct().select(*(F.col(c).alias(c) for c in row))  # columns of their own: both sides may come from one table
 
     def dealt(df, own, n, other, m):
         return df.withColumn(own, F.pmod(F.xxhash64("id", "weights"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
@@ -143,21 +148,26 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 5, *, shard_rows: int =
     right = dealt(queries, "block", blocks, "shard", shards).repartition(shards * blocks, "shard", "block").groupBy("shard", "block")
 
     def run(d: pa.Table, q: pa.Table) -> pa.Table:
-        out = {"query_id": [], "query_row": [], "id": [], "score": []}
+        out = {"query_id": [], "query_row": [], "id": [], "score": [], "copies": []}
         if d.num_rows and q.num_rows:
             shard = Shard(d.column("id").to_numpy(), *(lambda t, w: (t[0], t[1], w[1]))(_arrays(d, "terms"), _arrays(d, "weights")))
+            copies = d.column("copies").to_numpy()[shard.order]
             (lengths, terms), (_, weights) = _arrays(q, "terms"), _arrays(q, "weights")
             ends = np.cumsum(lengths)
             for i, own in enumerate(q.column("id").to_pylist()):
                 piece = slice(ends[i] - lengths[i], ends[i])
-                ids, scores = shard.top(own, terms[piece], weights[piece], k)
+                best, scores = shard.top(own, terms[piece], weights[piece], k)
+                ids = shard.ids[best]
                 out["query_id"] += [own] * len(ids)
                 out["query_row"] += [_row_key(terms[piece], weights[piece])] * len(ids)
                 out["id"] += ids.tolist()
                 out["score"] += scores.tolist()
+                out["copies"] += copies[best].tolist()
         return pa.table({n: pa.array(v, pa.int64()) for n, v in out.items()})
 
-    found = left.cogroup(right).applyInArrow(run, "query_id long, query_row long, id long, score long")
+    found = left.cogroup(right).applyInArrow(run, "query_id long, query_row long, id long, score long, copies long")
+    if every_row:
+        found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k)))))
     order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), F.asc("id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", "score")

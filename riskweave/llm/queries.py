@@ -51,7 +51,7 @@ def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").filter(maxscore.finite_vector(F.col("embedding")))
     terms, weights = maxscore.quantized_terms(F.col("embedding"), 256)
     rows = rows.select(F.col("vec_id").alias("id"), terms.alias("terms"), weights.alias("weights"))
-    found = maxscore.top_k(rows, rows.filter("id % 50 = 0"), 5)
+    found = maxscore.top_k(rows, rows.filter("id % 50 = 0"), 5, every_row=True)
     return compact(found.select("query_id", "rank", F.col("id").alias("vec_id"), "score"))
 
 

@@ -477,6 +477,18 @@ def test_top_k_equals_brute_force(spark, shard_rows):
     assert maxscore.top_k(df.filter("id < 2"), df.filter("id = 0"), 5).count() == 1
 
 
+def test_top_k_takes_every_row_where_asked(spark):
+    vectors = [(i, np.array([i % 5, 3 - i % 3, -(i % 4)])) for i in range(24)]
+    rows = vectors + [vectors[7]] * 2 + [vectors[11]] * 9
+    df = spark.createDataFrame([(i, list(range(3)), [int(x) for x in v], i, "x", 0) for i, v in rows], "id long, terms array<int>, weights array<long>, score long, copies string, shard int")
+    for shard_rows in (8192, 6):
+        found = {}
+        for r in maxscore.top_k(df, df.filter("id % 4 = 3 or id = 2"), 5, every_row=True, shard_rows=shard_rows, query_rows=3).orderBy("rank").collect():
+            found.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+        assert found == top5(rows, lambda i: i % 4 == 3 or i == 2)
+        assert any(len(set(x)) < 5 for x in found.values())
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     df = spark.createDataFrame([(1, None), (2, [1.0, None]), (3, [nan, 0.0]), (4, [inf, 0.0]), (5, [0.5, -0.004]), (6, [])], "id long, v array<float>")
