@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_codes, chat, curriculum, forest, maxscore, prefix_bpe, site_quality, token_store, toxicity, warc
+from . import anagrams, binary_codes, chat, curriculum, forest, main_text, maxscore, merkle, prefix_bpe, site_quality, token_store, toxicity, warc
 from .workspace import Workspace, compact, cores, gather
 
 
@@ -14,10 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows that come in fewer pieces than there are cores are dealt out first."""
+    return rows if rows.rdd.getNumPartitions() >= cores(rows) else rows.repartition(2 * cores(rows))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents; if they come in fewer pieces than there are cores, dealt out first."""
-    docs = table(spark, sf_dir, "documents")
-    return docs if docs.rdd.getNumPartitions() >= cores(docs) else docs.repartition(2 * cores(docs))
+    return dealt(table(spark, sf_dir, "documents"))
 
 
 def spread(files: DataFrame) -> DataFrame:
@@ -92,6 +95,25 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gather(rows.select("doc_id", held_out.alias("held_out"), *(F.col(c).alias(c[1:]) for c in site_quality.NEW)))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = dealt(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return main_text.extract(pages, drop_html=True)
+
+
+def op12_anagram_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = anagrams.variants(documents(spark, sf_dir).select("doc_id", "text"), Workspace(spark, "anagrams"), min_length=7, min_count=2, ratio=10, slips=31)
+    return rows.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    fields = lambda text: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    leaves = docs.select("doc_id", "lang", fields(F.col("text")).alias("leaf"), F.when(tampered, fields(lowered)).alias("tampered"))
+    return merkle.manifest(leaves, Workspace(spark, "merkle"), tree_col="lang", order_col="doc_id", leaf_col="leaf", tampered_col="tampered").withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_warc": op2_warc,
@@ -103,6 +125,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_prefix_bpe": op9_prefix_bpe,
     "op10_site_quality": op10_site_quality,
+    "op11_main_text": op11_main_text,
+    "op12_anagram_variants": op12_anagram_variants,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: DuckDB: components of edges (a, b, both directions) over nodes (id), by the smallest id reachable.
@@ -110,6 +135,11 @@ REACH_SQL = """
 reach(id, root) AS (SELECT id, id FROM nodes UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.id WHERE r.root < e.b),
 least AS (SELECT id, min(root) AS component_id FROM reach GROUP BY 1)"""
 
+#: DuckDB: crc32 of the bytes of the text ``{text}``, by the table ``t`` of CRC_TABLE.
+CRC_TABLE = """
+t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(t[CAST(xor(c & 255, b) AS INTEGER) + 1], c >> 8)))"
+
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
@@ -189,4 +219,62 @@ nodes AS (SELECT vec_id AS id FROM embeddings),"""
     + REACH_SQL
     + """
 SELECT d.vec_id, (SELECT count(*) FROM edges e WHERE e.a = d.vec_id) AS n_links, component_id, d.vec_id = component_id AS kept FROM embeddings d JOIN least l ON l.id = d.vec_id""",
+    "op11_main_text": r"""
+WITH b AS (
+  SELECT page_id, url, list_transform(regexp_split_to_array(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?b>', '', 'g'), '</?(?:p|h1)>'),
+    lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(x, '<br>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM pages
+), x AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda b: b <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM x""",
+    "op12_anagram_variants": r"""
+WITH RECURSIVE""" + CRC_TABLE + r""",
+o AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), r AS (SELECT doc_id, run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS id, count(*) AS n FROM o WHERE length(run) >= 7 GROUP BY 1, 2),
+h AS (SELECT run, n, """ + CRC.format(text="id") + r""" AS h FROM r, t),
+e AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+x AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+near AS (
+  SELECT a.word, b.word AS near FROM x a JOIN x b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM x a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, a.word FROM x a JOIN w b ON a.rest = b.word
+), f AS (
+  SELECT near.word, count(*) AS n_near, first(near.near ORDER BY v.n DESC, near.near) AS form, max(v.n) AS form_n FROM near JOIN w v ON v.word = near.near GROUP BY 1
+), k AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n FROM w LEFT JOIN f ON f.word = w.word
+), c AS (SELECT word, word AS root FROM k UNION SELECT c.word, k.form FROM c JOIN k ON k.word = c.root WHERE k.form IS NOT NULL)
+SELECT k.word, k.form, c.root, k.n, k.n_near, k.form_n FROM k JOIN c ON c.word = k.word JOIN k z ON z.word = c.root AND z.form IS NULL""",
+    "op13_merkle_manifest": """
+WITH RECURSIVE""" + CRC_TABLE + """,
+d AS (
+  SELECT doc_id, lang, n_chars, source, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered, coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+      || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS front FROM documents
+), l AS (
+  SELECT d.doc_id, d.lang, sha256(front || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf, sha256(front || coalesce(octet_length(encode(lowered)) || ':' || lowered, '-')) AS lowered,
+    doc_id IS NOT NULL AND """ + CRC.format(text="id") + """ % 3 = 0 AS tampered FROM d, t
+), a AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot, count(*) OVER (PARTITION BY lang) AS total FROM l),
+nodes AS (
+  SELECT lang, 0 AS level, spot, leaf AS node, total FROM a
+  UNION ALL
+  SELECT lang, any_value(level) + 1, spot // 8, sha256(string_agg(node, '' ORDER BY spot)), any_value(total + 7) // 8 FROM nodes WHERE total > 1 GROUP BY lang, spot // 8
+), tops AS (SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) OVER () AS trees FROM nodes WHERE total = 1),
+upper AS (
+  SELECT 0 AS level, tree AS spot, subroot AS node, trees AS total FROM tops
+  UNION ALL
+  SELECT any_value(level) + 1, spot // 8, sha256(string_agg(node, '' ORDER BY spot)), any_value(total + 7) // 8 FROM upper WHERE total > 1 GROUP BY spot // 8
+), path AS (
+  SELECT a.lang, a.doc_id, a.spot AS leaf_at, 0 AS part, n.level, (a.spot >> CAST(3 * n.level AS BIGINT)) & 7 AS place, coalesce(string_agg(n.node, '' ORDER BY n.spot) FILTER (n.spot <> (a.spot >> CAST(3 * n.level AS BIGINT))), '') AS others
+  FROM a JOIN nodes n ON n.lang IS NOT DISTINCT FROM a.lang AND n.total > 1 AND n.spot // 8 = (a.spot >> CAST(3 * n.level + 3 AS BIGINT)) GROUP BY ALL
+  UNION ALL
+  SELECT a.lang, a.doc_id, a.spot, 1, u.level, (p.tree >> CAST(3 * u.level AS BIGINT)) & 7, coalesce(string_agg(u.node, '' ORDER BY u.spot) FILTER (u.spot <> (p.tree >> CAST(3 * u.level AS BIGINT))), '')
+  FROM a JOIN tops p ON p.lang IS NOT DISTINCT FROM a.lang JOIN upper u ON u.total > 1 AND u.spot // 8 = (p.tree >> CAST(3 * u.level + 3 AS BIGINT)) GROUP BY a.lang, a.doc_id, a.spot, p.tree, u.level
+), paths AS (SELECT lang, leaf_at, list({'place': place, 'others': others} ORDER BY part, level) AS path FROM path GROUP BY 1, 2),
+g AS (
+  SELECT a.*, subroot, (SELECT node FROM upper WHERE total = 1) AS root, coalesce(path, []) AS path FROM a JOIN tops p ON p.lang IS NOT DISTINCT FROM a.lang LEFT JOIN paths q ON q.lang IS NOT DISTINCT FROM a.lang AND q.leaf_at = a.spot
+), z AS (
+  SELECT *, list_reduce(list_prepend({'place': 0::BIGINT, 'others': CASE WHEN tampered THEN lowered ELSE leaf END}, path),
+    lambda x, y: {'place': 0::BIGINT, 'others': sha256(substr(y.others, 1, 64 * y.place) || x.others || substr(y.others, 64 * y.place + 1))}).others AS folded_root FROM g
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: x.others), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM z""",
 }
