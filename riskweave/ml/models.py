@@ -16,18 +16,22 @@ from ..contracts import require_columns, require_none
 from ..schemas import MODEL_FEATURES, MODEL_TARGET
 from ..sources import store
 from ..sources.publish import write_json
+from . import boosting
 
 #: Parameters of the baseline models.
 BASELINES = {
     "prior": {},
     "logistic_regression": {"C": 1.0, "class_weight": "balanced"},
-    "boosted_trees": {"n_estimators": 200, "max_depth": 4, "learning_rate": 0.05, "subsample": 0.8, "colsample_bytree": 0.8, "scale_pos_weight": True},
+    "boosted_trees": {"n_estimators": 200, "max_depth": 4, "learning_rate": 0.05, "subsample": 0.8, "colsample_bytree": 0.8, "scale_pos_weight": True, "reg_alpha": 0.0, "reg_lambda": 1.0},
 }
 SEED = 42
+TREES = "trees.json"
+#: L1 and L2 terms; with either, trees are boosted by second-order histograms, else by MLlib.
+REGULARISED = ("reg_alpha", "reg_lambda")
 PARAMETERS = {
     "prior": set(),
     "logistic_regression": {"C", "class_weight", "max_iter"},
-    "boosted_trees": {"n_estimators", "max_depth", "learning_rate", "subsample", "colsample_bytree", "scale_pos_weight", "min_child_weight"},
+    "boosted_trees": {"n_estimators", "max_depth", "learning_rate", "subsample", "colsample_bytree", "scale_pos_weight", "min_child_weight", *REGULARISED},
 }
 
 
@@ -132,7 +136,7 @@ class FittedModel:
     kind: str
     parameters: dict
     preprocessor: Preprocessor
-    model: LogisticRegressionModel | GBTClassificationModel | None
+    model: LogisticRegressionModel | GBTClassificationModel | boosting.BoostedTrees | None
     prior: float
     target: str = MODEL_TARGET
     features: tuple[str, ...] = field(default=MODEL_FEATURES)
@@ -141,13 +145,18 @@ class FittedModel:
         """Adds ``score``, the probability of class 1."""
         if self.model is None:
             return df.withColumn("score", F.lit(self.prior))
+        if isinstance(self.model, boosting.BoostedTrees):
+            return self.model.score(df.select("*", *self.preprocessor.columns())).drop(*self.model.columns)
         out = self.model.transform(self.preprocessor.transform(df))
         extra = [c for c in ("_features", "rawPrediction", "probability", "prediction") if c in out.columns]
         return out.withColumn("score", vector_to_array("probability")[1]).drop(*extra)
 
     def save(self, folder: str) -> None:
         """The model's files first, the manifest last."""
-        if self.model is not None:
+        if isinstance(self.model, boosting.BoostedTrees):
+            store.delete(f"{folder}/model")
+            write_json(f"{folder}/{TREES}", json.loads(self.model.to_json()))
+        elif self.model is not None:
             self.model.write().overwrite().save(f"{folder}/model")
         p = self.preprocessor
         write_json(f"{folder}/manifest.json", {
@@ -168,6 +177,8 @@ def load_model(folder: str) -> FittedModel:
         raise ValueError(f"unknown model kind: {m['kind']}")
     loader = loaders[m["kind"]]
     pre = Preprocessor(tuple(m["features"]), tuple(m["medians"]), tuple(m["means"]), tuple(m["deviations"]))
+    if m["kind"] == "boosted_trees" and set(REGULARISED) & set(m["parameters"]):
+        return FittedModel(m["kind"], m["parameters"], pre, boosting.BoostedTrees.from_json(store.read_text(f"{folder}/{TREES}")), m["prior"])
     return FittedModel(m["kind"], m["parameters"], pre, loader.load(f"{folder}/model") if loader else None, m["prior"])
 
 
@@ -196,6 +207,11 @@ def _fit(kind: str, parameters: dict, train: DataFrame) -> FittedModel:
         weight = F.when(F.col(MODEL_TARGET) == 1, total / (2.0 * positive)).otherwise(total / (2.0 * negative))
     elif parameters.get("scale_pos_weight"):
         weight = F.when(F.col(MODEL_TARGET) == 1, negative / positive).otherwise(1.0)
+    if kind == "boosted_trees" and set(REGULARISED) & set(parameters):
+        names = [f"_x{i}" for i in range(len(pre.features))]
+        settings = {"n_estimators": 100, "max_depth": 4, "learning_rate": 0.1} | {k: v for k, v in parameters.items() if k != "scale_pos_weight"}
+        trees = boosting.fit(train.select(MODEL_TARGET, *pre.columns(), weight.alias("_weight")), names, MODEL_TARGET, weight=F.col("_weight"), seed=SEED, **settings)
+        return FittedModel(kind, parameters, pre, trees, positive / total)
     rows = pre.transform(train).select("_features", label, weight.alias("_weight")).persist()
     try:
         if kind == "logistic_regression":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+import math
 import random
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..contracts import require_columns, require_none, require_positive, require_rows
 from .metrics import ranking_metrics, require_scores
 
-#: The parameter spaces that are searched, as far as MLlib's learners have them (its trees know no L1 and L2 terms).
+#: The parameter spaces that are searched.
 SPACES = {
     "logistic_regression": {"C": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], "class_weight": [None, "balanced"]},
     "boosted_trees": {
@@ -25,6 +25,8 @@ SPACES = {
         "min_child_weight": [1, 3, 5, 10],
         "subsample": [0.6, 0.8, 1.0],
         "colsample_bytree": [0.6, 0.8, 1.0],
+        "reg_alpha": [0.0, 0.01, 0.1, 1.0],
+        "reg_lambda": [0.1, 1.0, 5.0, 10.0],
     },
 }
 
@@ -75,10 +77,18 @@ def sample_candidates(model: str, n: int, seed: int = 42) -> list[dict]:
     """n different parameter sets of a model's space, in a fixed order."""
     if model not in SPACES:
         raise ValueError(f"unknown model: {model}")
-    grid = [dict(zip(SPACES[model], values, strict=True)) for values in itertools.product(*SPACES[model].values())]
-    if require_positive(n, "n") > len(grid):
-        raise ValueError(f"{model} has {len(grid)} parameter sets")
-    return random.Random(seed).sample(grid, n)
+    names, choices = list(SPACES[model]), list(SPACES[model].values())
+    size = math.prod(map(len, choices))
+    if require_positive(n, "n") > size:
+        raise ValueError(f"{model} has {size} parameter sets")
+    out = []
+    for place in random.Random(seed).sample(range(size), n):  # places in the grid, whose last parameter changes fastest
+        values = []
+        for options in reversed(choices):
+            place, at = divmod(place, len(options))
+            values.append(options[at])
+        out.append(dict(zip(names, reversed(values), strict=True)))
+    return out
 
 
 def card_precision_at_k(df: DataFrame, k: int, score: str = "score") -> float:

@@ -6,8 +6,6 @@ sides, so results do not depend on the order of rows.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -15,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..ml import dataset, metrics, models, policy, thresholds, tuning
+from ..ml import boosting, dataset, metrics, models, policy, thresholds, tuning
 from ..operators import bronze, gold, silver
 from ..schemas import MODEL_FEATURES, SILVER_NAMES, SOURCE_TO_SILVER
-from ..sources import files, store
+from ..sources import files
+from ..sources.store import scratch
 from ..streaming import events, ingest, risk
 from . import checks, marts
 from .adapter import FEATURES_SQL, RAW_SQL, RISK_SQL, SCORED_SQL, SUMMARY_SQL, TX_SQL, raw_bronze, scored, transactions
@@ -350,20 +349,6 @@ def approximate_risk_windows(spark, sf_dir):
     return plain(both.select("window_start", "customer_id", "transaction_count", "exact_terminals", within.alias("within_bound")))
 
 
-def scratch(spark) -> str:
-    """A new folder that all executors share; removed when the driver's JVM ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.gettempdir()
-    folder = f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/riskweave-stream-{uuid.uuid4().hex}"
-    fs, where = store.located(folder)
-    fs.mkdirs(where)
-    fs.deleteOnExit(where)
-    return folder
-
-
 @query(with_sql(STREAM_SQL, "SELECT DISTINCT t_id AS transaction_id FROM streamed WHERE rejection_reasons = ''"))
 def stream_deduplicated(spark, sf_dir):
     """The ids that a real stream over message files writes to Silver."""
@@ -518,6 +503,53 @@ def score_histogram(spark, sf_dir):
     return metrics.score_histogram(scored(transactions(spark, sf_dir)), THRESHOLD)
 
 
+#: Candidate cuts of the boosting query, per column.
+BOOST_CUTS = {"tx_amount": [20.0, 60.0, 120.0, 240.0, 480.0], "transaction_hour": [6.0, 12.0, 18.0], "customer_previous_transaction_count": [2.0, 5.0, 9.0], "terminal_previous_transaction_count": [4.0, 8.0, 16.0, 32.0]}
+BOOST = {"n_estimators": 3, "max_depth": 2, "learning_rate": 0.3, "min_child_weight": 5.0, "reg_alpha": 0.01, "reg_lambda": 5.0}
+
+
+CAST_DOUBLE = "CAST({} AS DOUBLE)"
+
+
+def boosting_sql() -> tuple[str, str]:
+    """The same trees grown by joins of rows with cuts: histograms, gains, best splits and leaves, level by level."""
+    names = list(BOOST_CUTS)
+    alpha, ridge, least, rate = (CAST_DOUBLE.format(BOOST[k]) for k in ("reg_alpha", "reg_lambda", "min_child_weight", "learning_rate"))
+    value = "CASE f " + " ".join(f"WHEN {i} THEN {n}" for i, n in enumerate(names)) + " END"
+    soft = lambda g: f"(sign({g}) * greatest(abs({g}) - {alpha}, 0))"
+    part = lambda g, h: f"({soft(g)} * {soft(g)} / ({h} + {ridge}))"
+    unit = CAST_DOUBLE.format(2**30)
+    cuts = ", ".join(f"({i}, {CAST_DOUBLE.format(c)})" for i, n in enumerate(names) for c in BOOST_CUTS[n])
+    ctes = [f"cuts(f, cut) AS (VALUES {cuts})", f"m0 AS (SELECT tx_fraud AS y, {', '.join(f'CAST({n} AS DOUBLE) AS {n}' for n in names)}, CAST(0 AS DOUBLE) AS margin FROM features)"]
+    out = []
+    for t in range(BOOST["n_estimators"]):
+        p = "(1 / (1 + exp(-margin)))"
+        ctes.append(f"r{t}_0 AS (SELECT *, floor(({p} - y) * {unit}) / {unit} AS g, floor({p} * (1 - {p}) * {unit}) / {unit} AS h, 0 AS node, true AS open FROM m{t})")
+        for d in range(BOOST["max_depth"]):
+            ctes.append(f"b{t}_{d} AS (SELECT *, 0.5 * ({part('gl', 'hl')} + {part('(gt - gl)', '(ht - hl)')} - {part('gt', 'ht')}) AS gain FROM (SELECT node, f, cut, sum(g) FILTER ({value} < cut) AS gl, sum(h) FILTER ({value} < cut) AS hl, sum(g) AS gt, sum(h) AS ht FROM r{t}_{d}, cuts WHERE open GROUP BY 1, 2, 3) WHERE hl >= {least} AND ht - hl >= {least})")
+            ctes.append(f"s{t}_{d} AS (SELECT * FROM b{t}_{d} WHERE gain > 1e-6 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, cut) = 1)")
+            ctes.append(f"r{t}_{d + 1} AS (SELECT r.* EXCLUDE (node, open), CASE WHEN s.node IS NULL THEN 2 * r.node + 1 ELSE 2 * r.node + 1 + CAST({value} >= cut AS INTEGER) END AS node, s.node IS NOT NULL AS open FROM r{t}_{d} r LEFT JOIN s{t}_{d} s ON r.open AND s.node = r.node)")
+            out.append(f"SELECT {t} AS tree, node, {names}[f + 1] AS feature, cut, round(gain, 6) AS gain, CAST(NULL AS DOUBLE) AS weight FROM s{t}_{d}")
+        last = f"r{t}_{BOOST['max_depth']}"
+        ctes.append(f"l{t} AS (SELECT node, -{soft('sum(g)')} / (sum(h) + {ridge}) AS weight FROM {last} GROUP BY 1)")
+        ctes.append(f"m{t + 1} AS (SELECT r.* EXCLUDE (node, open, g, h, margin), margin + {rate} * weight AS margin FROM {last} r JOIN l{t} USING (node))")
+        out.append(f"SELECT {t}, node, NULL, NULL, NULL, round(weight, 6) FROM l{t}")
+    return FEATURES_SQL.strip() + ",\n" + ",\n".join(ctes), "\nUNION ALL ".join(out)
+
+
+@query(with_sql(*boosting_sql()))
+def boosted_splits(spark, sf_dir):
+    """Splits, gains and leaf weights of boosted trees with L1 and L2 terms."""
+    model = boosting.fit(model_rows(spark, sf_dir), list(BOOST_CUTS), "tx_fraud", cuts=list(BOOST_CUTS.values()), **BOOST)
+    inner = 2**model.depth - 1
+    rows = [(i, n, model.columns[t.feature[n]], t.cut[n], t.gain[n], None) for i, t in enumerate(model.trees) for n in range(inner) if t.gain[n] > 0]
+    splits = spark.createDataFrame(rows, "tree long, node long, feature string, cut double, gain double, weight double")
+    weights = F.array(*(F.array(*map(F.lit, t.weight)) for t in model.trees))
+    leaves = boosting.binned(model_rows(spark, sf_dir), model.columns, list(BOOST_CUTS.values())).select(F.posexplode(F.array(*(boosting.leaf_of(t, model.depth) for t in model.trees))).alias("tree", "node")).distinct()
+    leaves = leaves.select(F.col("tree").cast("long"), F.col("node").cast("long"), F.lit(None).cast("string").alias("feature"), F.lit(None).cast("double").alias("cut"), F.lit(None).cast("double").alias("gain"), weights[F.col("tree")][F.col("node") - inner].alias("weight"))
+    return splits.union(leaves).withColumns({c: F.round(c, 6) for c in ("gain", "weight")})
+
+
 @query()
 def logistic_scores(spark, sf_dir):
     """A logistic model fitted on the training split, applied to the test split."""

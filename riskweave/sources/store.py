@@ -7,6 +7,7 @@ scheme means the default one, whichever that is.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -92,3 +93,17 @@ def move(source: object, target: object) -> None:
 def delete(path: object) -> None:
     fs, where = located(path)
     fs.delete(where, True)
+
+
+def scratch(spark) -> str:
+    """A new folder that all executors share; removed when the driver's JVM ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.gettempdir()
+    folder = f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/riskweave-{uuid.uuid4().hex}"
+    fs, where = located(folder)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return folder
