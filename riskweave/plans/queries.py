@@ -18,7 +18,7 @@ from ..operators import bronze, gold, silver
 from ..schemas import MODEL_FEATURES, SILVER_NAMES, SOURCE_TO_SILVER
 from ..sources import files
 from ..sources.store import scratch
-from ..streaming import events, ingest, risk
+from ..streaming import events, ingest, replay, risk
 from . import checks, marts
 from .adapter import FEATURES_SQL, RAW_SQL, RISK_SQL, SCORED_SQL, SUMMARY_SQL, TX_SQL, raw_bronze, scored, transactions
 
@@ -349,6 +349,32 @@ def approximate_risk_windows(spark, sf_dir):
     return plain(both.select("window_start", "customer_id", "transaction_count", "exact_terminals", within.alias("within_bound")))
 
 
+#: crc32 of the bytes of a key, by a table of 256 values.
+CRC_SQL = """,
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+keyed AS (
+  SELECT "TRANSACTION_ID" AS message_key, source_file_date, source_row_number, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(coalesce("TRANSACTION_ID", '')))),
+    lambda i: CAST('0x' || substr(hex(encode("TRANSACTION_ID")), 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(t[CAST(xor(c & 255, b) AS INTEGER) + 1], c >> 8))) % 3 AS partition FROM raw, crc
+)"""
+
+
+@query(with_sql(RAW_SQL + CRC_SQL, """
+SELECT message_key, source_row_number, CAST(partition AS BIGINT) AS partition, row_number() OVER (PARTITION BY partition ORDER BY source_file_date, source_row_number) - 1 AS "offset" FROM keyed"""))
+def replayed_offsets(spark, sf_dir):
+    """Offsets that a stream over a replayed log delivers in batches, stopped once and resumed."""
+    root, rows = scratch(spark), raw_bronze(spark, sf_dir)
+    log = replay.write_log(rows, f"{root}/log", produced_at=datetime(2024, 6, 1, tzinfo=timezone.utc), topic="transactions", segment_events=2_000)
+    batch = -(-log.events // 7)  # batches end inside segments
+    for end in (log.events // 2, None):
+        stream = replay.replayed_messages(log, spark, progress=f"{root}/checkpoints/progress.json", events_per_second=0, max_events=end or None, batch_events=batch)
+        running = ingest.start_queries({"replayed": stream}, ingest.StreamPaths(f"{root}/out", f"{root}/checkpoints"), prefix=f"replay-{root[-8:]}", trigger="0 seconds")
+        for one in running.values():
+            one.processAllAvailable()
+            one.stop()
+    flat = events.flatten_events(events.parse_messages(spark.read.parquet(f"{root}/out/replayed")))
+    return plain(flat.select(F.col("kafka_key").alias("message_key"), "source_row_number", F.col("kafka_partition").alias("partition"), F.col("kafka_offset").alias("offset")))
+
+
 @query(with_sql(STREAM_SQL, "SELECT DISTINCT t_id AS transaction_id FROM streamed WHERE rejection_reasons = ''"))
 def stream_deduplicated(spark, sf_dir):
     """The ids that a real stream over message files writes to Silver."""

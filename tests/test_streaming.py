@@ -11,7 +11,7 @@ from riskweave.schemas import KAFKA, SOURCE_COLUMNS, STREAM_BRONZE, STREAM_SILVE
 from riskweave.streaming.events import bronze_events, build_messages, deduplicate, judged_messages, parse_messages, quarantine_events, silver_events
 from riskweave.streaming.ingest import StreamPaths, drain, file_messages, kafka_messages, silver_stream, start_ingestion, start_queries
 from riskweave.streaming.jobs import ingestion_parser, risk_parser
-from riskweave.streaming.replay import file_writer, numbered_messages, replay
+from riskweave.streaming.replay import ReplayReader, file_writer, numbered_messages, open_log, replay, replayed_messages, write_log
 from riskweave.streaming.risk import risk_windows, start_risk
 
 T0 = datetime(2026, 9, 3, 12, tzinfo=timezone.utc)
@@ -101,6 +101,74 @@ def test_replay_order_rate_and_limit(spark, tmp_path):
             replay(source_rows(spark), print, produced_at=T0, topic="t", **bad)
 
 
+def many_rows(spark, n=60):
+    days = F.date_add(F.lit(date(2018, 4, 1)), (F.col("id") % 3).cast("int"))
+    df = spark.range(n).select(F.col("id").alias("TRANSACTION_ID"), F.lit("f.pkl").alias("source_file"), days.alias("source_file_date"), F.floor(F.col("id") / 3).alias("source_row_number"))
+    return df.withColumns({c: F.lit("1") for c in SOURCE_COLUMNS if c not in df.columns and c != "TX_DATETIME"} | {"TX_DATETIME": F.to_timestamp(F.lit("2018-04-01 08:00:00"))}).repartition(5)
+
+
+def in_order(messages, n):
+    """Every place once: offsets of a partition count up in (date, row), and each key has one partition."""
+    rows = [(r["partition"], r["offset"], json.loads(r["value"])) for r in messages.collect()]
+    assert len({r[:2] for r in rows}) == len(rows) == n and len({p for p, _, _ in rows}) == 3
+    for part in {p for p, _, _ in rows}:
+        own = sorted(r for r in rows if r[0] == part)
+        assert [r[1] for r in own] == list(range(len(own)))
+        places = [(r[2]["source_file_date"], r[2]["source_row_number"]) for r in own]
+        assert places == sorted(places)
+
+
+@pytest.mark.parametrize("batch_events", [7, 1000])
+def test_offsets_are_unique_over_batches(spark, tmp_path, batch_events):
+    waits = []
+    result = replay(many_rows(spark), file_writer(str(tmp_path / "m")), produced_at=T0, topic="t", events_per_second=1000, batch_events=batch_events, clock=lambda: 0, sleep=waits.append)
+    assert (result.messages, result.batches) == (60, -(-60 // batch_events)) and len(waits) == result.batches - 1
+    in_order(spark.read.parquet(str(tmp_path / "m")), 60)
+
+
+def test_first_events_are_those_of_the_first_day(spark, tmp_path):
+    replay(many_rows(spark), file_writer(str(tmp_path / "m")), produced_at=T0, topic="t", events_per_second=0, max_events=20, batch_events=8)
+    sent = [json.loads(r["value"]) for r in spark.read.parquet(str(tmp_path / "m")).collect()]
+    assert sorted(x["source_row_number"] for x in sent) == list(range(20)) and {x["source_file_date"] for x in sent} == {"2018-04-01"}
+
+
+def test_replayed_stream_keeps_limits_and_resumes(spark, tmp_path):
+    log = write_log(many_rows(spark), str(tmp_path / "log"), produced_at=T0, topic="t", segment_events=11)
+    assert open_log(str(tmp_path / "log")) == log and log.events == 60
+    with pytest.raises(FileExistsError):
+        write_log(many_rows(spark), str(tmp_path / "log"), produced_at=T0, topic="t")
+    with pytest.raises(FileNotFoundError):
+        open_log(str(tmp_path / "none"))
+    sizes = []
+    for limit in (25, None):  # the second run resumes where the first was stopped
+        stream = replayed_messages(log, spark, progress=str(tmp_path / "cp/progress.json"), events_per_second=0, max_events=limit, batch_events=10)
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp/q")).trigger(processingTime="0 seconds").start()
+        query.processAllAvailable()
+        query.stop()
+        sizes += [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert sizes == [10, 10, 5, 10, 10, 10, 5]
+    in_order(spark.read.parquet(str(tmp_path / "out")), 60)
+    assert log.between(spark, 9, 24).count() == 15
+
+
+def test_schedule_of_the_replayed_stream(tmp_path, monkeypatch):
+    from riskweave.streaming import replay as module
+
+    now = [1000.0]
+    monkeypatch.setattr(module.time, "time", lambda: now[0])
+    options = {"folder": "x", "events": "100", "segmentEvents": "30", "eventsPerSecond": "2", "startedAt": "1000", "progress": str(tmp_path / "p/progress.json")}
+    reader = ReplayReader(options)
+    assert reader.initialOffset() == {"sent": 0} and reader.latestOffset() == {"sent": 1}
+    now[0] = 1020.0
+    assert reader.latestOffset() == {"sent": 41}
+    assert [(p.segment, p.first, p.end) for p in reader.partitions({"sent": 1}, {"sent": 41})] == [(0, 1, 30), (1, 30, 41)]
+    again = ReplayReader(options | {"batchEvents": "5"})
+    assert again.latestOffset() == {"sent": 41}  # nothing more is due
+    now[0] = 2000.0
+    assert again.latestOffset() == {"sent": 46} and ReplayReader(options | {"maxEvents": "50"}).latestOffset() == {"sent": 50}
+    assert again.partitions({"sent": 46}, {"sent": 46}) == []
+
+
 def test_late_and_repeated_rows_are_dropped(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
