@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contracts import require_columns, require_positive
@@ -30,15 +30,21 @@ class CardDayMetrics:
         return asdict(self)
 
 
-def card_days(df: DataFrame, score: str = "score") -> DataFrame:
-    """One row per day and card: the largest label and score."""
+def first_place(df: DataFrame) -> Column:
+    """Aggregate: where a group's first row stands, by time and id as far as there are such columns."""
+    return F.min(F.struct(*([c for c in ("tx_datetime", "transaction_id") if c in df.columns] or ["customer_id"])))
+
+
+def card_days(df: DataFrame, score: str = "score", *, place: bool = False) -> DataFrame:
+    """One row per day and card: the largest label and score and, with ``place``, where its first transaction stands."""
     require_columns(df, ["transaction_date", "customer_id", "tx_fraud", score], "scored data")
-    return df.groupBy("transaction_date", "customer_id").agg(F.max("tx_fraud").alias("tx_fraud"), F.max(score).alias("score"))
+    places = [first_place(df).alias("place")] if place else []
+    return df.groupBy("transaction_date", "customer_id").agg(F.max("tx_fraud").alias("tx_fraud"), F.max(score).alias("score"), *places)
 
 
 def top_cards_per_day(cards: DataFrame, k: int) -> DataFrame:
-    """The k cards of highest score of every day, ties to the smaller id."""
-    order = Window.partitionBy("transaction_date").orderBy(F.desc("score"), F.asc("customer_id"))
+    """The k cards of highest score of every day, ties to the card that comes first if ``cards`` has places, else to the smaller id."""
+    order = Window.partitionBy("transaction_date").orderBy(F.desc("score"), *([F.asc("place")] if "place" in cards.columns else []), F.asc("customer_id"))
     ranked = cards.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= require_positive(k, "k"))
     return ranked.select("transaction_date", "customer_id", "score")
 

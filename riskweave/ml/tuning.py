@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import require_columns, require_none, require_positive, require_rows
 from .metrics import ranking_metrics, require_scores
+from .thresholds import card_days
 
 #: The parameter spaces that are searched.
 SPACES = {
@@ -109,8 +110,7 @@ def card_precision_at_k(df: DataFrame, k: int, score: str = "score") -> float:
         "tx_fraud must be 0 or 1": F.col("tx_fraud").isNull() | ~F.col("tx_fraud").isin(0, 1),
         "scores must be finite and within 0..1": F.col(score).isNull() | F.isnan(score) | ~F.col(score).between(0, 1),
     })
-    place = F.min(F.struct(*([c for c in ("tx_datetime", "transaction_id") if c in df.columns] or ["customer_id"])))
-    cards = df.groupBy("transaction_date", "customer_id").agg(F.max("tx_fraud").alias("fraud"), F.max(score).alias("s"), place.alias("place"))
+    cards = card_days(df, score, place=True).select("transaction_date", "customer_id", F.col("tx_fraud").alias("fraud"), F.col("score").alias("s"), "place")
     order = Window.partitionBy("transaction_date").orderBy(F.desc("s"), F.asc("place"), F.asc("customer_id"))
     ranked = cards.withColumn("r", F.row_number().over(order)).select("transaction_date", "customer_id", "fraud", "r").persist(StorageLevel.DISK_ONLY)
     try:

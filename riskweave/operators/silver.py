@@ -6,14 +6,15 @@ from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..contracts import require_columns, require_none
+from ..contracts import require_columns
 from ..functions.rules import Fields, batch_types, evaluate_once, reasons, transaction_rules
 from ..schemas import BRONZE, METADATA, SILVER, SOURCE_TO_SILVER
-from ..sources.files import read_ids
 from ..sources.publish import exists, loaded_dates
+from ..sources.store import scratch
+from .known_ids import build_filters, filters_path, known_ids
 
 def place() -> Column:
     """Where a row stands in the order of file date and row number, as one decimal that hash aggregation can hold."""
@@ -29,31 +30,46 @@ class SilverResult:
     quarantine: DataFrame
 
 
-def require_metadata(bronze: DataFrame) -> None:
-    """Bronze metadata must be there and valid; anything else is an error of the job, not of a row."""
-    require_columns(bronze, BRONZE.names, "Bronze data")
-    require_none(bronze, {
+def metadata_violations() -> dict[str, Column]:
+    """What Bronze metadata must not be, by message; it is an error of the job, not of a row."""
+    return {
         "Bronze metadata must not be missing": F.greatest(*(F.col(c).isNull() for c in METADATA)),
         "Bronze row numbers must not be negative": F.col("source_row_number") < 0,
-    })
+    }
 
 
-def judge(bronze: DataFrame, known_ids: DataFrame | None = None) -> DataFrame:
-    """Bronze rows with the typed columns under ``typed`` and ``rejection_reasons``.
+def apply_rules(bronze: DataFrame) -> DataFrame:
+    """Bronze rows with the typed columns under ``typed``, the ``reasons`` of the row's own values, and ``valid_id`` if there are none."""
+    fields = Fields({n: F.col(c) for c, (n, _) in SOURCE_TO_SILVER.items()}, batch_types({n: F.col(c) for c, (n, _) in SOURCE_TO_SILVER.items()}), F.col("source_file_date"))
+    once = evaluate_once(bronze.select(*BRONZE.names), {f"_{n}": c for n, c in fields.typed.items()})
+    fields = Fields(fields.raw, {n: F.col(f"_{n}") for n in fields.typed}, fields.file_date)
+    typed = F.struct(*(F.col(f"_{n}").alias(n) for n in fields.typed))
+    judged = evaluate_once(once.select(*BRONZE.names, typed.alias("typed"), *fields.typed.values()), {"reasons": reasons(transaction_rules(fields))})
+    return judged.select(*BRONZE.names, "typed", "reasons", F.when(F.size("reasons") == 0, F.col("typed.transaction_id")).alias("valid_id"))
+
+
+def apply_rules_once(bronze: DataFrame) -> DataFrame:
+    """``apply_rules``, written to the shared folder; metadata is checked by metrics observed in the same pass."""
+    require_columns(bronze, BRONZE.names, "Bronze data")
+    rules, spark = metadata_violations(), bronze.sparkSession
+    seen = Observation()
+    counted = bronze.select(*BRONZE.names).observe(seen, *(F.count_if(F.coalesce(c, F.lit(False))).alias(f"v{i}") for i, c in enumerate(rules.values())))
+    judged, place = apply_rules(counted), f"{scratch(spark)}/judged"
+    judged.write.parquet(place)
+    for i, message in enumerate(rules):
+        if n := seen.get[f"v{i}"]:
+            raise ValueError(f"{message} ({n} rows)")
+    return spark.read.schema(judged.schema).parquet(place)
+
+
+def mark_duplicates(judged: DataFrame, known_ids: DataFrame | None = None) -> DataFrame:
+    """Judged rows with ``rejection_reasons``: their own, and whether they repeat an id.
 
     Duplicates are looked for among rows that are valid otherwise: the first in
     the order of date and row stays, unless its id is known already. The first
     of each id is a grouped minimum that is joined back, so that a hot id costs
     one aggregate row and a split join instead of a window in one task.
     """
-    fields = Fields({n: F.col(c) for c, (n, _) in SOURCE_TO_SILVER.items()}, batch_types({n: F.col(c) for c, (n, _) in SOURCE_TO_SILVER.items()}), F.col("source_file_date"))
-    once = evaluate_once(bronze.select(*BRONZE.names), {f"_{n}": c for n, c in fields.typed.items()})
-    fields = Fields(fields.raw, {n: F.col(f"_{n}") for n in fields.typed}, fields.file_date)
-    typed = F.struct(*(F.col(f"_{n}").alias(n) for n in fields.typed))
-    judged = evaluate_once(once.select(*BRONZE.names, typed.alias("typed"), *fields.typed.values()), {"reasons": reasons(transaction_rules(fields))})
-    judged = judged.select(*BRONZE.names, "typed", "reasons")
-    valid_id = F.when(F.size("reasons") == 0, F.col("typed.transaction_id"))
-    judged = judged.withColumn("valid_id", valid_id)
     firsts = judged.filter("valid_id is not null").groupBy(F.col("valid_id").alias("first_id")).agg(F.min(place()).alias("first_place"))
     judged = judged.join(firsts, F.col("valid_id") == F.col("first_id"), "left")
     duplicate = F.col("first_place").isNotNull() & (F.col("first_place") != place())
@@ -65,9 +81,13 @@ def judge(bronze: DataFrame, known_ids: DataFrame | None = None) -> DataFrame:
     return judged.select(*BRONZE.names, "typed", all_reasons.alias("rejection_reasons"))
 
 
+def judge(bronze: DataFrame, known_ids: DataFrame | None = None) -> DataFrame:
+    """Bronze rows with the typed columns under ``typed`` and ``rejection_reasons``; rules are evaluated in one pass."""
+    return mark_duplicates(apply_rules_once(bronze), known_ids)
+
+
 def validate_bronze(bronze: DataFrame, known_ids: DataFrame | None = None) -> SilverResult:
     """Split Bronze into Silver and quarantine."""
-    require_metadata(bronze)
     return split_judged(judge(bronze, known_ids))
 
 
@@ -84,7 +104,7 @@ def ingest_silver(bronze: DataFrame, silver_path: str, quarantine_path: str) ->
     Quarantine is written first, then Silver, and a marker table of finished
     days last. A day without a marker is computed again and replaced, whatever
     an interrupted run left of it; a finished day without its quarantine is an
-    error. All new days are one job, and ids of finished days win over new ones
+    error. A filter of each day's ids is written before its marker. All new days are one job, and ids of finished days win over new ones
     whatever their date.
     """
     if silver_path.rstrip("/") == quarantine_path.rstrip("/"):
@@ -102,8 +122,11 @@ def ingest_silver(bronze: DataFrame, silver_path: str, quarantine_path: str) ->
     if not new:
         return []
     fresh = bronze.join(F.broadcast(spark.createDataFrame([(d,) for d in new], "source_file_date date")), "source_file_date", "left_semi").select(*BRONZE.names)
-    require_metadata(fresh)
-    judged = judge(fresh, read_ids(spark, silver_path, done) if has_silver else None).persist(StorageLevel.DISK_ONLY)
+    judged = apply_rules_once(fresh)
+    known = None
+    if has_silver:
+        known = known_ids(spark, judged.filter("valid_id is not null").select(F.col("valid_id").alias("transaction_id")).distinct(), silver_path, done)
+    judged = mark_duplicates(judged, known).persist(StorageLevel.DISK_ONLY)
     try:
         _write_days(split_judged(judged), new, silver_path, quarantine_path, quarantine_days, silver_days)
     finally:
@@ -112,6 +135,15 @@ def ingest_silver(bronze: DataFrame, silver_path: str, quarantine_path: str) ->
 
 
 def _write_days(result: SilverResult, new: list, silver_path: str, quarantine_path: str, quarantine_days: str, silver_days: str) -> None:
-    marker = result.silver.sparkSession.createDataFrame([(d, True) for d in new], "source_file_date date, done boolean")
-    for df, path in ((result.quarantine, quarantine_path), (marker, quarantine_days), (result.silver, silver_path), (marker, silver_days)):
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_file_date").parquet(path)
+    spark = result.silver.sparkSession
+    marker = spark.createDataFrame([(d, True) for d in new], "source_file_date date, done boolean")
+    for df, path in ((result.quarantine, quarantine_path), (marker, quarantine_days), (result.silver, silver_path)):
+        _overwrite_days(df, path)
+    written = spark.read.schema(SILVER).parquet(silver_path) if exists(spark, silver_path) else result.silver
+    written = written.filter(F.col("source_file_date").isin(new)).select("transaction_id", "source_file_date")
+    _overwrite_days(build_filters(written), filters_path(silver_path))
+    _overwrite_days(marker, silver_days)
+
+
+def _overwrite_days(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_file_date").parquet(path)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..ml import boosting, dataset, metrics, models, policy, thresholds, tuning
-from ..operators import bronze, gold, silver
+from ..operators import bronze, gold, known_ids, silver
 from ..schemas import MODEL_FEATURES, SILVER_NAMES, SOURCE_TO_SILVER
 from ..sources import files
 from ..sources.store import scratch
@@ -128,6 +128,20 @@ def silver_reasons_with_known_ids(spark, sf_dir):
     return judged.groupBy(F.array_join("rejection_reasons", ",").alias("reason")).agg(F.count(F.lit(1)).alias("row_count"))
 
 
+@query(with_sql(JUDGED_SQL + ", known AS (SELECT event_id FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-12' OR CAST(ts AS DATE) > DATE '2024-01-20')", """
+SELECT DISTINCT t_id AS transaction_id FROM judged WHERE len(reasons) = 0 AND t_id IN (SELECT event_id FROM known)"""))
+def known_ids_by_filters(spark, sf_dir):
+    """Ids of new rows that finished days have, by their filters and a look at what these hit."""
+    root = scratch(spark)
+    days = F.col("source_file_date")
+    finished = transactions(spark, sf_dir).filter((days < F.lit("2024-01-12").cast("date")) | (days > F.lit("2024-01-20").cast("date"))).select("transaction_id", "source_file_date")
+    finished.write.partitionBy("source_file_date").parquet(f"{root}/silver")
+    finished = spark.read.parquet(f"{root}/silver")
+    known_ids.build_filters(finished).write.partitionBy("source_file_date").parquet(known_ids.filters_path(f"{root}/silver"))
+    new = silver.apply_rules_once(raw_bronze(spark, sf_dir)).filter("valid_id is not null").select(F.col("valid_id").alias("transaction_id")).distinct()
+    return known_ids.known_ids(spark, new, f"{root}/silver", finished.select("source_file_date").distinct())
+
+
 # --- Gold --------------------------------------------------------------------
 
 @query(with_sql(TX_SQL, """
@@ -248,9 +262,9 @@ def invalid_risk_of_broken_marts(spark, sf_dir):
 
 # --- event stream, on batches ------------------------------------------------
 
-def messages(spark, sf_dir):
+def messages(spark, sf_dir, rows=None):
     """The transactions as Kafka-shaped messages, some of them spoilt."""
-    rows = raw_bronze(spark, sf_dir)
+    rows = raw_bronze(spark, sf_dir) if rows is None else rows
     sent = events.build_messages(rows, datetime(2024, 6, 1, tzinfo=timezone.utc), "transactions")
     n = F.col("source_row_number")
     value = F.when(n % 101 == 0, F.lit("{not json").cast("binary")).otherwise(F.col("value"))
@@ -400,6 +414,20 @@ def stream_closed_windows(spark, sf_dir):
     return plain(spark.read.parquet(f"{root}/out/windows").select("window_start", "customer_id", "transaction_count", "maximum_amount", "night_transaction_count"))
 
 
+@query(with_sql(STREAM_SQL, "SELECT DISTINCT t_id AS transaction_id FROM streamed WHERE rejection_reasons = '' AND t_id NOT IN (SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-06' AND event_id % 7 = 0)"))
+def stream_late_rows_and_restarts(spark, sf_dir):
+    """What a stream that is stopped twice keeps: nothing is repeated after a restart, and rows behind the watermark are dropped."""
+    root, rows, files_a_batch = scratch(spark), raw_bronze(spark, sf_dir), 4
+    late = F.coalesce((F.col("TX_DATETIME") < "2024-01-06") & (F.col("TRANSACTION_ID").try_cast("long") % 7 == 0), F.lit(False))
+    early = F.coalesce(F.col("TX_DATETIME") < "2024-01-16", F.lit(False))
+    for phase in (early & ~late, ~early & ~late, late):  # a phase is one batch of its files
+        messages(spark, sf_dir, rows.filter(phase)).repartition(files_a_batch, "offset").write.mode("append").parquet(f"{root}/messages")
+        valid = events.judged_messages(ingest.file_messages(spark, f"{root}/messages", max_files=files_a_batch)).filter("is_valid")
+        frames = {"silver": events.silver_events(events.deduplicate(valid))}
+        ingest.drain(ingest.start_queries(frames, ingest.StreamPaths(f"{root}/out", f"{root}/checkpoints"), prefix=f"late-{root[-8:]}", trigger=None).values())
+    return spark.read.parquet(f"{root}/out/silver").select("transaction_id")
+
+
 # --- model dataset and evaluation --------------------------------------------
 
 DATASET_SQL = FEATURES_SQL + """,
@@ -467,10 +495,12 @@ def alert_load(spark, sf_dir):
 
 
 @query(with_sql(SCORED_SQL, f"""
-SELECT transaction_date, customer_id, score FROM (SELECT *, row_number() OVER (PARTITION BY transaction_date ORDER BY score DESC, customer_id) AS r FROM cards) WHERE r <= {CAPACITY}"""))
+SELECT transaction_date, customer_id, score FROM (
+  SELECT transaction_date, customer_id, max(score) AS score, min({{'moment': tx_datetime, 'id': transaction_id}}) AS place FROM scored GROUP BY 1, 2)
+QUALIFY row_number() OVER (PARTITION BY transaction_date ORDER BY score DESC, place, customer_id) <= {CAPACITY}"""))
 def top_cards_per_day(spark, sf_dir):
-    """The highest cards of every day."""
-    return thresholds.top_cards_per_day(thresholds.card_days(scored(transactions(spark, sf_dir))), CAPACITY)
+    """The highest cards of every day; of equal ones those that come first."""
+    return thresholds.top_cards_per_day(thresholds.card_days(scored(transactions(spark, sf_dir)), place=True), CAPACITY)
 
 
 @query(with_sql(SCORED_SQL + f""",

@@ -273,3 +273,41 @@ def test_manifests_are_replaced_in_one_step(spark, tmp_path):
         for content in ({"a": 1}, {"a": "é"}):
             assert write_json(uri, content) == uri and load_json_object(uri, "manifest") == content
         assert store.children(uri.rsplit("/", 1)[0]) == ["x.json"]
+
+
+def day_files(spark, days):
+    """Valid rows: ids by day."""
+    rows = {}
+    for d, ids in days.items():
+        seconds = (d - DAY).days * 86400 + 28800
+        rows[d] = [source(i, f"{d} 08:00:00", seconds=str(seconds), days=str((d - DAY).days)) for i in ids]
+    return files(spark, rows)
+
+
+def test_filters_of_finished_days_find_known_ids(spark, tmp_path):
+    from riskweave.operators import known_ids as module
+
+    b, s, q = (str(tmp_path / x) for x in ("bronze", "silver", "quarantine"))
+    days = [DAY + timedelta(days=i) for i in range(5)]
+    first = {days[0]: range(0, 300), days[1]: range(300, 600), days[2]: range(10_000, 10_300)}
+    ingest_bronze(day_files(spark, first), b, NOW)
+    assert ingest_silver(spark.read.schema(BRONZE).parquet(b), s, q) == days[:3]
+    filters = spark.read.parquet(module.filters_path(s))
+    assert {(str(r[0]), r[1], r[2]) for r in filters.select("source_file_date", "low", "high").distinct().collect()} == {("2018-04-01", 0, 299), ("2018-04-02", 300, 599), ("2018-04-03", 10_000, 10_299)}
+    asked = spark.createDataFrame([(i,) for i in (5, 299, 10_299, 700, 9_000, 20_000)] + [(i,) for i in range(1_000, 3_000)], "transaction_id long")
+    done = spark.createDataFrame([(d,) for d in days[:3]], "source_file_date date")
+    assert sorted(r[0] for r in module.known_ids(spark, asked, s, done).collect()) == [5, 299, 10_299]
+    near = module.possible_days(filters, 650, 9_999)
+    assert near == [] and module.known_ids(spark, asked.filter("transaction_id between 650 and 9999"), s, done).count() == 0
+    wrong = module.hits(spark.range(20_000, 40_000).withColumnRenamed("id", "transaction_id"), filters, module.possible_days(filters, 0, 40_000)).count()
+    assert wrong < 0.03 * 3 * 20_000  # a filter may err, seldom
+    plan = module.known_ids(spark, asked, s, done)._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    ingest_bronze(day_files(spark, {days[3]: [299, 299, 601, 10_000, 50_000]}), b, NOW)
+    assert ingest_silver(spark.read.schema(BRONZE).parquet(b), s, q) == [days[3]]
+    assert load_silver(spark, s).count() == 902
+    rejected = spark.read.parquet(q).filter(F.col("source_file_date") == F.lit(days[3]))
+    assert sorted(r["TRANSACTION_ID"] for r in rejected.collect()) == ["10000", "299", "299"]
+    store.delete(module.filters_path(s))  # a table of before filters were kept
+    ingest_bronze(day_files(spark, {days[4]: [50_000, 50_001]}), b, NOW)
+    assert ingest_silver(spark.read.schema(BRONZE).parquet(b), s, q) == [days[4]] and load_silver(spark, s).count() == 903

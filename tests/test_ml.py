@@ -15,7 +15,7 @@ from riskweave.ml.models import Preprocessor, exact_quantile, exact_quantiles, f
 from riskweave.ml.policy import IDENTITY, check_approval, load_approved_policy, score_requests, validate_predictions, validate_requests
 from riskweave.ml.publish import publish_baselines, publish_final_evaluation, publish_thresholds, publish_tuned
 from riskweave.ml.registry import load_registered, publish_policy, resolve
-from riskweave.ml.thresholds import CardDayMetrics, PolicyCandidate, capacity_threshold, evaluate_card_days, select_policy
+from riskweave.ml.thresholds import CardDayMetrics, PolicyCandidate, capacity_threshold, card_days, evaluate_card_days, select_policy, top_cards_per_day
 from riskweave.ml.tuning import best_candidate, card_precision_at_k, prequential_folds, sample_candidates
 from riskweave.schemas import MODEL_COLUMNS, MODEL_FEATURES
 from riskweave.sources.files import model_example, read_split
@@ -273,3 +273,13 @@ def test_command_line(spark, tmp_path, capsys):
         with pytest.raises(SystemExit):
             parser().parse_args(bad)
     assert timedelta(0) == args.train_end.utcoffset()
+
+
+def test_equal_scores_go_to_the_card_that_comes_first(spark):
+    rows = [("2024-01-01", 9, 0, 0.5, "2024-01-01 08:00:00", 3), ("2024-01-01", 2, 0, 0.5, "2024-01-01 09:00:00", 4), ("2024-01-01", 5, 1, 0.5, "2024-01-01 08:00:00", 1), ("2024-01-01", 2, 0, 0.1, "2024-01-01 08:30:00", 2)]
+    df = spark.createDataFrame(rows, "transaction_date string, customer_id long, tx_fraud int, score double, tx_datetime string, transaction_id long")
+    for k, want in ((1, [5]), (2, [5, 9]), (3, [5, 9, 2])):
+        got = top_cards_per_day(card_days(df, place=True), k)
+        assert sorted(r["customer_id"] for r in got.collect()) == sorted(want)
+    got = top_cards_per_day(card_days(df), 1)  # without places: the smaller id
+    assert [r["customer_id"] for r in got.collect()] == [2]
