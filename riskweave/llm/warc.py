@@ -14,9 +14,10 @@ logs the bytes between as a quarantined gap. Inside a sound member of several
 records it does the same; such a gap names the member and the bytes of its
 content. Of a member that fails late, the records before the damage are returned
 too. Archives are read through a sliding buffer in pieces of a megabyte; a stated
-length is believed only if a record ends there, and a member that inflates to
-more than a gigabyte is quarantined, so memory is bounded by the largest sound
-record or member whatever the damage.
+length is believed only if a record ends there, and a member is inflated
+forward, each of its records returned as its end is confirmed and then
+forgotten, so memory is bounded by the largest sound record whatever the size
+of members and whatever the damage.
 
 Defined cases: a null payload is an empty one; a null id is written as a
 response without a page id if all equal payloads have null ids, else as a
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import uuid
 import zlib
@@ -166,11 +168,7 @@ class Window:
 
 
 class Damaged(Exception):
-    """A check of a record failed; ``content`` is what a member held before that."""
-
-    def __init__(self, reason: str, content: bytes = b""):
-        super().__init__(reason)
-        self.content = content
+    """A check of a record failed."""
 
 
 def parse_header(data: bytes, at: int = 0) -> tuple[dict[str, str], int, int]:
@@ -191,83 +189,169 @@ def parse_header(data: bytes, at: int = 0) -> tuple[dict[str, str], int, int]:
     return headers, end + 4, int(headers["content-length"])
 
 
-def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and end of the record that begins at ``at``."""
-    headers, begin, length = parse_header(data, at)
-    block = data[begin : begin + length]
-    if len(block) < length:
-        raise Damaged("block cut short")
-    if data[begin + length : begin + length + 4] != b"\r\n\r\n":
-        raise Damaged("no end of record")
-    said = headers.get("warc-block-digest", "")
-    if said.startswith("sha1:") and said[5:] != base32_sha1(block):
-        raise Damaged("block digest differs")
-    return headers, block, begin + length + 4
+class Content:
+    """The inflated bytes of the gzip member at ``at``, read forward and forgotten behind.
 
+    ``ended`` is set at the member's end or where it cannot be read on, which
+    ``reason`` then explains; ``position`` is where in the file that is.
+    """
 
-def content_records(content: bytes) -> tuple[list[tuple[dict[str, str], bytes]], list[tuple[int, int, str]]]:
-    """The valid records of a member's content, and (begin, end, reason) of the bytes that belong to none."""
-    found, lost, at, gap, reason = [], [], 0, None, ""
-    while at < len(content):
-        try:
-            headers, block, end = parse_record(content, at)
-        except Damaged as e:
-            if gap is None:
-                gap, reason = at, str(e)
-            line = VERSION_LINE.search(content, at + 1)
-            at = line.start() if line else len(content)
-            continue
-        if gap is not None:
-            lost.append((gap, at, reason))
-            gap = None
-        found.append((headers, block))
-        at = end
-    if gap is not None:
-        lost.append((gap, len(content), reason))
-    return found, lost
-
-
-def sound_content(window: Window, at: int, max_content: int) -> bytes:
-    """What the damaged member at ``at`` holds before its error: inflated in pieces, and the failing piece byte by byte."""
-    z, out, size, position = zlib.decompressobj(31), [], 0, at
-    while size < max_content and not z.eof and (piece := window.direct(position, position + (1 << 16))):
-        position += len(piece)
-        before = z.copy()
-        try:
-            out.append(z.decompress(piece))
-            size += len(out[-1])
-        except zlib.error:
-            for i in range(len(piece)):
-                try:
-                    out.append(before.decompress(piece[i : i + 1]))
-                except zlib.error:
+    def __init__(self, window: Window, at: int):
+        self.window, self.at, self.position = window, at, at
+        self.z, self.tail = zlib.decompressobj(31), b""
+        self.data, self.start = bytearray(), 0
+        self.ended, self.reason = False, ""
+
+    @property
+    def end(self) -> int:
+        return self.start + len(self.data)
+
+    def fork(self) -> Content:
+        """Reads on from the end of what is held, without holding it."""
+        other = Content(self.window, self.at)
+        other.position, other.z, other.tail, other.start = self.position, self.z.copy(), self.tail, self.end
+        other.ended, other.reason = self.ended, self.reason
+        return other
+
+    def fetch(self) -> bytes:
+        p, w = self.position, self.window
+        if w.start <= p and p + (1 << 16) <= self.at + CHUNK:
+            return w.piece(p, min(w.upto(p + (1 << 16)), p + (1 << 16)))
+        return w.direct(p, p + (1 << 16))
+
+    def inflate(self) -> bytes:
+        """The next piece, of at most CHUNK bytes; of a piece that fails, what is sound before the error."""
+        while not self.ended:
+            if not self.tail:
+                self.tail = self.fetch()
+                self.position += len(self.tail)
+                if not self.tail:
+                    self.ended, self.reason = True, "member cut short"
                     break
-            break
-    return b"".join(out)
-
-
-def member_at(window: Window, at: int, max_content: int = 1 << 30) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at`` and its end; a failure carries what was sound before it."""
-    z, out, position, size = zlib.decompressobj(31), [], at, 0
-
-    while not z.eof:
-        held = position + (1 << 16) <= at + CHUNK
-        have = window.upto(position + (1 << 16)) if held else window.size
-        if position >= have:
-            raise Damaged("member cut short", b"".join(out))
-        end = min(have, position + (1 << 16))
-        piece = window.piece(position, end) if held else window.direct(position, end)
-        position += len(piece)
-        while piece and not z.eof:
+            before = self.z.copy()
             try:
-                out.append(z.decompress(piece, CHUNK))
+                out = self.z.decompress(self.tail, CHUNK)
             except zlib.error as e:
-                raise Damaged(f"member: {e}", sound_content(window, at, max_content)) from None
-            size += len(out[-1])
-            if size > max_content:
-                raise Damaged(f"member of more than {max_content} bytes", b"".join(out))
-            piece = z.unconsumed_tail
-    return b"".join(out), position - len(z.unused_data)
+                self.ended, self.reason, sound = True, f"member: {e}", []
+                for k in range(len(self.tail)):
+                    try:
+                        sound.append(before.decompress(self.tail[k : k + 1]))
+                    except zlib.error:
+                        break
+                return b"".join(sound)
+            self.tail = self.z.unconsumed_tail
+            if self.z.eof:
+                self.ended = True
+                self.position -= len(self.z.unused_data)
+            if out:
+                return out
+        return b""
+
+    def upto(self, n: int) -> int:
+        """Hold the bytes before ``n``; returns the first that is not there."""
+        while self.end < n and not self.ended:
+            self.data += self.inflate()
+        return self.end
+
+    def forget(self, to: int) -> None:
+        if to - self.start > CHUNK:
+            del self.data[: to - self.start]
+            self.start = to
+
+    def held(self, begin: int, end: int) -> bytes:
+        return bytes(self.data[begin - self.start : end - self.start])
+
+    def pieces(self, begin: int, end: int):
+        """The bytes from ``begin`` on, without holding more of them."""
+        yield self.held(begin, min(end, self.end))
+        ahead = self.fork()
+        while ahead.start < end and not ahead.ended:
+            piece = ahead.inflate()
+            yield piece[max(0, begin - ahead.start) : end - ahead.start]
+            ahead.start += len(piece)
+
+    def record(self, at: int) -> tuple[dict[str, str], bytes, int]:
+        """Headers, block and end of the record at ``at``. A long block is checked before it is held."""
+        want = 1 << 14
+        while True:
+            self.upto(at + want)
+            head = self.held(at, at + want)
+            if b"\r\n\r\n" in head or want >= CHUNK or len(head) < want or not VERSION_LINE.match(head):
+                break
+            want *= 4
+        headers, begin, length = parse_header(head)
+        begin, stop = at + begin, at + begin + length
+        said = headers.get("warc-block-digest", "")
+        said = said[5:] if said.startswith("sha1:") else None
+        if length > CHUNK:
+            digest, seen, last = hashlib.sha1(), 0, b""
+            for piece in self.pieces(begin, stop + 4):
+                digest.update(piece[: max(0, length - seen)])
+                last += piece[max(0, length - seen) :]
+                seen += len(piece)
+            self._require(seen >= length, last == b"\r\n\r\n", said is None or said == base64.b32encode(digest.digest()).decode())
+        whole = self.upto(stop + 4) >= stop
+        block = self.held(begin, stop) if whole else b""
+        self._require(whole, self.held(stop, stop + 4) == b"\r\n\r\n", said is None or said == base32_sha1(block))
+        return headers, block, stop + 4
+
+    @staticmethod
+    def _require(whole: bool, closed: bool, same: bool) -> None:
+        for holds, reason in ((whole, "block cut short"), (closed, "no end of record"), (same, "block digest differs")):
+            if not holds:
+                raise Damaged(reason)
+
+    def next_line(self, position: int) -> int:
+        """Where the next version line begins, or the end."""
+        while True:
+            if line := VERSION_LINE.search(self.data, max(0, position - self.start)):
+                return self.start + line.start()
+            if self.ended:
+                return self.end
+            position = max(position, self.end - 16)
+            self.forget(position)
+            self.upto(self.end + 1)
+
+    def records(self):
+        """("record", headers, block) of what is valid, one at a time, and ("lost", begin, end, reason) of the bytes between."""
+        at, gap, reason = 0, None, ""
+        while self.upto(at + 1) > at:
+            try:
+                headers, block, end = self.record(at)
+            except Damaged as e:
+                if gap is None:
+                    gap, reason = at, str(e)
+                at = self.next_line(at + 1)
+                self.forget(at)
+                continue
+            if gap is not None:
+                yield "lost", gap, at, reason
+                gap = None
+            yield "record", headers, block
+            at = end
+            self.forget(at)
+        if gap is not None:
+            yield "lost", gap, self.end, reason
+
+
+def measure(window: Window, at: int) -> tuple[Content, int, str]:
+    """The content of the member at ``at``, to be read from its beginning, where the member ends, and why if not soundly."""
+    content = Content(window, at)
+    content.upto(4 * CHUNK)
+    whole = content if content.ended else content.fork()
+    while not whole.ended:
+        whole.inflate()
+    return content, whole.position, whole.reason
+
+
+def from_first_record(items) -> tuple[list, list]:
+    """What is lost before the first record, and that record in a list; empty if there is none."""
+    lost = []
+    for item in items:
+        if item[0] == "record":
+            return lost, [item]
+        lost.append(item)
+    return lost, []
 
 
 def plain_at(window: Window, at: int) -> tuple[tuple[dict[str, str], bytes], int]:
@@ -324,35 +408,36 @@ def salvage(source, size: int):
 
     while at < size:
         window.upto(at + 16)
-        try:
-            if window.piece(at, min(size, at + 3)) == MEMBER:
-                content, end = member_at(window, at)
-                found, lost = content_records(content)
-                if lost and not found:
-                    raise Damaged(lost[0][2])
-            else:
-                (one, end) = plain_at(window, at)
-                found, lost = [one], []
-        except Damaged as e:
-            found = content_records(e.content)[0] if e.content else []
-            if found and gap is not None:
-                yield "gap", gap, at, reason, None
-                gap = None
-            if gap is None:
-                gap, reason = at, str(e)
-            begin, at = at, next_start(at + 1)
-            for headers, block in found:
-                yield "record", begin, at, headers, block
-            window.forget(at)
-            continue
-        if gap is not None:
+        items, lost, first, why = iter(()), [], [], ""
+        if window.piece(at, min(size, at + 3)) == MEMBER:
+            content, end, why = measure(window, at)
+            items = content.records()
+            lost, first = from_first_record(items)
+            if lost and not first and not why:
+                why = lost[0][3]
+        else:
+            try:
+                (headers, block), end = plain_at(window, at)
+                first = [("record", headers, block)]
+            except Damaged as e:
+                why = str(e)
+        if gap is not None and (first or not why):
             yield "gap", gap, at, reason, None
             gap = None
-        for headers, block in found:
-            yield "record", at, end, headers, block
-        for begin, stop, why in lost:
-            yield "gap", at, end, f"bytes {begin}-{stop} of the member's content: {why}", None
-        at = end
+        begin = at
+        if why:
+            if gap is None:
+                gap, reason = at, why
+            at = end = next_start(at + 1)
+        for item in itertools.chain(first, items):
+            if item[0] == "record":
+                yield "record", begin, end, item[1], item[2]
+            else:
+                lost.append(item)
+        if not why:  # of a damaged member, its gap has them
+            for _, x, y, said in lost:
+                yield "gap", begin, end, f"bytes {x}-{y} of the member's content: {said}", None
+            at = end
         window.forget(at)
     if gap is not None:
         yield "gap", gap, size, reason, None
