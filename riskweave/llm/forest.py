@@ -23,11 +23,15 @@ first three values of an order share a region of it.
    signatures agree enough are confirmed, most similar first, and pairs that
    links have joined meanwhile are passed over, as they cannot change the
    result. Pairs that share the whole region key of an earlier order were
-   decided there. Larger regions are opened in blocks.
-
-Candidates have no cap. A pair at exactly the threshold is missed by all orders
-with probability (1 - 0.75^3)^20 < 2e-5; the signature filter rejects it with
-less than 2e-5 (4.3 deviations). Neighbours give at most two candidates a class
+   decided there, unless that region was split: keys of split regions do not
+   count as met, so such a pair is looked at again. Larger regions are opened
+   in blocks.
+
+Candidates have no cap. A pair at exactly the threshold shares a region of an
+order with probability 0.75^3 and is compared there unless it is lost in a
+split, with at most 1e-5 a level; every order is a chance of its own. So it is
+missed by all with probability (1 - 0.75^3 (1 - 4e-5))^20 < 2e-5 at any size;
+the signature filter rejects it with less than 2e-5 (4.3 deviations). Neighbours give at most two candidates a class
 and order; opened regions give links of a spanning forest, never pairs. Copies
 that a worker meets close together are signed once.
 
@@ -296,20 +300,33 @@ def with_groups(regions: DataFrame, members: DataFrame) -> DataFrame:
     return regions.select("key", "tree", "id", "sig").join(members, "id").select("key", "tree", "id", "sig", "grp")
 
 
-def split_regions(rows: DataFrame, ws: Workspace, name: str, *, split_rows: int, splits: int, levels: int) -> DataFrame:
-    """Rows (key, tree, id, sig, grp) of mixed regions; those of more than ``split_rows`` rows come in parts with keys of their own."""
-    done, values = None, F.length("sig")
+def split_regions(rows: DataFrame, ws: Workspace, name: str, *, split_rows: int, splits: int, levels: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (key, tree, id, sig, grp) of mixed regions; those of more than ``split_rows`` rows come in parts with keys of their own.
+
+    Also the keys of the regions that were split; None if none was.
+    """
+    done, values, parted = None, F.length("sig"), None
     for level in range(levels):
         mixed = ws.narrow_table(f"{name}-mixed-{level}", mixed_regions(rows))
         small = rows.join(mixed.filter(F.col("n") <= split_rows), "key", "left_semi")
         done = small if done is None else done.union(small)
         if mixed.filter(F.col("n") > split_rows).isEmpty():
-            return done
+            return done, parted
+        if parted is None:
+            parted = mixed.filter(F.col("n") > split_rows).select("key")
         at = lambda way, side: F.substring("sig", F.pmod(F.xxhash64(F.lit(level), "tree", way, F.lit(side)), values.cast("long")).cast("int") + 1, F.lit(1))  # noqa: B023, E731
         large = rows.join(mixed.filter(F.col("n") > split_rows), "key", "left_semi").withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
         large = large.withColumn("key", F.xxhash64("key", F.lit(level), "way", at(F.col("way"), 0), at(F.col("way"), 1)))
         rows = ws.table(f"{name}-split-{level}", large.select("key", "tree", "id", "sig", "grp"))
-    return done.union(rows.join(mixed_regions(rows), "key", "left_semi"))
+    return done.union(rows.join(mixed_regions(rows), "key", "left_semi")), parted
+
+
+def hide_keys(classes: DataFrame, hidden: DataFrame) -> DataFrame:
+    """``classes`` (id, own, keys) with numbers of the class's own in place of the hidden keys, so that no two classes share them."""
+    places = classes.select("id", "own", F.posexplode("keys").alias("tree", "key")).join(hidden.select(F.col("key").alias("_hidden")), F.col("key") == F.col("_hidden"), "left")
+    own = F.when(F.col("_hidden").isNull(), F.col("key")).otherwise(F.xxhash64("id", "own", "tree", "key"))
+    gathered = places.groupBy("id", "own").agg(F.array_sort(F.collect_list(F.struct("tree", own.alias("key")))).alias("k"))
+    return gathered.select("id", "own", F.col("k.key").alias("keys"))
 
 
 def near_duplicates(docs: DataFrame, ws: Workspace, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, trees: int = 20, values: int = 96, deviations: float = 4.3, block_rows: int = 256, split_rows: int = 4096, splits: int = 14, levels: int = 4, seed: int = 11) -> DataFrame:
@@ -325,7 +342,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, *, id_col: str = "doc_id", t
     regions = ws.table("regions", places.join(shared, "key").join(classes.select("id", "sig", "keys"), "id").filter("element_at(keys, tree + 1) = key").select("key", "tree", "id", "sig"))
     needed = regions.select("id").distinct().hint("merge")  # one plan at every size: the texts are shuffled once
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi")
-    texts = ws.table("texts", texts)
+    texts = ws.table("texts", texts.dropDuplicates(["id", "text"]))  # rows that repeat an id and its text are one class, so one text
 
     near = neighbours(regions, least_equal)
     best = F.max(F.when(F.col("tree") % 2 == 0, F.struct("equal", "b"))).alias("even"), F.max(F.when(F.col("tree") % 2 == 1, F.struct("equal", "b"))).alias("odd")
@@ -335,8 +352,11 @@ def near_duplicates(docs: DataFrame, ws: Workspace, *, id_col: str = "doc_id", t
     members = ws.narrow_table("ids", regions.select("id", F.col("id").alias("grp")).distinct())
     members = join_groups(ws, members, links, "first")
 
-    still = split_regions(with_groups(regions, members), ws, "parts", split_rows=split_rows, splits=splits, levels=levels)
-    still = still.join(classes.select("id", F.col("sig").alias("own"), "keys"), "id").filter("sig = own").select("key", "id", "grp", "sig", F.slice("keys", F.lit(1), F.col("tree")).alias("earlier"))
+    still, parted = split_regions(with_groups(regions, members), ws, "parts", split_rows=split_rows, splits=splits, levels=levels)
+    keyed = classes.select("id", F.col("sig").alias("own"), "keys")
+    if parted is not None:
+        keyed = hide_keys(keyed.join(still.select("id").distinct(), "id", "left_semi"), parted)
+    still = still.join(keyed, "id").filter("sig = own").select("key", "id", "grp", "sig", F.slice("keys", F.lit(1), F.col("tree")).alias("earlier"))
     still = ws.table("open", still)
     blocks = meet_in_blocks(ws, still, "key", "id", "large", limit=block_rows)
     wanted = ws.gathered_table("wanted", undecided(blocks.select("key", "_lo", "_hi", "id", "grp", "_side", "sig", "earlier"), least_equal))
