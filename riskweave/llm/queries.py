@@ -75,7 +75,7 @@ def op7_binary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))  # a row without an id is not
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), usable=~held_out)
     scored = toxicity.score(docs, model, score_col="score")
     return gather(scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
@@ -89,7 +89,7 @@ def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))  # a row without an id is not
     model = site_quality.train(docs, table(spark, sf_dir, "labels"), usable=~held_out)
     rows = site_quality.classify(docs, model, Workspace(spark, "quality"), keep=["doc_id"])
     return gather(rows.select("doc_id", held_out.alias("held_out"), *(F.col(c).alias(c[1:]) for c in site_quality.NEW)))
