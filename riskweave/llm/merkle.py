@@ -225,8 +225,8 @@ def manifest(rows: DataFrame, ws: Workspace, *, tree_col: str, order_col: str, l
     named = paths_of(top.select("tree", "total", "at", "digest")).join(top.select("tree", "at", "named", "digest"), ["tree", "at"])
     above = to_root.select(F.col("tree").alias("_tree"), F.col("at").alias("_block"), F.col("path").alias("_path"))
     named = named.join(above, (F.col("tree") == F.col("_tree")) & (F.floor(F.col("at") / BLOCK) == F.col("_block")))
-    named = named.select(F.col("named").alias("_named"), F.col("digest").alias("subroot"), F.concat("path", "_path").alias("_up"))
-    named = named.crossJoin(F.broadcast(root.select(F.col("digest").alias("root"))))  # one row by one root
+    named = named.select(F.col("named").alias("_named"), F.col("digest").alias("subroot"), F.concat("path", "_path").alias("_up"), F.col("tree").alias("_top"))
+    named = named.join(F.broadcast(root.select(F.col("tree").alias("_root"), F.col("digest").alias("root"))), F.col("_top") == F.col("_root"))  # one row
     upper = to_subroot.join(named, F.col("tree") == F.col("_named")).select("tree", F.col("at").alias("block"), F.concat("path", "_up").alias("path"), "subroot", "root")
     upper = ws.table("upper", upper)
 

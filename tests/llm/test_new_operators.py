@@ -253,3 +253,63 @@ def test_manifest_of_one_and_of_no_rows(spark):
     one = merkle.manifest(df, Workspace(spark, "t"), **args).collect()[0]
     assert tuple(one) == (1, sha("a"), sha("a"), sha("a"), sha(""), sha("a"), True)
     assert merkle.manifest(df.limit(0), Workspace(spark, "t"), **args).count() == 0
+
+
+# near-duplicates and pipeline stages ------------------------------------------
+def test_copies_of_one_id_are_one_text(spark, monkeypatch):
+    """A third of all rows the same: blocks stay within twice their bound."""
+    from riskweave.llm import forest
+
+    sizes = []
+    confirm = forest.confirm_blocks
+
+    def watched(rows, *args):
+        sizes.extend(r["count"] for r in rows.groupBy(*forest.BLOCK_KEYS).count().collect())
+        return confirm(rows, *args)
+
+    monkeypatch.setattr(forest, "confirm_blocks", watched)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base))] * 900
+    rng = random.Random(4)
+    for i in range(2, 60):  # near, not linked: a quarter of the words differ
+        own = list(base)
+        for k in rng.sample(range(60), 3):
+            own[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = forest.near_duplicates(df, Workspace(spark, "t"), block_rows=16).collect()
+    assert len(got) == len(rows) and sum(r["kept"] for r in got if r["id"] == 1) == 900
+    assert max(sizes, default=0) <= 32
+
+
+def test_keys_of_split_regions_do_not_count_as_met(spark):
+    from riskweave.llm import forest
+
+    rows = [(1, b"a", [10, 20, 30]), (2, b"b", [10, 21, 30])]
+    classes = spark.createDataFrame(rows, "id long, own binary, keys array<long>")
+    got = {r["id"]: r["keys"] for r in forest.hide_keys(classes, spark.createDataFrame([(10,)], "key long")).collect()}
+    assert got[1][0] != got[2][0] and [k[1:] for k in (got[1], got[2])] == [[20, 30], [21, 30]]
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_stages_of_the_pipeline_on_hard_rows(spark, number):
+    import corpus_pipeline
+
+    rows = [(1, None, None, None, None), (2, "", "en", "s1", 0), (5, "  \n\t ", "en", None, 4), (4, "a b c d e f g h", "en", "s2", 1), (4, "a b c d e f g h", "en", "s2", 1), (6, "word " * 30_000, "de", "s2", 1), (None, "no id here at all", "en", "s3", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    name, stage = corpus_pipeline.STAGES[number]
+    clash = docs.withColumns({c: F.lit("clash") for c in ("_rw_id", "_rw_id_", "_rw_row", "_rw_text", "_RW_toxicity", "_kept", "_score", "_size", "_target", "score", "kept", "id", "size", "ids", "n", "row")})
+    out = stage(spark, clash, SF)
+    got = out.collect()
+    assert stage(spark, clash.limit(0), SF).count() == 0
+    if number < 4:
+        assert out.columns == clash.columns
+        assert all(r[c] == "clash" for r in got for c in clash.columns[5:])
+    counts = Counter(r["doc_id"] for r in got)
+    assert set(counts) <= {None, 1, 2, 4, 5, 6}
+    if number == 2:
+        assert counts == Counter([1, 2, 4, 5, 6, None])
+    if number == 3:
+        assert set(counts) <= {4, 6, None} and max(counts.values()) <= 6
+    if number == 4:
+        assert counts == Counter([1, 2, 4, 4, 5, 6, None])

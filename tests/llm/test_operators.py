@@ -900,7 +900,7 @@ def test_repeated_rows_leave_one(spark):
 
 def test_every_operator_is_registered():
     names = set(__spark_entry__.queries())
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
