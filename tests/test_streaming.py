@@ -188,6 +188,18 @@ def test_late_and_repeated_rows_are_dropped(spark, tmp_path):
         deduplicate(stream, " ")
 
 
+def test_state_is_kept_by_rocksdb_with_changelogs(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("transaction_id long, tx_datetime timestamp").json(str(tmp_path / "in"))
+    (tmp_path / "in/0.json").write_text("\n".join(json.dumps({"transaction_id": i % 5, "tx_datetime": "2018-04-01T08:00:00Z"}) for i in range(20)))
+    query = start_queries({"dedup": deduplicate(stream)}, StreamPaths(str(tmp_path / "out"), str(tmp_path / "cp")), prefix="state", trigger=None)["dedup"]
+    drain([query])
+    state = query.recentProgress[0]["stateOperators"][0]
+    assert any(k.startswith("rocksdb") for k in state["customMetrics"]) and state["numRowsTotal"] == 5
+    assert spark.read.parquet(str(tmp_path / "out/dedup")).count() == 5
+    assert list((tmp_path / "cp").rglob("*.changelog"))
+
+
 def start_one(frame, tmp_path):
     drain(start_queries({"dedup": frame}, StreamPaths(str(tmp_path / "out"), str(tmp_path / "cp")), prefix="test", trigger=None).values())
 
