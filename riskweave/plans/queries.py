@@ -363,6 +363,19 @@ def approximate_risk_windows(spark, sf_dir):
     return plain(both.select("window_start", "customer_id", "transaction_count", "exact_terminals", within.alias("within_bound")))
 
 
+@query(with_sql(TX_SQL, """
+SELECT strftime(time_bucket(INTERVAL 1 HOUR, tx_datetime), '%Y-%m-%d %H:%M:%S') AS window_start, terminal_id, count(*) AS transaction_count, count(DISTINCT customer_id) AS exact_customers, true AS within_bound
+FROM tx GROUP BY 1, 2"""))
+def approximate_terminal_windows(spark, sf_dir):
+    """The same of the terminals' side."""
+    tx = transactions(spark, sf_dir)
+    near = risk.risk_windows(tx, "terminal", watermark=None).select("window_start", "terminal_id", "transaction_count", "approx_unique_customers")
+    exact = risk.risk_windows(tx, "terminal", watermark=None, exact_distinct=True).select(F.col("window_start").alias("_start"), F.col("terminal_id").alias("_id"), F.col("distinct_customer_count").alias("exact_customers"))
+    both = near.join(exact, F.col("window_start").eqNullSafe(F.col("_start")) & F.col("terminal_id").eqNullSafe(F.col("_id")))
+    within = F.abs(F.col("approx_unique_customers") - F.col("exact_customers")) <= F.ceil(4 * risk.DISTINCT_ERROR * F.col("exact_customers"))
+    return plain(both.select("window_start", "terminal_id", "transaction_count", "exact_customers", within.alias("within_bound")))
+
+
 #: crc32 of the bytes of a key, by a table of 256 values.
 CRC_SQL = """,
 crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),

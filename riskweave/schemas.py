@@ -48,7 +48,7 @@ FEATURE_COLUMNS = (
     "terminal_previous_transaction_count",
 )
 
-#: The event envelope; every transaction field is text so that malformed values survive.
+#: The event envelope, in which every transaction field is text so that malformed values survive, and the tables of the stream.
 EVENT = T.StructType([
     *schema("schema_version string, event_id string, produced_at_utc string, source_file string, source_file_date string, source_row_number bigint").fields,
     T.StructField("transaction", SOURCE),

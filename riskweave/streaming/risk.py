@@ -11,7 +11,7 @@ from .ingest import DEFAULT_TRIGGER, StreamPaths, start_queries
 
 DEFAULT_WINDOW = "1 hour"
 DEFAULT_WATERMARK = "10 minutes"
-DISTINCT_ERROR = 0.05
+DISTINCT_ERROR = 0.05  # fixed value, as are the column names below, which readers of the table expect
 
 
 def risk_windows(transactions: DataFrame, entity: str, *, window: str = DEFAULT_WINDOW, watermark: str | None = DEFAULT_WATERMARK, exact_distinct: bool = False) -> DataFrame:
