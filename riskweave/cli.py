@@ -26,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--source", required=True)
     run.add_argument("--root", required=True)
     run.add_argument("--ingested-at", type=moment)
+    run.add_argument("--incremental", action="store_true", help="continue Gold by day")
 
     replay = commands.add_parser("replay-transactions", help="Bronze rows as messages")
     replay.add_argument("--bronze", required=True)
@@ -87,6 +88,7 @@ def parser() -> argparse.ArgumentParser:
 def dispatch(spark, a: argparse.Namespace) -> object:
     """Run one parsed command."""
     from .ml import dataset, publish, registry
+    from .operators.gold_days import open_table
     from .plans.checks import violation_counts
     from .plans.daily import run_daily
     from .plans.marts import build_catalog, build_marts
@@ -95,7 +97,7 @@ def dispatch(spark, a: argparse.Namespace) -> object:
     from .streaming.replay import file_writer, kafka_writer, replay
 
     if a.command == "run":
-        return run_daily(spark, a.source, a.root, a.ingested_at)
+        return run_daily(spark, a.source, a.root, a.ingested_at, incremental=a.incremental)
     if a.command == "replay-transactions":
         write = file_writer(a.message_folder) if a.message_folder else kafka_writer(a.servers or "", a.topic)
         return replay(read_bronze(spark, a.bronze), write, produced_at=a.produced_at, topic=a.topic, events_per_second=a.events_per_second, max_events=a.max_events)
@@ -106,7 +108,7 @@ def dispatch(spark, a: argparse.Namespace) -> object:
             raise ValueError(f"data tests failed: {broken}")
         return sorted(frames)
     if a.command == "build-ml-dataset":
-        df = dataset.build_dataset(spark.read.parquet(f"{a.gold}/transaction_features"))
+        df = dataset.build_dataset(open_table(spark, a.gold, "transaction_features"))
         return dataset.write_dataset(df, a.output, a.train_end, a.validation_end, a.manifest)
     if a.command == "register-policy":
         example = model_example(spark, f"{a.dataset}/split=train", list(MODEL_FEATURES))

@@ -30,7 +30,7 @@ def require_silver(silver: DataFrame) -> None:
     })
 
 
-def history(df: DataFrame, days: DataFrame, entity: str, *, with_amount: bool) -> DataFrame:
+def history(df: DataFrame, days: DataFrame, entity: str, *, with_amount: bool, before: DataFrame | None = None) -> DataFrame:
     """Adds what an entity did before each transaction: ``{entity}_count`` and, if asked for, ``{entity}_total``.
 
     Before means an earlier (tx_datetime, transaction_id). ``days`` are the same
@@ -38,12 +38,17 @@ def history(df: DataFrame, days: DataFrame, entity: str, *, with_amount: bool) -
     have two levels: whole earlier days come from a window over the daily sums,
     the rest from a window within (entity, day). So a busy entity is spread over
     its days, and the join by (entity, day) reuses the windows' partitioning.
+    ``before`` (entity, key, n, total) is what entities did before all these rows.
     """
     key = f"{entity}_id"
     amount = F.col("tx_amount").cast(MONEY)
     daily = days.groupBy(F.col(key).alias("_key"), F.col("transaction_date").alias("_day")).agg(F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_s"))
     earlier_days = Window.partitionBy("_key").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     daily = daily.select("_key", "_day", F.coalesce(F.sum("_n").over(earlier_days), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(earlier_days), F.lit(0)).alias("_s0"))
+    if before is not None:
+        earlier = before.filter(F.col("entity") == entity).select(F.col("key").alias("_before"), F.col("n").alias("_nb"), F.col("total").alias("_sb"))
+        daily = daily.join(earlier, F.col("_key") == F.col("_before"), "left")
+        daily = daily.select("_key", "_day", *((F.col(f"_{x}0") + F.coalesce(F.col(f"_{x}b"), F.lit(0))).alias(f"_{x}0") for x in "ns"))
     within = Window.partitionBy(key, "transaction_date").orderBy("tx_datetime", "transaction_id")
     df = df.withColumn("_n1", F.row_number().over(within) - 1)
     if with_amount:
@@ -55,10 +60,10 @@ def history(df: DataFrame, days: DataFrame, entity: str, *, with_amount: bool) -
     return joined.drop("_key", "_day", "_n0", "_s0", "_n1", "_s1")
 
 
-def transaction_features(silver: DataFrame) -> DataFrame:
-    """Silver rows with calendar features and the history of their customer and terminal."""
+def transaction_features(silver: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Silver rows with calendar features and the history of their customer and terminal, after what was ``before``."""
     base = silver.select(*SILVER.names, *(c.alias(n) for n, c in calendar_features(F.col("tx_datetime")).items()))
-    rows = history(history(base, base, "customer", with_amount=True), base, "terminal", with_amount=False)
+    rows = history(history(base, base, "customer", with_amount=True, before=before), base, "terminal", with_amount=False, before=before)
     mean = ratio(F.col("customer_total"), F.col("customer_count"))
     rows = rows.withColumn("customer_previous_mean_amount", mean)
     previous = F.col("customer_previous_mean_amount")

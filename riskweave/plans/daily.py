@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..contracts import require_aware
 from ..operators.bronze import ingest_bronze
 from ..operators.gold import write_gold
+from ..operators.gold_days import continue_gold
 from ..operators.silver import ingest_silver
 from ..sources.files import discover_daily_files, read_bronze, read_source_pickles
 
@@ -36,8 +37,8 @@ class DailyResult:
     gold_tables: tuple[str, ...]
 
 
-def run_daily(spark: SparkSession, source: str | DataFrame, root: str, ingested_at: datetime | None = None) -> DailyResult:
-    """Ingest what is new and rebuild Gold. ``source`` is a folder of pickles or rows with source_file and row_in_file."""
+def run_daily(spark: SparkSession, source: str | DataFrame, root: str, ingested_at: datetime | None = None, *, incremental: bool = False) -> DailyResult:
+    """Ingest what is new and rebuild Gold, or continue it by day with ``incremental``. ``source`` is a folder of pickles or rows with source_file and row_in_file."""
     moment = require_aware(ingested_at or datetime.now(timezone.utc), "the ingestion time").astimezone(timezone.utc)
     folders = Folders.under(root)
     if isinstance(source, str):
@@ -45,5 +46,5 @@ def run_daily(spark: SparkSession, source: str | DataFrame, root: str, ingested_
     rows = read_source_pickles(spark, source) if isinstance(source, str) else source
     bronze_days = ingest_bronze(rows, folders.bronze, moment)
     silver_days = ingest_silver(read_bronze(spark, folders.bronze), folders.silver, folders.quarantine)
-    write_gold(spark, folders.silver, folders.gold)
+    (continue_gold if incremental else write_gold)(spark, folders.silver, folders.gold)
     return DailyResult(bronze_days, silver_days, ("customer_daily_summary", "terminal_daily_summary", "transaction_features"))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import MONEY, money_sum, ratio
 from ..operators.gold import GoldTables
+from ..operators.gold_days import open_gold
 from ..sources.files import require_inputs
-from ..sources.publish import table_path
 
 LAYERS = {
     "stg_transaction_features": "view",
@@ -74,11 +74,10 @@ def mart_frames(gold: GoldTables) -> dict[str, DataFrame]:
 
 def build_catalog(spark: SparkSession, silver_path: str, gold_path: str) -> GoldTables:
     """Register the Silver and Gold tables as views, after checking that all are there."""
-    names = ("transaction_features", "customer_daily_summary", "terminal_daily_summary")
-    places = [table_path(gold_path, n) for n in names]
-    require_inputs(spark, [silver_path, *places])
+    require_inputs(spark, [silver_path])
+    gold = open_gold(spark, gold_path)
     spark.read.option("mergeSchema", "true").parquet(silver_path).createOrReplaceTempView("stg_transactions")
-    return GoldTables(*(spark.read.parquet(p) for p in places))
+    return gold
 
 
 def build_marts(spark: SparkSession, gold: GoldTables, *, database: str | None = None, materialize: bool = False) -> dict[str, DataFrame]:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..ml import boosting, dataset, metrics, models, policy, thresholds, tuning
-from ..operators import bronze, gold, known_ids, silver
-from ..schemas import MODEL_FEATURES, SILVER_NAMES, SOURCE_TO_SILVER
+from ..operators import bronze, gold, gold_days, known_ids, silver
+from ..schemas import MODEL_FEATURES, SILVER, SILVER_NAMES, SOURCE_TO_SILVER
 from ..sources import files
 from ..sources.store import scratch
 from ..streaming import events, ingest, replay, risk
@@ -174,6 +174,35 @@ def terminal_daily_summary(spark, sf_dir):
     return gold.daily_summary(transactions(spark, sf_dir).withColumn("transaction_date", F.to_date("tx_datetime")), "terminal")
 
 
+LATE_DAYS = "source_file_date IN (DATE '2024-01-06', DATE '2024-01-19')"
+
+
+def gold_by_day(spark, sf_dir):
+    """Gold in three runs: the days before the 16th, those from it on, and two late days between; rows are written by day first, as Silver is."""
+    root = scratch(spark)
+    transactions(spark, sf_dir).select(*SILVER.names).write.partitionBy("source_file_date").parquet(f"{root}/silver")
+    rows = spark.read.parquet(f"{root}/silver").select(*SILVER.names)
+    days = rows.select("source_file_date", F.expr(LATE_DAYS).alias("late"), (F.col("source_file_date") < "2024-01-16").alias("early")).distinct().collect()
+    for run in ([d for d in days if d["early"] and not d["late"]], [d for d in days if not d["early"] and not d["late"]], days):
+        gold_days.continue_days(spark, rows, [d["source_file_date"] for d in run], f"{root}/gold")
+    return gold_days.open_gold(spark, f"{root}/gold")
+
+
+@query(ORACLE_SQL["transaction_features"])
+def continued_transaction_features(spark, sf_dir):
+    """History of every transaction, continued from stored totals, with late days."""
+    return plain(gold_by_day(spark, sf_dir).transaction_features.selectExpr(*FEATURE_OUT.split(", ")))
+
+
+@query(with_sql(SUMMARY_SQL, """SELECT 'customer' AS entity, transaction_date, customer_id AS id, transaction_count, total_amount, fraud_count FROM customer_daily
+UNION ALL SELECT 'terminal', transaction_date, terminal_id, transaction_count, total_amount, fraud_count FROM terminal_daily"""))
+def continued_daily_summaries(spark, sf_dir):
+    """A1, A2, K5: the summaries of the same three runs."""
+    tables = gold_by_day(spark, sf_dir)
+    parts = [getattr(tables, f"{e}_daily_summary").select(F.lit(e).alias("entity"), "transaction_date", F.col(f"{e}_id").alias("id"), "transaction_count", "total_amount", "fraud_count") for e in gold_days.ENTITIES]
+    return parts[0].unionByName(parts[1])
+
+
 # --- marts and data tests ----------------------------------------------------
 
 def mart(spark, sf_dir, name):
