@@ -6,6 +6,7 @@ sides, so results do not depend on the order of rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -18,7 +19,7 @@ from ..operators import bronze, gold, gold_days, known_ids, silver
 from ..schemas import MODEL_FEATURES, SILVER, SILVER_NAMES, SOURCE_TO_SILVER
 from ..sources import files
 from ..sources.store import scratch
-from ..streaming import events, ingest, replay, risk
+from ..streaming import events, ingest, replay, risk, scoring
 from . import checks, marts
 from .adapter import FEATURES_SQL, RAW_SQL, RISK_SQL, SCORED_SQL, SUMMARY_SQL, TX_SQL, raw_bronze, scored, transactions
 
@@ -664,6 +665,71 @@ def scoring_requests(spark, sf_dir):
     return plain(checked.select("transaction_id", "customer_id", "tx_amount", "transaction_hour"))
 
 
+REQUEST_ROWS_SQL = FEATURES_SQL + """,
+lines AS (
+  SELECT CAST(transaction_id // 50 AS VARCHAR) AS request_id, transaction_id, CASE WHEN transaction_id % 499 = 3 THEN -1.0 ELSE tx_amount END AS tx_amount,
+         CASE WHEN transaction_id % 311 = 4 THEN 24 ELSE transaction_hour END AS transaction_hour, copy
+  FROM features, (VALUES (0), (1)) c(copy) WHERE transaction_id > 0 AND customer_id > 0 AND terminal_id > 0 AND (copy = 0 OR transaction_id % 401 = 5)
+), requests AS (
+  SELECT request_id, bool_or(copy = 1) AS repeated, bool_or(tx_amount < 0) AS negative, bool_or(transaction_hour > 23) AS hour FROM lines GROUP BY 1
+), predictions AS (
+  SELECT request_id, transaction_id, least(tx_amount / 500, 1.0) AS p FROM lines WHERE request_id NOT IN (SELECT request_id FROM requests WHERE repeated OR negative OR hour)
+)"""
+
+
+def request_rows(spark, sf_dir) -> DataFrame:
+    """Requests of at most 50 neighbouring ids, some with a negative amount, an hour of 24 or a repeated id."""
+    rows = model_rows(spark, sf_dir).filter("transaction_id > 0 and customer_id > 0 and terminal_id > 0")
+    rows = rows.withColumn("_copy", F.explode(F.when(F.col("transaction_id") % 401 == 5, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    planted = {"tx_amount": F.when(F.col("transaction_id") % 499 == 3, -1.0), "transaction_hour": F.when(F.col("transaction_id") % 311 == 4, 24)}
+    one = F.struct(*(F.coalesce(planted[c], F.col(c)).alias(c) if c in planted else F.col(c) for c in (*policy.IDENTITY, *MODEL_FEATURES)))
+    request = F.floor(F.col("transaction_id") / 50).cast("string")
+    return rows.groupBy(request.alias("request_id")).agg(F.array_agg(one).cast(f"array<{scoring.TRANSACTION}>").alias("transactions"))
+
+
+def amount_score(df: DataFrame) -> DataFrame:
+    """A deterministic score in the place of a model's."""
+    p = F.least(F.col("tx_amount") / 500, F.lit(1.0))
+    return df.withColumn("fraud_probability", p).withColumn("threshold_decision", p >= THRESHOLD)
+
+
+@query(with_sql(REQUEST_ROWS_SQL, """
+SELECT request_id, concat_ws(',', CASE WHEN repeated THEN 'repeated_transaction_id' END, CASE WHEN negative THEN 'amount_not_finite_or_negative' END, CASE WHEN hour THEN 'value_out_of_range' END) AS reasons
+FROM requests WHERE repeated OR negative OR hour"""))
+def refused_scoring_requests(spark, sf_dir):
+    """Requests that are refused, with their reasons."""
+    return scoring.refused_requests(request_rows(spark, sf_dir)).select("request_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(with_sql(REQUEST_ROWS_SQL, f"""
+SELECT 'accepted' AS counter, count(*) FILTER (NOT (repeated OR negative OR hour)) AS value FROM requests
+UNION ALL SELECT 'refused', count(*) FILTER (repeated OR negative OR hour) FROM requests
+UNION ALL SELECT 'rows', count(*) FROM predictions
+UNION ALL SELECT 'written', count(*) FROM predictions
+UNION ALL SELECT 'decisions', count(*) FILTER (p >= {THRESHOLD}) FROM predictions
+UNION ALL SELECT 'score_millionths', CAST(sum(CAST(round(p * 1000000) AS BIGINT)) AS BIGINT) FROM predictions
+UNION ALL SELECT 'latencies', count(*) FROM requests
+UNION ALL SELECT 'le' || i, count(*) FILTER (p <= b) FROM predictions, (VALUES {", ".join(f"({i}, {b})" for i, b in enumerate(scoring.SCORE_BUCKETS))}) v(i, b) GROUP BY i"""))
+def scoring_stream_counters(spark, sf_dir):
+    """What a listener counted while requests were scored as a stream, stopped once and resumed."""
+    root, name = scratch(spark), f"scoring-{uuid.uuid4().hex[:8]}"
+    counters = scoring.ScoringCounters(name)
+    spark.streams.addListener(counters)
+    try:
+        for part in (0, 1):
+            request_rows(spark, sf_dir).filter(F.pmod(F.xxhash64("request_id"), F.lit(2)) == part).repartition(4).write.mode("append").parquet(f"{root}/requests")
+            requests = spark.readStream.schema(scoring.REQUEST).option("maxFilesPerTrigger", 3).parquet(f"{root}/requests")
+            frames = {"predictions": scoring.score_stream(requests, amount_score, name)}
+            for q in ingest.start_queries(frames, ingest.StreamPaths(f"{root}/out", f"{root}/checkpoints"), prefix=name, trigger=None).values():
+                q.awaitTermination()
+                counters.wait(q)
+    finally:
+        spark.streams.removeListener(counters)
+    written = spark.read.parquet(f"{root}/out/predictions").count()
+    rows = [*counters.totals.items(), ("latencies", sum(counters.latencies)), ("written", written)]
+    return spark.createDataFrame(rows, "counter string, value bigint")
+
+
 @query(with_sql(TX_SQL, "SELECT DISTINCT CAST(tx_datetime AS DATE) AS transaction_date FROM tx"))
 def distinct_days(spark, sf_dir):
     """U6."""
