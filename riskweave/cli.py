@@ -64,6 +64,7 @@ def parser() -> argparse.ArgumentParser:
     tune.add_argument("--gap-days", type=int, default=7)
     tune.add_argument("--k", type=int, default=100)
     tune.add_argument("--seed", type=int, default=42)
+    tune.add_argument("--parallelism", type=int, default=4, help="candidates that are fitted at a time")
 
     thresholds = commands.add_parser("optimize-thresholds", help="thresholds under a daily capacity")
     thresholds.add_argument("--dataset", required=True)
@@ -118,7 +119,7 @@ def dispatch(spark, a: argparse.Namespace) -> object:
         return publish.publish_baselines(split("train"), split("validation"), split("test"), a.output, threshold=a.threshold)
     if a.command == "tune-hyperparameters":
         candidates = {"logistic_regression": a.logistic_candidates, "boosted_trees": a.boosted_candidates}
-        return publish.publish_tuned(split("train"), a.output, candidates=candidates, folds=a.folds, assessment_days=a.assessment_days, gap_days=a.gap_days, k=a.k, seed=a.seed)
+        return publish.publish_tuned(split("train"), a.output, candidates=candidates, folds=a.folds, assessment_days=a.assessment_days, gap_days=a.gap_days, k=a.k, seed=a.seed, parallelism=a.parallelism)
     if a.command == "optimize-thresholds":
         return publish.publish_thresholds(split("validation"), a.models, a.names, a.policy, capacity=a.capacity)
     return publish.publish_final_evaluation(split("test"), a.models, a.policy, a.output)

@@ -147,6 +147,12 @@ class FittedModel:
             return df.withColumn("score", F.lit(self.prior))
         if isinstance(self.model, boosting.BoostedTrees):
             return self.model.score(df.select("*", *self.preprocessor.columns())).drop(*self.model.columns)
+        if isinstance(self.model, LogisticRegressionModel):
+            # a column expression: MLlib's own one drags the training summary, and with it the session, into every task
+            weights = [float(w) for w in self.model.coefficients]
+            margin = sum((F.col(f"_x{i}") * w for i, w in enumerate(weights)), F.lit(float(self.model.intercept)))
+            names = [f"_x{i}" for i in range(len(weights))]
+            return df.select("*", *self.preprocessor.columns()).withColumn("score", 1 / (1 + F.exp(-margin))).drop(*names)
         out = self.model.transform(self.preprocessor.transform(df))
         extra = [c for c in ("_features", "rawPrediction", "probability", "prediction") if c in out.columns]
         return out.withColumn("score", vector_to_array("probability")[1]).drop(*extra)

@@ -35,12 +35,12 @@ def publish_baselines(train: DataFrame, validation: DataFrame, test: DataFrame,
     return Published(manifest, places)
 
 
-def publish_tuned(train: DataFrame, folder: str, *, candidates: dict[str, int], folds: int = 3, assessment_days: int = 14, gap_days: int = 7, k: int = 100, seed: int = 42) -> Published:
+def publish_tuned(train: DataFrame, folder: str, *, candidates: dict[str, int], folds: int = 3, assessment_days: int = 14, gap_days: int = 7, k: int = 100, seed: int = 42, parallelism: int = 4) -> Published:
     """Search each model's space on prequential folds of train, refit the winners on all of it."""
     plan = prequential_folds(train, folds=folds, assessment_days=assessment_days, gap_days=gap_days)
     found, places = {}, {}
     for kind, n in candidates.items():
-        best, results = search(train, kind, plan, fit_model, n_candidates=n, k=k, seed=seed)
+        best, results = search(train, kind, plan, fit_model, n_candidates=n, k=k, seed=seed, parallelism=parallelism)
         fit_model(kind, best.parameters, train).save(f"{folder}/{kind}")
         places[kind] = f"{folder}/{kind}"
         found[kind] = {

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import math
 import random
+import uuid
 from collections.abc import Callable
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
+from functools import partial
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contracts import require_columns, require_none, require_positive, require_rows
+from ..sources.store import scratch
 from .metrics import ranking_metrics, require_scores
 from .thresholds import card_days
 
@@ -171,18 +175,41 @@ class CandidateResult:
         return sum(getattr(f, name) for f in self.folds) / len(self.folds)
 
 
-def evaluate_candidate(df: DataFrame, model: str, parameters: dict, folds: list[Fold], fit: Callable, *, k: int, label: str = "tx_fraud") -> CandidateResult:
+@dataclass(frozen=True)
+class FoldTables:
+    """A fold's rows on both sides, written once for all candidates."""
+
+    number: int
+    train: DataFrame
+    assess: DataFrame
+
+
+def write_folds(df: DataFrame, folds: list[Fold], label: str = "tx_fraud") -> list[FoldTables]:
+    """Write the rows of each fold to the shared folder: one read of ``df`` a fold, whose training classes are observed in that pass."""
+    root, spark, out = scratch(df.sparkSession), df.sparkSession, []
+    for fold in folds:
+        training = F.col("tx_datetime") < _moment(fold.train_end)
+        assessed = (F.col("tx_datetime") >= _moment(fold.start)) & (F.col("tx_datetime") < _moment(fold.end))
+        seen, place = Observation(), f"{root}/fold-{fold.number}"
+        parts = df.withColumn("_side", F.when(training, "train").when(assessed, "assess")).filter(F.col("_side").isNotNull())
+        counts = (F.count_if((F.col("_side") == "train") & (F.col(label) == value)).alias(f"c{value}") for value in (0, 1))
+        parts.observe(seen, *counts).write.partitionBy("_side").parquet(place)
+        if not all(seen.get[f"c{value}"] for value in (0, 1)):
+            raise ValueError(f"fold {fold.number} trains on one class only")
+        train, assess = (spark.read.schema(df.schema).parquet(f"{place}/_side={side}") for side in ("train", "assess"))
+        out.append(FoldTables(fold.number, train, assess))
+    return out
+
+
+def evaluate_candidate(tables: list[FoldTables], model: str, parameters: dict, fit: Callable, *, k: int, label: str = "tx_fraud") -> CandidateResult:
     """Fit on each fold's training rows and measure on its assessment rows.
 
     ``fit(model, parameters, train)`` returns something whose ``score(df)`` adds
     the column score.
     """
     results = []
-    for fold in folds:
-        train, assess = fold.train(df), fold.assess(df)
-        if train.agg(F.count_distinct(label)).first()[0] != 2:
-            raise ValueError(f"fold {fold.number} trains on one class only")
-        scored = fit(model, parameters, train).score(assess).persist()
+    for fold in tables:
+        scored = fit(model, parameters, fold.train).score(fold.assess).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             require_scores(scored, label, "score")
             r = ranking_metrics(scored, label).first()
@@ -199,7 +226,48 @@ def best_candidate(results: list[CandidateResult]) -> CandidateResult:
     return max(results, key=lambda r: (r.mean("average_precision"), r.mean("card_precision_at_k")))
 
 
-def search(df: DataFrame, model: str, folds: list[Fold], fit: Callable, *, n_candidates: int, k: int, seed: int = 42) -> tuple[CandidateResult, list[CandidateResult]]:
-    """The best of ``n_candidates`` sampled parameter sets, and all results."""
-    results = [evaluate_candidate(df, model, p, folds, fit, k=k) for p in sample_candidates(model, n_candidates, seed)]
+def run_together(spark: SparkSession, work: list[Callable], parallelism: int) -> list:
+    """Results of all calls in their order, at most ``parallelism`` of them at a time.
+
+    Each call's jobs have a pool of their own, so that with fair scheduling (see
+    ``session``) a long fit does not hold back the others. If a call fails, calls
+    that wait are dropped, jobs of those that run are cancelled, and its error is
+    raised.
+    """
+    require_positive(parallelism, "parallelism")
+    tag = f"together-{uuid.uuid4().hex}"
+
+    def call(i: int, f: Callable):
+        context = spark.sparkContext
+        context.setLocalProperty("spark.scheduler.pool", f"{tag}-{i % parallelism}")
+        context.addJobTag(tag)
+        try:
+            return f()
+        finally:
+            context.removeJobTag(tag)
+            context.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        futures = [pool.submit(inheritable_thread_target(spark)(call), i, f) for i, f in enumerate(work)]
+        done, _ = wait(futures, return_when=FIRST_EXCEPTION)
+        failed = next((f.exception() for f in futures if f in done and not f.cancelled() and f.exception()), None)
+        if failed:
+            for f in futures:
+                f.cancel()
+            while not all(f.done() for f in futures):  # a call between two jobs starts its next one after a cancellation
+                spark.sparkContext.cancelJobsWithTag(tag)
+                wait(futures, timeout=1)
+            raise failed
+    return [f.result() for f in futures]
+
+
+def search(df: DataFrame, model: str, folds: list[Fold], fit: Callable, *, n_candidates: int, k: int, seed: int = 42, parallelism: int = 4) -> tuple[CandidateResult, list[CandidateResult]]:
+    """The best of ``n_candidates`` sampled parameter sets, and all results in the order of sampling.
+
+    Folds are written once; ``parallelism`` candidates are fitted at a time,
+    which changes neither results nor winner.
+    """
+    chosen = sample_candidates(model, n_candidates, seed)
+    tables = write_folds(df, folds)
+    results = run_together(df.sparkSession, [partial(evaluate_candidate, tables, model, p, fit, k=k) for p in chosen], parallelism)
     return best_candidate(results), results
