@@ -28,7 +28,8 @@ def dataset_violations(df: DataFrame) -> dict[str, Column]:
         "day_of_week must be within 0..6": ~col("day_of_week").between(0, 6),
         "tx_amount must not be negative": col("tx_amount") < 0,
         "history counts must not be negative": (col("customer_previous_transaction_count") < 0) | (col("terminal_previous_transaction_count") < 0),
-        "transactions with history need a previous mean and ratio": (col("customer_previous_transaction_count") > 0) & (col(NULLABLE[0]).isNull() | col(NULLABLE[1]).isNull()),
+        # Gold has no ratio to a mean of 0
+        "transactions with history need a previous mean and ratio": (col("customer_previous_transaction_count") > 0) & (col(NULLABLE[0]).isNull() | ((col(NULLABLE[0]) > 0) & col(NULLABLE[1]).isNull())),
         "transaction_date must be the UTC date of tx_datetime": col("transaction_date") != F.to_date("tx_datetime"),
     }
     return rules

@@ -17,6 +17,7 @@ from riskweave.ml.publish import publish_baselines, publish_final_evaluation, pu
 from riskweave.ml.registry import load_registered, publish_policy, resolve
 from riskweave.ml.thresholds import CardDayMetrics, PolicyCandidate, capacity_threshold, card_days, evaluate_card_days, select_policy, top_cards_per_day
 from riskweave.ml.tuning import best_candidate, card_precision_at_k, prequential_folds, sample_candidates
+from riskweave.plans import queries
 from riskweave.schemas import MODEL_COLUMNS, MODEL_FEATURES
 from riskweave.sources.files import model_example, read_split
 
@@ -60,6 +61,34 @@ def test_dataset_contract(spark):
             build_dataset(bad)
 
 
+def test_previous_mean_of_zero_has_no_ratio(spark):
+    df = features(spark)
+    history = F.col("customer_previous_transaction_count") > 0
+    bare = df.withColumn("amount_to_customer_previous_mean", F.lit(None).cast("double"))
+    assert build_dataset(bare.withColumn("customer_previous_mean_amount", F.when(history, 0.0))).count() == 400
+    for mean in (0.01, None):
+        with pytest.raises(ValueError, match="previous mean and ratio"):
+            build_dataset(bare.withColumn("customer_previous_mean_amount", F.when(history, F.lit(mean).cast("double"))))
+
+
+def small_events(spark, folder) -> str:
+    """300 events over January; each customer's first amount is 0."""
+    ts = F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 8640).cast("timestamp_ntz")
+    rows = spark.range(300).select(
+        F.col("id").alias("event_id"), ts.alias("ts"), (F.col("id") % 7 + 1).alias("user_id"), F.when(F.col("id") % 5 == 0, "error").otherwise("view").alias("event_type"),
+        F.when(F.col("id") < 7, 0.0).otherwise((F.col("id") * 37 % 101).cast("double")).alias("value"), F.concat(F.lit('{"k": '), F.col("id") % 3, F.lit("}")).alias("props"),
+    )
+    rows.write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_registered_datasets_with_a_first_amount_of_zero(spark, tmp_path):
+    folder = small_events(spark, tmp_path)
+    assert queries.dataset_validation_split(spark, folder).count() == 70
+    scores = queries.logistic_scores(spark, folder)
+    assert scores.count() == 90 and scores.filter("score between 0 and 1").count() == 90
+
+
 def test_split_is_half_open_and_written(spark, tmp_path):
     df = build_dataset(features(spark))
     a, b = datetime(2026, 1, 21, 8, tzinfo=UTC), datetime(2026, 1, 31, 8, tzinfo=UTC)
