@@ -385,12 +385,16 @@ SELECT strftime(time_bucket(INTERVAL 1 HOUR, tx_datetime), '%Y-%m-%d %H:%M:%S')
 FROM tx GROUP BY 1, 2"""))
 def approximate_risk_windows(spark, sf_dir):
     """The windows as the stream computes them; their approximate counts lie within four deviations of the exact ones."""
-    tx = transactions(spark, sf_dir)
-    near = risk.risk_windows(tx, "customer", watermark=None).select("window_start", "customer_id", "transaction_count", "approx_unique_terminals")
-    exact = risk.risk_windows(tx, "customer", watermark=None, exact_distinct=True).select("window_start", "customer_id", F.col("distinct_terminal_count").alias("exact_terminals"))
-    both = near.join(exact, ["window_start", "customer_id"])
-    within = F.abs(F.col("approx_unique_terminals") - F.col("exact_terminals")) <= F.ceil(4 * risk.DISTINCT_ERROR * F.col("exact_terminals"))
-    return plain(both.select("window_start", "customer_id", "transaction_count", "exact_terminals", within.alias("within_bound")))
+    return approximate_windows(spark, sf_dir, "customer", "terminal")
+
+
+def approximate_windows(spark, sf_dir, entity: str, other: str) -> DataFrame:
+    tx, place = transactions(spark, sf_dir), ("window_start", f"{entity}_id")
+    near = risk.risk_windows(tx, entity, watermark=None).select(*place, "transaction_count", F.col(f"approx_unique_{other}s").alias("near"))
+    exact = risk.risk_windows(tx, entity, watermark=None, exact_distinct=True).select(*(F.col(c).alias(f"_{c}") for c in place), F.col(f"distinct_{other}_count").alias("exact"))
+    both = near.join(exact, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place])
+    within = F.abs(F.col("near") - F.col("exact")) <= F.ceil(4 * risk.DISTINCT_ERROR * F.col("exact"))
+    return plain(both.select(*place, "transaction_count", F.col("exact").alias(f"exact_{other}s"), within.alias("within_bound")))
 
 
 @query(with_sql(TX_SQL, """
@@ -398,12 +402,7 @@ SELECT strftime(time_bucket(INTERVAL 1 HOUR, tx_datetime), '%Y-%m-%d %H:%M:%S')
 FROM tx GROUP BY 1, 2"""))
 def approximate_terminal_windows(spark, sf_dir):
     """The same of the terminals' side."""
-    tx = transactions(spark, sf_dir)
-    near = risk.risk_windows(tx, "terminal", watermark=None).select("window_start", "terminal_id", "transaction_count", "approx_unique_customers")
-    exact = risk.risk_windows(tx, "terminal", watermark=None, exact_distinct=True).select(F.col("window_start").alias("_start"), F.col("terminal_id").alias("_id"), F.col("distinct_customer_count").alias("exact_customers"))
-    both = near.join(exact, F.col("window_start").eqNullSafe(F.col("_start")) & F.col("terminal_id").eqNullSafe(F.col("_id")))
-    within = F.abs(F.col("approx_unique_customers") - F.col("exact_customers")) <= F.ceil(4 * risk.DISTINCT_ERROR * F.col("exact_customers"))
-    return plain(both.select("window_start", "terminal_id", "transaction_count", "exact_customers", within.alias("within_bound")))
+    return approximate_windows(spark, sf_dir, "terminal", "customer")
 
 
 #: crc32 of the bytes of a key, by a table of 256 values.
