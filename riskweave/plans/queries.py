@@ -596,9 +596,9 @@ def fold_sizes(spark, sf_dir):
 SELECT median(tx_amount) AS median_amount, median(terminal_previous_transaction_count) AS median_terminal_count, count(*) FILTER (tx_fraud = 0) AS negatives, count(*) FILTER (tx_fraud = 1) AS positives FROM features"""))
 def preprocessing_statistics(spark, sf_dir):
     """Exact medians and class counts."""
-    df = model_rows(spark, sf_dir)
-    negatives, positives = models.class_counts(df)
-    return spark.createDataFrame([(models.exact_quantile(df, "tx_amount", 0.5), models.exact_quantile(df, "terminal_previous_transaction_count", 0.5), negatives, positives)], "median_amount double, median_terminal_count double, negatives long, positives long")
+    columns = ["tx_amount", "terminal_previous_transaction_count"]
+    df = stored(model_rows(spark, sf_dir).select(*columns, "tx_fraud"))
+    return spark.createDataFrame([(*models.exact_quantiles(df, columns, 0.5), *models.class_counts(df))], "median_amount double, median_terminal_count double, negatives long, positives long")
 
 
 @query(with_sql(SCORED_SQL + f", n AS (SELECT count(*) AS scored, count(*) FILTER (score >= {THRESHOLD}) AS alerts FROM scored), b(upper_bound) AS (VALUES " + ", ".join(f"(CAST({b} AS DOUBLE))" for b in metrics.SCORE_BUCKETS) + ")", """
@@ -645,12 +645,13 @@ def boosting_sql() -> tuple[str, str]:
 @query(with_sql(*boosting_sql()))
 def boosted_splits(spark, sf_dir):
     """Splits, gains and leaf weights of boosted trees with L1 and L2 terms."""
-    model = boosting.fit(model_rows(spark, sf_dir), list(BOOST_CUTS), "tx_fraud", cuts=list(BOOST_CUTS.values()), **BOOST)
+    rows = stored(model_rows(spark, sf_dir).select(*BOOST_CUTS, "tx_fraud"))
+    model = boosting.fit(rows, list(BOOST_CUTS), "tx_fraud", cuts=list(BOOST_CUTS.values()), **BOOST)
     inner = 2**model.depth - 1
-    rows = [(i, n, model.columns[t.feature[n]], t.cut[n], t.gain[n], None) for i, t in enumerate(model.trees) for n in range(inner) if t.gain[n] > 0]
-    splits = spark.createDataFrame(rows, "tree long, node long, feature string, cut double, gain double, weight double")
+    found = [(i, n, model.columns[t.feature[n]], t.cut[n], t.gain[n], None) for i, t in enumerate(model.trees) for n in range(inner) if t.gain[n] > 0]
+    splits = spark.createDataFrame(found, "tree long, node long, feature string, cut double, gain double, weight double")
     weights = F.array(*(F.array(*map(F.lit, t.weight)) for t in model.trees))
-    leaves = boosting.binned(model_rows(spark, sf_dir), model.columns, list(BOOST_CUTS.values())).select(F.posexplode(F.array(*(boosting.leaf_of(t, model.depth) for t in model.trees))).alias("tree", "node")).distinct()
+    leaves = boosting.binned(rows, model.columns, list(BOOST_CUTS.values())).select(F.posexplode(F.array(*(boosting.leaf_of(t, model.depth) for t in model.trees))).alias("tree", "node")).distinct()
     leaves = leaves.select(F.col("tree").cast("long"), F.col("node").cast("long"), F.lit(None).cast("string").alias("feature"), F.lit(None).cast("double").alias("cut"), F.lit(None).cast("double").alias("gain"), weights[F.col("tree")][F.col("node") - inner].alias("weight"))
     return splits.union(leaves).withColumns({c: F.round(c, 6) for c in ("gain", "weight")})
 
@@ -667,7 +668,7 @@ def logistic_scores(spark, sf_dir):
 def scoring_requests(spark, sf_dir):
     """Validated scoring requests."""
     rows = model_rows(spark, sf_dir).filter("transaction_id > 0 and customer_id > 0 and terminal_id > 0")
-    checked = policy.validate_requests(rows.select(*policy.IDENTITY, *MODEL_FEATURES), max_rows=None)
+    checked = policy.validate_requests(stored(rows.select(*policy.IDENTITY, *MODEL_FEATURES)), max_rows=None)
     return plain(checked.select("transaction_id", "customer_id", "tx_amount", "transaction_hour"))
 
 
@@ -722,8 +723,9 @@ def scoring_stream_counters(spark, sf_dir):
     counters = scoring.ScoringCounters(name)
     spark.streams.addListener(counters)
     try:
+        requested = stored(request_rows(spark, sf_dir))
         for part in (0, 1):
-            request_rows(spark, sf_dir).filter(F.pmod(F.xxhash64("request_id"), F.lit(2)) == part).repartition(4).write.mode("append").parquet(f"{root}/requests")
+            requested.filter(F.pmod(F.xxhash64("request_id"), F.lit(2)) == part).repartition(4).write.mode("append").parquet(f"{root}/requests")
             requests = spark.readStream.schema(scoring.REQUEST).option("maxFilesPerTrigger", 3).parquet(f"{root}/requests")
             frames = {"predictions": scoring.score_stream(requests, amount_score, name)}
             for q in ingest.start_queries(frames, ingest.StreamPaths(f"{root}/out", f"{root}/checkpoints"), prefix=name, trigger=None).values():

@@ -91,6 +91,15 @@ def test_registered_datasets_with_a_first_amount_of_zero(spark, tmp_path):
     assert scores.count() == 90 and scores.filter("score between 0 and 1").count() == 90
 
 
+def test_statistics_pass_over_features_that_are_built_once(spark, tmp_path, monkeypatch):
+    folder, passed = small_events(spark, tmp_path), []
+    for name in ("exact_quantiles", "class_counts"):
+        monkeypatch.setattr(queries.models, name, lambda df, *a, f=getattr(queries.models, name), **k: passed.append(df) or f(df, *a, **k))
+    (r,) = queries.preprocessing_statistics(spark, folder).collect()
+    assert (r["median_terminal_count"], r["negatives"], r["positives"]) == (49.5, 240, 60)
+    assert passed and not [f for df in passed for f in df.inputFiles() if "events.parquet" in f]
+
+
 def test_split_is_half_open_and_written(spark, tmp_path):
     df = build_dataset(features(spark))
     a, b = datetime(2026, 1, 21, 8, tzinfo=UTC), datetime(2026, 1, 31, 8, tzinfo=UTC)
