@@ -456,10 +456,15 @@ def stream_closed_windows(spark, sf_dir):
     return plain(spark.read.parquet(f"{root}/out/windows").select("window_start", "customer_id", "transaction_count", "maximum_amount", "night_transaction_count"))
 
 
+#: Messages in a file of a batch; more of them are more files.
+MESSAGES_A_FILE = 200_000
+
+
 @query(with_sql(STREAM_SQL, "SELECT DISTINCT t_id AS transaction_id FROM streamed WHERE rejection_reasons = '' AND t_id NOT IN (SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-06' AND event_id % 7 = 0)"))
 def stream_late_rows_and_restarts(spark, sf_dir):
     """What a stream that is stopped twice keeps: nothing is repeated after a restart, and rows behind the watermark are dropped."""
-    root, rows, files_a_batch = scratch(spark), raw_bronze(spark, sf_dir), 4
+    root, rows = scratch(spark), raw_bronze(spark, sf_dir)
+    files_a_batch = max(2 * spark.sparkContext.defaultParallelism, -(-transactions(spark, sf_dir).count() // MESSAGES_A_FILE))  # a file is written and read by a task
     late = F.coalesce((F.col("TX_DATETIME") < "2024-01-06") & (F.col("TRANSACTION_ID").try_cast("long") % 7 == 0), F.lit(False))
     early = F.coalesce(F.col("TX_DATETIME") < "2024-01-16", F.lit(False))
     for phase in (early & ~late, ~early & ~late, late):  # a phase is one batch of its files

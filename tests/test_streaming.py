@@ -3,6 +3,7 @@
 import json
 from datetime import date, datetime, timezone
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,6 +255,20 @@ def test_approximate_windows_keep_rows_without_an_entity(spark, tmp_path):
     assert {(r["customer_id"], r["transaction_count"], r["exact_terminals"], r["within_bound"]) for r in rows} == {(None, 2, 1, True), (0, 2, 1, True), (1, 2, 1, True)}
 
 
+def test_files_of_a_batch_grow_with_the_messages(spark, tmp_path, monkeypatch):
+    ts = F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 2592).cast("timestamp_ntz")
+    events = spark.range(1000).select(F.col("id").alias("event_id"), ts.alias("ts"), (F.col("id") % 7 + 1).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 3}').alias("props"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    asked = []
+    monkeypatch.setattr(queries, "MESSAGES_A_FILE", 25)
+    monkeypatch.setattr(queries.ingest, "file_messages", lambda *a, f=file_messages, **k: asked.append(k["max_files"]) or f(*a, **k))
+    got = {r[0] for r in queries.stream_late_rows_and_restarts(spark, str(tmp_path)).collect()}
+    assert asked == [40, 40, 40]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == {r[0] for r in con.execute(queries.ORACLE_SQL["stream_late_rows_and_restarts"]).fetchall()} and len(got) > 800
+
+
 def test_stream_options(spark, tmp_path):
     with pytest.raises(ValueError, match="differ"):
         StreamPaths("/a", "/a/")
